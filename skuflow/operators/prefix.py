@@ -33,7 +33,8 @@ def running(
 
     ``sums`` maps an output name to the value summed along ``order`` within
     ``keys`` (non-null). ``lows`` maps an output name to a name in ``sums``: the
-    minimum of that running sum so far. ``order`` must be a total order.
+    minimum of that running sum over the rows before (null on a key's first
+    row). ``order`` must be a total order.
     """
     lows = dict(lows or {})
     keys = list(keys)
@@ -49,7 +50,8 @@ def running(
     inner = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumns({n: F.sum(f"_v_{n}").over(inner) for n in sums})
     if lows:
-        local = local.withColumns({n: F.min(of).over(inner) for n, of in lows.items()})
+        earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
+        local = local.withColumns({n: F.min(of).over(earlier) for n, of in lows.items()})
 
     totals = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
     bottoms = [F.min(of).alias(f"_b_{n}") for n, of in lows.items()]
