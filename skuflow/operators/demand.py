@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.clean import non_negative
@@ -26,14 +26,20 @@ def spread_by_sku(daily: DataFrame, partitions: int | None = None) -> DataFrame:
     return daily.repartition(n, "sku")
 
 
-def capped_daily(daily: DataFrame, q: float = 0.99) -> DataFrame:
-    """Limit each SKU's daily demand to its own q-percentile (linear interpolation).
+def capped_daily(daily: DataFrame, q: float = 0.99, fit_until: Column | None = None) -> DataFrame:
+    """Limit each SKU's daily demand to its own q-percentile (linear interpolation),
+    taken over the days up to ``fit_until`` when given.
 
     Written as a window, so that later per-SKU windows reuse its shuffle. One
     SKU has at most one row per calendar day here, however hot it is.
     """
-    cap = F.percentile("demand", F.lit(q)).over(BY_SKU)
-    return daily.withColumn("demand", F.least("demand", cap))
+    if fit_until is None:
+        seen = F.col("demand")
+    else:
+        daily = daily.withColumn("_until", fit_until)
+        seen = F.when(F.col("day") <= F.col("_until"), F.col("demand"))
+    cap = F.percentile(seen, F.lit(q)).over(BY_SKU)
+    return daily.withColumn("demand", F.least("demand", cap)).select("sku", "day", "demand")
 
 
 def deliveries(transactions: DataFrame, lines: DataFrame) -> DataFrame:

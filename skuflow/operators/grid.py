@@ -57,42 +57,44 @@ def densify(
     )
 
 
-def demand_grid(daily: DataFrame, start: Column, end: Column, carry: Sequence[str] = ()) -> DataFrame:
-    return densify(daily, start, end, carry=carry).withColumn("has_demand", (F.col("demand") > 0).cast("int"))
+def demand_grid(
+    sparse: DataFrame,
+    start: Column,
+    end: Column,
+    measures: Sequence[str] = ("demand",),
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    return densify(sparse, start, end, measures, carry).withColumn("has_demand", (F.col("demand") > 0).cast("int"))
 
 
-def with_deliveries(daily: DataFrame, daily_deliveries: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Dense grid of demand SKUs that also carries delivery counts and quantities.
+def merge_facts(daily: DataFrame, daily_deliveries: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Sparse (sku, day, demand, n_deliveries, qty_delivered) for the SKUs and days of the demand history.
 
     Both facts are sparse, so they are combined before the gaps are filled
     (union and one aggregation) instead of being joined to the dense grid.
     """
-    zero = F.lit(None).cast("double")
+    none = F.lit(None).cast("double")
     facts = (
-        daily.select("sku", "day", "demand", zero.alias("n_deliveries"), zero.alias("qty_delivered"))
+        daily.select("sku", "day", "demand", none.alias("n_deliveries"), none.alias("qty_delivered"))
         .unionByName(
             daily_deliveries.select(
                 "sku",
                 "day",
-                zero.alias("demand"),
+                none.alias("demand"),
                 F.col("n_deliveries").cast("double").alias("n_deliveries"),
-                F.col("qty_delivered"),
+                "qty_delivered",
             )
         )
         .groupBy("sku", "day")
         .agg(*[F.sum(c).alias(c) for c in ("demand", "n_deliveries", "qty_delivered")])
     )
-    demand_rows = F.count("demand").over(Window.partitionBy("sku"))
-    kept = (
+    return (
         facts.withColumns({"_lo": start, "_hi": end})
         .where(F.col("day").between(F.col("_lo"), F.col("_hi")))
-        .drop("_lo", "_hi")
-        .withColumn("_n", demand_rows)
+        .withColumn("_n", F.count("demand").over(Window.partitionBy("sku")))
         .where("_n > 0")
-        .drop("_n")
+        .drop("_lo", "_hi", "_n")
     )
-    dense = densify(kept, start, end, measures=("demand", "n_deliveries", "qty_delivered"))
-    return dense.withColumn("has_demand", (F.col("demand") > 0).cast("int"))
 
 
 def calendar(start: Column, end: Column, spark) -> DataFrame:

@@ -7,7 +7,7 @@ positions an order visits, which the building bounds, not over its items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.functions.labels import EXPEDITION, route_text
@@ -95,7 +95,7 @@ def split_chariots(
 
 _LEG = "abs(p.x - s.x) + abs(p.y - s.y) + abs(p.z - s.z)"
 _STOP = "struct<first_no: bigint, x: bigint, y: bigint, z: bigint, n: bigint>"
-_VISIT = "struct<seq: bigint, x: bigint, y: bigint, z: bigint, dist: bigint, before: bigint>"
+_VISIT = "struct<seq: bigint, x: bigint, y: bigint, z: bigint, dist: bigint, before: bigint, from_level: bigint>"
 
 
 def _nearest_neighbour() -> Column:
@@ -106,7 +106,7 @@ def _nearest_neighbour() -> Column:
     )
     nearest = f"array_min(transform(s.left, p -> struct({_LEG} AS dist, p.first_no, p.x, p.y, p.z, p.n)))"
     visit = (
-        "named_struct('seq', k, 'x', m.x, 'y', m.y, 'z', m.z, 'dist', m.dist, 'before', s.done)"
+        "named_struct('seq', k, 'x', m.x, 'y', m.y, 'z', m.z, 'dist', m.dist, 'before', s.done, 'from_level', s.z)"
     )
     step = (
         f"transform(array({nearest}), m -> named_struct('x', m.x, 'y', m.y, 'z', m.z, 'done', s.done + m.n, "
@@ -146,6 +146,7 @@ def pick_tours(located: DataFrame) -> DataFrame:
         "code",
         "zone",
         F.col("z").alias("level"),
+        F.when(F.col("_at") == 1, F.col("from_level")).otherwise(F.col("z")).alias("from_level"),
         F.when(F.col("_at") == 1, F.col("dist")).otherwise(F.lit(0)).cast("double").alias("distance"),
         (F.col("grams") / 1000).alias("kg"),
     )
@@ -161,6 +162,7 @@ def pick_tours(located: DataFrame) -> DataFrame:
         F.lit("EXPEDITION").alias("code"),
         F.lit("B7-N0").alias("zone"),
         F.lit(0).cast("bigint").alias("level"),
+        F.col("last.z").alias("from_level"),
         manhattan((F.col("last.x"), F.col("last.y"), F.col("last.z")), home).cast("double").alias("distance"),
         F.lit(None).cast("double").alias("kg"),
     )
@@ -203,18 +205,17 @@ def daily_congestion(moves: DataFrame, order: tuple[str, ...] = ("ts", "event_id
     return counted.where(F.col("n_moves") > CONGESTED_MOVES)
 
 
-def order_steps(steps: DataFrame) -> DataFrame:
-    """Nested result per chariot: the route as an array of steps. Meant for a served request, where
-    an order is small; tables stay in the flat form."""
-    route = F.array_sort(F.collect_list(F.struct("step", "action", "sku", "code", "zone", "level", "distance")))
-    return steps.groupBy("order_id", "chariot").agg(route.alias("route"), F.sum("distance").alias("total_distance"))
+def nested_tours(stops: DataFrame) -> DataFrame:
+    """One row per chariot with its stops as an array, bounded by the positions of the building."""
+    route = F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z", "dist")))
+    return stops.groupBy("order_id", "chariot").agg(route.alias("stops"), F.sum("dist").alias("distance_out"))
 
 
 def step_details(steps: DataFrame, slots: DataFrame) -> DataFrame:
-    """Route text of each pick, from the level of the stop before."""
-    w = Window.partitionBy("order_id", "chariot").orderBy("step")
+    """Route text of each step, from the level of the stop before."""
     places = slots.select("code", "floor", "slot_type")
-    picks = steps.withColumn("_from", F.coalesce(F.lag("level").over(w), F.lit(EXPEDITION[2]).cast("bigint")))
-    out = picks.join(places, "code", "left").withColumn("z", F.col("level"))
-    detail = F.when(F.col("action") == "return", F.lit("Retour zone expedition")).otherwise(route_text(F.col("_from")))
-    return out.withColumn("detail", detail).drop("_from", "z", "floor", "slot_type")
+    out = steps.join(places, "code", "left").withColumn("z", F.col("level"))
+    detail = F.when(F.col("action") == "return", F.lit("Retour zone expedition")).otherwise(
+        route_text(F.col("from_level"))
+    )
+    return out.withColumn("detail", detail).drop("z", "floor", "slot_type")
