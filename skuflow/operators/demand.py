@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from skuflow.functions.clean import non_negative
 
-BY_SKU = Window.partitionBy("sku")
 
 
 def daily_demand(history: DataFrame) -> DataFrame:
@@ -38,7 +37,7 @@ def capped_daily(daily: DataFrame, q: float = 0.99, fit_until: Column | None = N
     else:
         daily = daily.withColumn("_until", fit_until)
         seen = F.when(F.col("day") <= F.col("_until"), F.col("demand"))
-    cap = F.percentile(seen, F.lit(q)).over(BY_SKU)
+    cap = F.percentile(seen, F.lit(q)).over(Window.partitionBy("sku"))
     return daily.withColumn("demand", F.least("demand", cap)).select("sku", "day", "demand")
 
 

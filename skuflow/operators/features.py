@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skuflow.operators.grid import BY_SKU_DAY, EPOCH_DAYS
+from skuflow.operators.grid import EPOCH_DAYS, by_sku_day
 
 LAGS = (1, 2, 3, 7, 14, 21, 28)
 MEAN_WINDOWS = (3, 7, 14, 28, 60)
@@ -23,11 +23,11 @@ EPS = 1e-6
 
 
 def past(w: int):
-    return BY_SKU_DAY.rowsBetween(-w, -1)
+    return by_sku_day().rowsBetween(-w, -1)
 
 
 def lags(grid: DataFrame) -> DataFrame:
-    return grid.withColumns({f"lag_{n}": F.lag("demand", n).over(BY_SKU_DAY) for n in LAGS})
+    return grid.withColumns({f"lag_{n}": F.lag("demand", n).over(by_sku_day()) for n in LAGS})
 
 
 def same_weekday(grid: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def same_weekday(grid: DataFrame) -> DataFrame:
 
 def _running_totals(grid: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Running sums up to yesterday, one per value: the base of every windowed sum below."""
-    upto_yesterday = BY_SKU_DAY.rowsBetween(Window.unboundedPreceding, -1)
+    upto_yesterday = by_sku_day().rowsBetween(Window.unboundedPreceding, -1)
     return grid.withColumns({n: F.coalesce(F.sum(v).over(upto_yesterday), F.lit(0.0)) for n, v in values.items()})
 
 
@@ -55,7 +55,7 @@ def _windowed(total: str, w: int) -> Column:
     Constant work per row whatever the window, where a sliding frame re-adds all
     ``w`` values for every row.
     """
-    return F.col(total) - F.coalesce(F.lag(total, w).over(BY_SKU_DAY), F.lit(0.0))
+    return F.col(total) - F.coalesce(F.lag(total, w).over(by_sku_day()), F.lit(0.0))
 
 
 def _rows_seen(w: int) -> Column:
@@ -89,8 +89,8 @@ def rolling_extremes(grid: DataFrame) -> DataFrame:
         h = w // 2
         out = out.withColumns(
             {
-                f"rmax_{w}": F.greatest(f"rmax_{h}", F.lag(f"rmax_{h}", h).over(BY_SKU_DAY)),
-                f"rmin_{w}": F.least(f"rmin_{h}", F.lag(f"rmin_{h}", h).over(BY_SKU_DAY)),
+                f"rmax_{w}": F.greatest(f"rmax_{h}", F.lag(f"rmax_{h}", h).over(by_sku_day())),
+                f"rmin_{w}": F.least(f"rmin_{h}", F.lag(f"rmin_{h}", h).over(by_sku_day())),
             }
         )
     return out
@@ -136,7 +136,7 @@ def days_since(grid: DataFrame) -> DataFrame:
     seen = F.when(F.col("has_demand") == 1, F.col("day_no"))
 
     def latest(until: int) -> Column:
-        return F.last(seen, ignorenulls=True).over(BY_SKU_DAY.rowsBetween(Window.unboundedPreceding, until))
+        return F.last(seen, ignorenulls=True).over(by_sku_day().rowsBetween(Window.unboundedPreceding, until))
 
     return grid.withColumns(
         {
@@ -157,7 +157,7 @@ def ewm(grid: DataFrame, spans: tuple[int, ...] = (7, 28), value: str = "demand"
     """
     in_epoch = F.col("day_no") - F.col("epoch") * EPOCH_DAYS
     local = Window.partitionBy("sku", "epoch").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    upto_yesterday = BY_SKU_DAY.rowsBetween(Window.unboundedPreceding, -1)
+    upto_yesterday = by_sku_day().rowsBetween(Window.unboundedPreceding, -1)
     closing = F.col("day_no") % EPOCH_DAYS == EPOCH_DAYS - 1
 
     q = {s: 1 - 2 / (s + 1) for s in spans}
@@ -217,7 +217,7 @@ def baseline_features(grid: DataFrame) -> DataFrame:
                 "base_ratio": F.col("base_yhat") / mean,
                 "base_over_ewm7": F.col("base_yhat") / (F.col("ewm_7") + EPS),
                 "base_over_rmean7": F.col("base_yhat") / (F.col("rmean_7") + EPS),
-                "base_resid_lag1": F.lag("_resid").over(BY_SKU_DAY),
+                "base_resid_lag1": F.lag("_resid").over(by_sku_day()),
                 "base_resid_rmean7": F.avg("_resid").over(past(7)),
                 "base_trend_norm": F.col("base_trend") / (mean + EPS),
                 "base_weekly_abs": F.abs("base_weekly"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Rows of one SKU are split into epochs of this many days. Sorting by (epoch,
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # restart its powers per epoch without another sort.
 EPOCH_DAYS = 1024
 
-BY_SKU_DAY = Window.partitionBy("sku").orderBy("epoch", "day")
+def by_sku_day() -> WindowSpec:
+    return Window.partitionBy("sku").orderBy("epoch", "day")
 
 
 def day_bounds(history: DataFrame) -> tuple[Column, Column]:
