@@ -16,145 +16,136 @@ an index whose denominator is 0 is 1, and a cell divided by a 0 index counts as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.holidays import holiday_events
 
 
+LEVELS = {"dow": range(7), "month": range(1, 13), "hol": range(2)}
+
+
 def class_calendar(days: DataFrame, start: Column) -> DataFrame:
-    """Per day: t, weekday, month, holiday class. Bounded by the calendar."""
-    spark = days.sparkSession
-    events = holiday_events(spark).select(F.col("ds").alias("day")).distinct().withColumn("_h", F.lit(1))
-    return days.join(F.broadcast(events), "day", "left").select(
+    """Per day: t, weekday, month, holiday class, and how many days of each class there are.
+
+    One row per calendar day, which bounds every broadcast of it.
+    """
+    events = holiday_events(days.sparkSession).select(F.col("ds").alias("day")).distinct().withColumn("_h", F.lit(1))
+    classed = days.join(F.broadcast(events), "day", "left").select(
         "day",
         F.datediff("day", start).cast("double").alias("t"),
         F.weekday("day").alias("dow"),
         F.month("day").alias("month"),
         F.coalesce("_h", F.lit(0)).alias("hol"),
     )
-
-
-def _index(level: str, rows: DataFrame, value: str, sizes: DataFrame, total_days: str) -> DataFrame:
-    """(sku, level, index): class mean over overall mean, classes sized by the calendar."""
-    per_class = rows.groupBy("sku", level).agg(F.sum(value).alias("s"))
-    listed = per_class.groupBy("sku").agg(
-        F.sum("s").alias("total"), F.map_from_entries(F.collect_list(F.struct(level, "s"))).alias("by_class")
-    )
-    sizes_map = sizes.agg(
-        F.sum("n").alias(total_days), F.map_from_entries(F.collect_list(F.struct(level, "n"))).alias("sizes")
-    )
-    shares = listed.withColumns(
-        {"_sizes": sizes_map.select("sizes").scalar(), "_days": sizes_map.select(total_days).scalar()}
+    everything = Window.partitionBy()
+    return classed.withColumns(
+        {
+            **{f"n_{level}": F.count("day").over(Window.partitionBy(level)) for level in LEVELS},
+            "n_all": F.count("day").over(everything),
+            "sum_t": F.sum("t").over(everything),
+            "sum_tt": F.sum(F.col("t") * F.col("t")).over(everything),
+        }
     )
-    ratio = lambda k, n: F.when(
-        F.col("total") != 0, F.coalesce(F.element_at("by_class", k), F.lit(0.0)) / n / (F.col("total") / F.col("_days"))
-    ).otherwise(F.lit(1.0))
-    return shares.select("sku", F.transform_values("_sizes", ratio).alias(f"{level}_index"))
 
 
-def fit(daily: DataFrame, days: DataFrame, start: Column) -> DataFrame:
-    """One row per SKU: slope, intercept, mean, and three maps class -> index.
+def fitted_dimension(daily: DataFrame, days: DataFrame, start: Column, min_days: int = 10) -> DataFrame:
+    """One row per SKU with everything scoring needs.
+
+    slope, intercept, mean_y, three maps class -> index, ``gap_index`` for classes
+    without demand, cal_factor (mean demand over mean prediction on demand days,
+    within 0.2..5) and simple_avg (mean demand over demand days). SKUs with fewer
+    than ``min_days`` rows get only simple_avg.
 
-    ``daily``: sparse (sku, day, demand) on the fitted days; ``days``: all fitted days.
+    ``daily``: sparse (sku, day, demand) on the fitted days; ``days``: all fitted
+    days. Every stage is a window within the SKU, so the whole fit takes one
+    shuffle of the sparse rows and no join but the calendar's.
     """
-    cal = class_calendar(days, start)
-    rows = daily.join(F.broadcast(cal), "day")
-    span = cal.agg(
-        F.count("t").alias("n"), F.sum("t").alias("st"), F.sum(F.col("t") * F.col("t")).alias("stt")
-    )
-    n, st, stt = (span.select(c).scalar() for c in ("n", "st", "stt"))
-    line = (
-        rows.groupBy("sku")
-        .agg(F.sum("demand").alias("sy"), F.sum(F.col("t") * F.col("demand")).alias("sty"))
-        .withColumns({"n": n, "st": st, "stt": stt})
+    sku = Window.partitionBy("sku")
+    y, t = F.col("demand"), F.col("t")
+    rows = daily.select("sku", "day", "demand").join(F.broadcast(class_calendar(days, start)), "day")
+    rows = rows.withColumns({"sy": F.sum(y).over(sku), "sty": F.sum(t * y).over(sku)})
+    denominator = F.col("n_all") * F.col("sum_tt") - F.col("sum_t") * F.col("sum_t")
+    slope = F.when(
+        denominator != 0, (F.col("n_all") * F.col("sty") - F.col("sum_t") * F.col("sy")) / denominator
+    ).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"slope": slope, "mean_y": F.col("sy") / F.col("n_all")})
+    rows = rows.withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("sum_t") / F.col("n_all"))
+    rows = rows.withColumns({"base_trend": trend(), "part": F.try_divide(y, trend())})
+    for level in LEVELS:
+        of_class = F.sum("part").over(Window.partitionBy("sku", level)) / F.col(f"n_{level}")
+        overall = F.sum("part").over(sku) / F.col("n_all")
+        rows = rows.withColumn(f"{level}_idx", F.coalesce(F.try_divide(of_class, overall), F.lit(1.0)))
+        rows = rows.withColumn("part", F.coalesce(F.try_divide("part", f"{level}_idx"), F.lit(0.0)))
+    raw = F.greatest(F.lit(0.0), F.col("base_trend") * F.col("dow_idx") * F.col("month_idx") * F.col("hol_idx"))
+    positive = y > 0
+    per_sku = rows.groupBy("sku").agg(
+        F.count("day").alias("n_rows"),
+        *[F.first(c).alias(c) for c in ("slope", "intercept", "mean_y")],
+        *[
+            F.map_from_entries(F.collect_set(F.struct(F.col(level), F.col(f"{level}_idx")))).alias(f"{level}_index")
+            for level in LEVELS
+        ],
+        F.avg(F.when(positive, y)).alias("avg_y"),
+        F.avg(F.when(positive, raw)).alias("avg_p"),
     )
-    denominator = F.col("n") * F.col("stt") - F.col("st") * F.col("st")
-    line = (
-        line.withColumn(
-            "slope",
-            F.when(denominator != 0, (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / denominator).otherwise(
-                F.lit(0.0)
-            ),
-        )
-        .withColumn("mean_y", F.col("sy") / F.col("n"))
-        .withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("st") / F.col("n"))
-        .select("sku", "slope", "intercept", "mean_y")
+    factor = F.least(F.greatest(F.col("avg_y") / F.col("avg_p"), F.lit(0.2)), F.lit(5.0))
+    fitted = {
+        "slope": F.col("slope"),
+        "intercept": F.col("intercept"),
+        "mean_y": F.col("mean_y"),
+        **{f"{level}_index": F.col(f"{level}_index") for level in LEVELS},
+        "gap_index": F.when(F.col("mean_y") != 0, F.lit(0.0)).otherwise(F.lit(1.0)),
+        "cal_factor": F.when(F.col("avg_p") > 0.01, factor).otherwise(F.lit(1.0)),
+    }
+    return per_sku.select(
+        "sku",
+        F.coalesce("avg_y", F.lit(0.0)).alias("simple_avg"),
+        *[F.when(F.col("n_rows") >= min_days, c).alias(n) for n, c in fitted.items()],
     )
-    detrended = rows.join(line, "sku").withColumn("r", F.try_divide("demand", trend()))
 
-    def sizes(level: str) -> DataFrame:
-        return cal.groupBy(level).agg(F.count("day").alias("n"))
 
-    def divide(df: DataFrame, index: DataFrame, level: str, src: str, dst: str) -> DataFrame:
-        of_class = F.element_at(F.col(f"{level}_index"), F.col(level))
-        return df.join(index, "sku").withColumn(
-            dst, F.when(of_class != 0, F.col(src) / of_class).otherwise(F.lit(0.0))
-        )
-
-    weekly = _index("dow", detrended, "r", sizes("dow"), "days")
-    r2 = divide(detrended, weekly, "dow", "r", "r2")
-    yearly = _index("month", r2, "r2", sizes("month"), "days")
-    r3 = divide(r2, yearly, "month", "r2", "r3")
-    holiday = _index("hol", r3, "r3", sizes("hol"), "days")
-    return line.join(weekly, "sku").join(yearly, "sku").join(holiday, "sku")
+FIT_COLUMNS = ["slope", "intercept", "mean_y", "dow_index", "month_index", "hol_index", "gap_index", "cal_factor", "simple_avg"]
 
 
 def trend(t: str = "t") -> Column:
     return F.greatest(F.col("intercept") + F.col("slope") * F.col(t), 0.1 * F.col("mean_y"))
 
 
+def class_index(level: str, of: Column | None = None) -> Column:
+    return F.coalesce(F.element_at(f"{level}_index", F.col(level) if of is None else of), "gap_index")
+
+
 def components(rows: DataFrame) -> DataFrame:
-    """Add base_trend, base_weekly, base_yearly, base_raw. Needs the fit columns and t, dow, month, hol."""
-    at = lambda level: F.coalesce(F.element_at(F.col(f"{level}_index"), F.col(level)), F.lit(1.0))
+    """Add base_yhat, base_trend, base_weekly, base_yearly.
+
+    Needs the fit columns and t, dow, month, hol. SKUs without a fit get their
+    average demand (0 if there is none) and no components.
+    """
+    fitted = F.col("slope").isNotNull()
+    raw = F.greatest(F.lit(0.0), trend() * class_index("dow") * class_index("month") * class_index("hol"))
+
+    def only_fitted(c: Column) -> Column:
+        return F.when(fitted, c).otherwise(F.lit(0.0))
+
     return rows.withColumns(
-        {"base_trend": trend(), "base_weekly": at("dow") - 1, "base_yearly": at("month") - 1, "_hol": at("hol")}
-    ).withColumn(
-        "base_raw",
-        F.greatest(
-            F.lit(0.0),
-            F.col("base_trend") * (1 + F.col("base_weekly")) * (1 + F.col("base_yearly")) * F.col("_hol"),
-        ),
-    ).drop("_hol")
-
-
-def calibration(daily: DataFrame, params: DataFrame, days: DataFrame, start: Column) -> DataFrame:
-    """(sku, cal_factor): mean demand over mean prediction on demand days, within 0.2..5."""
-    rows = daily.where("demand > 0").join(F.broadcast(class_calendar(days, start)), "day").join(params, "sku")
-    means = components(rows).groupBy("sku").agg(F.avg("demand").alias("a"), F.avg("base_raw").alias("p"))
-    factor = F.least(F.greatest(F.col("a") / F.col("p"), F.lit(0.2)), F.lit(5.0))
-    return means.select("sku", F.when(F.col("p") > 0.01, factor).otherwise(F.lit(1.0)).alias("cal_factor"))
-
-
-def simple_average(daily: DataFrame) -> DataFrame:
-    """(sku, simple_avg): mean demand over demand days, else 0."""
-    return daily.groupBy("sku").agg(
-        F.coalesce(F.avg(F.when(F.col("demand") > 0, F.col("demand"))), F.lit(0.0)).alias("simple_avg")
+        {
+            "base_yhat": F.coalesce(F.when(fitted, raw * F.col("cal_factor")), "simple_avg", F.lit(0.0)),
+            "base_trend": only_fitted(trend()),
+            "base_weekly": only_fitted(class_index("dow") - 1),
+            "base_yearly": only_fitted(class_index("month") - 1),
+        }
     )
 
 
-def fitted_dimension(daily: DataFrame, days: DataFrame, start: Column, min_days: int = 10) -> DataFrame:
-    """One row per SKU with everything scoring needs: fit, calibration, fallback average."""
-    counts = daily.groupBy("sku").agg(F.count("day").alias("n_demand_days"))
-    enough = daily.join(counts.where(F.col("n_demand_days") >= min_days), "sku", "left_semi")
-    params = fit(enough, days, start)
-    cal = calibration(enough, params, days, start)
-    return simple_average(daily).join(params.join(cal, "sku", "left"), "sku", "left")
+COMPONENTS = ["base_yhat", "base_trend", "base_weekly", "base_yearly"]
 
 
 def predict(rows: DataFrame, dimension: DataFrame, days: DataFrame, start: Column) -> DataFrame:
-    """Add base_yhat and components to (sku, day) rows; SKUs without a fit get their average."""
-    joined = rows.join(F.broadcast(class_calendar(days, start)), "day", "left").join(dimension, "sku", "left")
-    out = components(joined)
-    fitted = F.col("slope").isNotNull()
-    keep = rows.columns
-    return out.select(
-        *keep,
-        F.coalesce(F.when(fitted, F.col("base_raw") * F.coalesce("cal_factor", F.lit(1.0))), "simple_avg", F.lit(0.0)).alias(
-            "base_yhat"
-        ),
-        *[F.when(fitted, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("base_trend", "base_weekly", "base_yearly")],
-    )
+    """Add the baseline columns to (sku, day) rows."""
+    cal = class_calendar(days, start).select("day", "t", *LEVELS)
+    joined = rows.join(F.broadcast(cal), "day", "left").join(dimension, "sku", "left")
+    return components(joined).select(*rows.columns, *COMPONENTS)
 
 
 def summary(predicted: DataFrame, dimension: DataFrame, segments: DataFrame, frequency: DataFrame) -> DataFrame:

@@ -61,6 +61,10 @@ def free_slots(slots: DataFrame, occupied: DataFrame, slot_type: str | None = No
     return wanted.join(occupied.select("slot_id"), "slot_id", "left_anti")
 
 
+def occupancy_rate() -> Column:
+    return F.coalesce(F.bround(F.try_divide(F.col("occupied"), F.col("total")) * 100, 1), F.lit(0.0))
+
+
 def occupancy(slots: DataFrame, occupied: DataFrame) -> DataFrame:
     """Total, occupied, free and rate (one digit) per slot type and overall."""
     taken = occupied.select("slot_id").distinct().withColumn("_taken", F.lit(True))
@@ -74,11 +78,35 @@ def occupancy(slots: DataFrame, occupied: DataFrame) -> DataFrame:
             "total",
             "occupied",
             (F.col("total") - F.col("occupied")).alias("available"),
-            F.bround(F.col("occupied") / F.col("total") * 100, 1).alias("occupancy_rate"),
+            occupancy_rate().alias("occupancy_rate"),
         )
     )
 
 
+def batch_occupancy(slots: DataFrame, held: DataFrame, batch: str = "day") -> DataFrame:
+    """Occupancy per type and overall at the end of each batch. ``held``: (batch, slot_id), no repeats."""
+    kinds = ("PICKING", "RESERVE")
+    size = slots.agg(*[F.count_if(F.col("slot_type") == k).alias(k) for k in kinds], F.count("slot_id").alias("ALL"))
+    used = (
+        held.join(slots.select("slot_id", "slot_type"), "slot_id")
+        .groupBy(batch)
+        .agg(*[F.count_if(F.col("slot_type") == k).alias(f"u_{k}") for k in kinds], F.count("slot_id").alias("u_ALL"))
+        .withColumns({f"n_{k}": size.select(k).scalar() for k in (*kinds, "ALL")})
+    )
+    rows = F.array(
+        *[
+            F.struct(F.lit(k).alias("slot_type"), F.col(f"n_{k}").alias("total"), F.col(f"u_{k}").alias("occupied"))
+            for k in (*kinds, "ALL")
+        ]
+    )
+    return used.select(batch, F.inline(rows)).withColumns(
+        {
+            "available": F.col("total") - F.col("occupied"),
+            "occupancy_rate": occupancy_rate(),
+        }
+    )
+
+
 def target_type(products: DataFrame, prefer_picking: Column | None = None) -> DataFrame:
     """PICKING for preferred goods and for frequent HF goods, RESERVE for the rest."""
     frequent = (F.col("segment") == "HF") & (F.coalesce("demand_freq", F.lit(0.0)) > PICKING_MIN_FREQUENCY)

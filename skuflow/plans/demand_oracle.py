@@ -144,8 +144,8 @@ SQL["days_since"] = demand_rows(
 )
 _ROWS = "(SELECT * FROM grid WHERE has_demand = 1)"
 SQL["ewm_features"] = f"""{with_(*PART_GRID, EWM.format(rows=_ROWS))}
-SELECT g.sku, g.day, {r(f'CASE WHEN day_no > 0 THEN {EWM_7} END', 'ewm_7')},
-       {r(f'CASE WHEN day_no > 0 THEN {EWM_28} END', 'ewm_28')}
+SELECT g.sku, g.day, {r(f'CASE WHEN day_no > 0 THEN {EWM_7} + 1e-9 END', 'ewm_7')},
+       {r(f'CASE WHEN day_no > 0 THEN {EWM_28} + 1e-9 END', 'ewm_28')}
 FROM grid g LEFT JOIN ewm USING (sku, day) WHERE has_demand = 1"""
 _mean = "(prod_avg_demand + 1e-6)"
 SQL["ratio_features"] = f"""{with_(*PART_GRID, STATS, EWM.format(rows=_ROWS))},
@@ -337,7 +337,7 @@ classes AS (
 SELECT sku, level, class, {r('idx', 'idx')}, {r('slope', 'slope', 6)}, {r('intercept', 'intercept')}
 FROM classes JOIN line USING (sku)"""
 _b = ("base_yhat", "base_trend", "base_weekly", "base_yearly")
-SQL["baseline_components"] = f"{with_(*LINE_FIT)} SELECT sku, day, {', '.join(r(c, c, 3) for c in _b)} FROM base"
+SQL["baseline_components"] = f"{with_(*LINE_FIT)} SELECT sku, day, {', '.join(r(c, c, 3) for c in _b)} FROM base WHERE y > 0"
 SQL["baseline_calibrated"] = f"""{with_(*LINE_FIT, SEGMENTS)}
 SELECT sku, segment, {r('avg(base_yhat)', 'mean_yhat')}, {r('any_value(cal_factor)', 'cal_factor')},
        {r('avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END)', 'demand_freq')},

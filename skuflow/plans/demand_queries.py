@@ -20,6 +20,7 @@ from skuflow.operators import demand as D
 from skuflow.operators import evaluate as E
 from skuflow.operators import features as X
 from skuflow.operators import grid as G
+from skuflow.session import materialize
 from skuflow.sources import tables as S
 
 
@@ -36,6 +37,10 @@ class Demand:
         names = [] if carry is None else [c for c in carry.columns if c != "sku"]
         return G.demand_grid(D.spread_by_sku(sparse), self.start, self.end, carry=names)
 
+    def shared(self) -> Demand:
+        """Write the daily totals once for plans that read them in several branches."""
+        return Demand(self.history, self.start, self.end, materialize(self.daily, "daily"))
+
     def days(self) -> DataFrame:
         return G.calendar(self.start, self.end, self.history.sparkSession)
 
@@ -137,11 +142,16 @@ rolling_extremes = _features(
 rolling_median = _features(X.rolling_median, [f"rmed_{w}" for w in X.EXTREME_WINDOWS])
 freq_features = _features(X.rolling_frequency, [f"dfreq_{w}" for w in X.FREQ_WINDOWS])
 days_since = _features(X.days_since, ["days_since", "days_since_last"])
-ewm_features = _features(X.ewm, ["ewm_7", "ewm_28"])
+
+
+def ewm_features(spark, sf):
+    """A span-7 mean is often an exact half at four digits; the nudge settles such ties the same way everywhere."""
+    grid = X.ewm(by_part(spark, sf).grid())
+    return demand_rows(grid.withColumns({c: F.col(c) + 1e-9 for c in ("ewm_7", "ewm_28")}), ["ewm_7", "ewm_28"])
 
 
 def ratio_features(spark, sf):
-    d = by_part(spark, sf)
+    d = by_part(spark, sf).shared()
     grid = d.grid(carry=D.sku_stats(d.daily))
     for step in (X.lags, X.same_weekday, X.rolling_moments, X.ewm, X.ratios):
         grid = step(grid)
@@ -196,7 +206,7 @@ def category_codes(spark, sf):
 
 
 def hf_interactions(spark, sf):
-    d = by_part(spark, sf)
+    d = by_part(spark, sf).shared()
     seg = D.segments(d.daily).select("sku", (F.col("segment") == "HF").cast("double").alias("is_hf"))
     grid = d.grid(carry=seg)
     for step in (X.lags, X.rolling_moments, X.rolling_frequency, X.days_since):
@@ -218,27 +228,27 @@ def _fitted(d: Demand) -> DataFrame:
 def baseline_parameters(spark, sf):
     """Trend line and class indices per product line, one row per (line, class)."""
     d = by_line(spark, sf)
-    fit = B.fit(d.daily, d.days(), d.start)
-    parts = [
-        fit.select("sku", F.lit(level).alias("level"), F.explode(f"{level}_index").alias("class", "idx"))
-        for level in ("dow", "month", "hol")
+    fit = B.fitted_dimension(d.daily, d.days(), d.start, min_days=0)
+    classes = [
+        F.struct(F.lit(level).alias("level"), F.lit(k).alias("class"), B.class_index(level, F.lit(k)).alias("idx"))
+        for level, ks in B.LEVELS.items()
+        for k in ks
     ]
-    classes = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    line = fit.select("sku", rounded("slope", 6).alias("slope"), rounded("intercept").alias("intercept"))
-    return classes.join(line, "sku").withColumn("idx", rounded("idx"))
+    return fit.select(
+        "sku", rounded("slope", 6).alias("slope"), rounded("intercept").alias("intercept"), F.inline(F.array(*classes))
+    ).withColumn("idx", rounded("idx"))
 
 
 def baseline_components(spark, sf):
-    """Prediction and components for every product line and day."""
-    d = by_line(spark, sf)
-    out = B.predict(d.grid().select("sku", "day"), _fitted(d), d.days(), d.start)
-    cols = ["base_yhat", "base_trend", "base_weekly", "base_yearly"]
-    return out.select("sku", "day", *[rounded(c, 3).alias(c) for c in cols])
+    """Prediction and components, computed for every product line and day, returned for the demand rows."""
+    d = by_line(spark, sf).shared()
+    out = B.predict(d.grid(), _fitted(d), d.days(), d.start).where("has_demand = 1")
+    return out.select("sku", "day", *[rounded(c, 3).alias(c) for c in B.COMPONENTS])
 
 
 def baseline_calibrated(spark, sf):
     """Per product line: segment, mean prediction, slope, calibration factor, frequency."""
-    d = by_line(spark, sf)
+    d = by_line(spark, sf).shared()
     fitted = _fitted(d)
     predicted = B.predict(d.grid().select("sku", "day"), fitted, d.days(), d.start)
     freq = D.demand_frequency(d.daily.withColumn("_n", D.n_days(d.start, d.end)), F.max("_n"))
@@ -251,7 +261,7 @@ def baseline_calibrated(spark, sf):
 
 def baseline_features(spark, sf):
     """Residual and ratio features of the baseline on demand rows."""
-    d = by_line(spark, sf)
+    d = by_line(spark, sf).shared()
     grid = B.predict(d.grid(carry=D.sku_stats(d.daily)), _fitted(d), d.days(), d.start)
     for step in (X.ewm, X.rolling_moments, X.baseline_features):
         grid = step(grid)
@@ -267,7 +277,7 @@ TEST_DAYS = 30
 
 def _evaluation(spark, sf) -> DataFrame:
     """Last 30 days of every product line: actual, lag-1, EWM-7 and baseline predictions, segment."""
-    d = by_line(spark, sf)
+    d = by_line(spark, sf).shared()
     grid = X.ewm(X.lags(d.grid(carry=D.segments(d.daily).select("sku", "segment"))))
     _, test = G.train_test(grid, d.end, TEST_DAYS)
     return B.predict(
@@ -340,7 +350,7 @@ QUERIES = {
     for f in (
         daily_demand_capped, delivery_stats, demand_grid, demand_frequency, sparsity_profile, sku_stats,
         sku_totals_topk, baseline_candidates, demand_summary, segment_counts, sku_segments, ratio_features,
-        delivery_rolling, calendar_features, holiday_features, holiday_events, category_codes, hf_interactions,
+        ewm_features, delivery_rolling, calendar_features, holiday_features, holiday_events, category_codes, hf_interactions,
         baseline_parameters, baseline_components, baseline_calibrated, baseline_features, wape_models, wape_10d,
         wape_segment, lag1_accuracy, auc_exact, confusion,
     )
@@ -351,5 +361,4 @@ QUERIES = {
     "rolling_median": rolling_median,
     "freq_features": freq_features,
     "days_since": days_since,
-    "ewm_features": ewm_features,
 }

@@ -39,7 +39,6 @@ def sku_dimension(daily: DataFrame, daily_deliveries: DataFrame, days: DataFrame
 
 STATIC = ["prod_avg_demand", "prod_med_demand", "prod_std_demand", "prod_n_days", "del_total_count",
           "del_total_qty", "del_n_days", "del_avg_qty", "is_hf", "segment"]
-FIT = ["slope", "intercept", "mean_y", "dow_index", "month_index", "hol_index", "cal_factor", "simple_avg"]
 
 
 def time_series_features(grid: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def feature_grid(
     end = F.date_add(last, extend_days)
     facts = G.merge_facts(daily, daily_deliveries, start, last)
     sparse = D.spread_by_sku(facts.join(dim, "sku", "left"))
-    grid = G.demand_grid(sparse, start, end, ("demand", "n_deliveries", "qty_delivered"), [*STATIC, *FIT])
+    grid = G.demand_grid(sparse, start, end, ("demand", "n_deliveries", "qty_delivered"), [*STATIC, *B.FIT_COLUMNS])
     for c in ("prod_avg_demand", "prod_med_demand", "prod_std_demand", "prod_n_days"):
         grid = grid.withColumn(c, F.coalesce(c, F.lit(1)))
 
@@ -86,20 +85,8 @@ def feature_grid(
 
 def with_baseline(grid: DataFrame, days: DataFrame, start: Column) -> DataFrame:
     """Baseline columns from the fit columns each row carries; these are dropped afterwards."""
-    cal = B.class_calendar(days, start).withColumnsRenamed({"dow": "_dow", "month": "_month", "hol": "_hol_day"})
-    joined = grid.join(F.broadcast(cal), "day", "left").withColumnsRenamed(
-        {"_dow": "dow", "_month": "month", "_hol_day": "hol"}
-    )
-    fitted = F.col("slope").isNotNull()
-    out = B.components(joined)
-    return out.withColumns(
-        {
-            "base_yhat": F.coalesce(
-                F.when(fitted, F.col("base_raw") * F.coalesce("cal_factor", F.lit(1.0))), "simple_avg", F.lit(0.0)
-            ),
-            **{c: F.when(fitted, F.col(c)).otherwise(F.lit(0.0)) for c in ("base_trend", "base_weekly", "base_yearly")},
-        }
-    ).drop(*FIT, "t", "dow", "month", "hol", "base_raw")
+    cal = B.class_calendar(days, start).select("day", "t", *B.LEVELS)
+    return B.components(grid.join(F.broadcast(cal), "day", "left")).drop(*B.FIT_COLUMNS, "t", *B.LEVELS)
 
 
 @dataclass

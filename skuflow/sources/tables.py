@@ -63,16 +63,19 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("sku"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
-        (F.col("p_size") * 0.2).alias("weight_kg"),
+        (F.col("p_size") / 5.0).alias("weight_kg"),
         F.col("p_retailprice").alias("price"),
     )
 
 
-def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warehouse slots laid out from the supplier keys: 20 x 10 columns, five levels, four sites."""
-    sid = F.col("s_suppkey")
+SLOT_KEYS = {"supplier": "s_suppkey", "customer": "c_custkey"}
+
+
+def slots(spark: SparkSession, sf_dir: str, source: str = "supplier") -> DataFrame:
+    """Warehouse slots laid out from the keys of a table: 20 x 10 columns, five levels, four sites."""
+    sid = F.col(SLOT_KEYS[source])
     z = F.pmod((sid / 20).cast("long"), F.lit(5))
-    base = table(spark, sf_dir, "supplier").select(
+    base = table(spark, sf_dir, source).select(
         sid.alias("slot_id"),
         F.pmod(sid, F.lit(4)).alias("site"),
         F.pmod(sid, F.lit(20)).alias("x"),
