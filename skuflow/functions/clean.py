@@ -54,8 +54,8 @@ def finite_or_zero(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
 
 def rounded(c: Column | str, digits: int = 4) -> Column:
-    """Round half up and drop the sign of a negative zero."""
-    return F.round(_col(c), digits) + F.lit(0.0)
+    """Round for reports: exact halves, which float noise puts on either side, go up; no negative zero."""
+    return F.round(_col(c) + F.lit(1e-9), digits) + F.lit(0.0)
 
 
 def even_rounded(c: Column | str, digits: int = 2) -> Column:

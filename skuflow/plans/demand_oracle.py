@@ -54,7 +54,7 @@ HISTORY = "WINDOW w AS (PARTITION BY sku ORDER BY day)"
 
 
 def r(expr: str, name: str, digits: int = 4) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round({expr} + 1e-9, {digits}) + 0.0 AS {name}"
 
 
 def with_(*ctes: str) -> str:
@@ -144,8 +144,8 @@ SQL["days_since"] = demand_rows(
 )
 _ROWS = "(SELECT * FROM grid WHERE has_demand = 1)"
 SQL["ewm_features"] = f"""{with_(*PART_GRID, EWM.format(rows=_ROWS))}
-SELECT g.sku, g.day, {r(f'CASE WHEN day_no > 0 THEN {EWM_7} + 1e-9 END', 'ewm_7')},
-       {r(f'CASE WHEN day_no > 0 THEN {EWM_28} + 1e-9 END', 'ewm_28')}
+SELECT g.sku, g.day, {r(f'CASE WHEN day_no > 0 THEN {EWM_7} END', 'ewm_7')},
+       {r(f'CASE WHEN day_no > 0 THEN {EWM_28} END', 'ewm_28')}
 FROM grid g LEFT JOIN ewm USING (sku, day) WHERE has_demand = 1"""
 _mean = "(prod_avg_demand + 1e-6)"
 SQL["ratio_features"] = f"""{with_(*PART_GRID, STATS, EWM.format(rows=_ROWS))},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skuflow.plans import demand_oracle, demand_queries, warehouse_oracle, warehouse_queries
+from skuflow.plans import demand_oracle, demand_queries, model_oracle, model_queries, warehouse_oracle, warehouse_queries
 
-QUERIES = {**demand_queries.QUERIES, **warehouse_queries.QUERIES}
-ORACLE = {**demand_oracle.SQL, **warehouse_oracle.SQL}
+QUERIES = {**demand_queries.QUERIES, **warehouse_queries.QUERIES, **model_queries.QUERIES}
+ORACLE = {**demand_oracle.SQL, **warehouse_oracle.SQL, **model_oracle.SQL}

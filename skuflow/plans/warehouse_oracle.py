@@ -135,7 +135,7 @@ PLAN = (
 )
 SQL["occupancy"] = f"""{with_(*PLAN)}
 SELECT coalesce(slot_type, 'ALL') AS slot_type, count(*) AS total, count(a.slot_id) AS occupied,
-       count(*) - count(a.slot_id) AS available, round(count(a.slot_id) / count(*) * 100, 1) AS occupancy_rate
+       count(*) - count(a.slot_id) AS available, round_even(count(a.slot_id) / count(*) * 100, 1) AS occupancy_rate
 FROM slots s LEFT JOIN (SELECT DISTINCT slot_id FROM assigned) a ON a.slot_id = s.slot_id GROUP BY ROLLUP (slot_type)"""
 SQL["free_slots"] = f"""{with_(*PLAN)}
 SELECT slot_id, site, code, dist FROM slots WHERE slot_type = 'PICKING'
@@ -254,7 +254,7 @@ c AS (
   SELECT d.day, kind AS slot_type, total, (SELECT count(*) FROM occupied o WHERE o.day = d.day AND kind IN (o.slot_type, 'ALL')) AS occupied
   FROM (SELECT DISTINCT day FROM occupied) d CROSS JOIN sizes)
 SELECT *, total - occupied AS available,
-       CASE WHEN total > 0 THEN round(occupied / total * 100, 1) ELSE 0 END AS occupancy_rate FROM c"""
+       CASE WHEN total > 0 THEN round_even(occupied / total * 100, 1) ELSE 0 END AS occupancy_rate FROM c"""
 
 # ------------------------------------------------------------------- picking
 

@@ -57,6 +57,16 @@ def transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transaction lines with the product line as SKU."""
+    part = table(spark, sf_dir, "part").select("p_partkey", product_line_key().alias("line"))
+    return (
+        transaction_lines(spark, sf_dir)
+        .join(part, F.col("sku") == F.col("p_partkey"))
+        .select("transaction_id", F.col("line").alias("sku"), "qty")
+    )
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product dimension; weight in kg."""
     return table(spark, sf_dir, "part").select(
@@ -97,23 +107,27 @@ def slots(spark: SparkSession, sf_dir: str, source: str = "supplier") -> DataFra
     )
 
 
-def flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warehouse movements from the event log, flow words still raw."""
+def flow_word() -> Column:
+    """Event kinds as the flow words people write."""
     kind = F.col("event_type")
-    word = (
+    return (
         F.when(kind == "signup", "Reception ")
         .when(kind == "click", "IN")
         .when(kind == "purchase", "Sortie")
         .when(kind == "view", " outgoing")
         .otherwise(kind)
     )
+
+
+def flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouse movements from the event log, flow words still raw."""
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts"),
         F.col("ts").cast("date").alias("day"),
         F.col("user_id").alias("sku"),
         F.pmod("user_id", F.lit(4)).alias("site"),
-        word.alias("flow_word"),
+        flow_word().alias("flow_word"),
         F.col("value").alias("qty"),
     )
 
