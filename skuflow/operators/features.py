@@ -1,7 +1,11 @@
 """Time-series features per SKU.
 
-All windows share one partitioning and one order, so a chain of these functions
-costs one shuffle (of the sparse rows, before the grid is filled) and one sort.
+A feature group is a list of steps; each step gives new columns and may use the
+columns of earlier steps. ``add`` runs the steps of all wanted groups side by
+side, so that windows of the same step share one operator: the full feature set
+needs four window operators over one shuffle (of the sparse rows, before the
+grid is filled) and one sort, however many columns it has.
+
 Every frame ends at the previous day: the current day never leaks into its own
 features.
 """
@@ -9,6 +13,7 @@ features.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,34 +24,56 @@ LAGS = (1, 2, 3, 7, 14, 21, 28)
 MEAN_WINDOWS = (3, 7, 14, 28, 60)
 EXTREME_WINDOWS = (7, 14, 28)
 FREQ_WINDOWS = (7, 14, 28, 60)
+DELIVERY_WINDOWS = {"_n": ("del_rolling", (7, 14, 28)), "_q": ("del_qty_rolling", (7, 28))}
 EPS = 1e-6
 
+Step = Callable[[], dict[str, Column]]
+
+
+def add(grid: DataFrame, *groups: list[Step]) -> DataFrame:
+    """Add feature groups; columns whose name starts with an underscore are helpers and dropped."""
+    for level in range(max(len(g) for g in groups)):
+        cols: dict[str, Column] = {}
+        for g in groups:
+            if level < len(g):
+                cols |= g[level]()
+        grid = grid.withColumns(cols) if cols else grid
+    return grid.drop(*[c for c in grid.columns if c.startswith("_")])
+
+
+def nothing() -> dict[str, Column]:
+    return {}
+
 
 def past(w: int):
     return by_sku_day().rowsBetween(-w, -1)
 
 
-def lags(grid: DataFrame) -> DataFrame:
-    return grid.withColumns({f"lag_{n}": F.lag("demand", n).over(by_sku_day()) for n in LAGS})
+def _lag(c: Column | str, n: int) -> Column:
+    return F.lag(c, n).over(by_sku_day())
 
 
-def same_weekday(grid: DataFrame) -> DataFrame:
-    """Weekly lags and the mean of the last four same weekdays (missing counts as 0). Needs ``lags``."""
-    parts = [F.coalesce(F.col(f"lag_{n}"), F.lit(0.0)) for n in (7, 14, 21, 28)]
-    return grid.withColumns(
-        {
-            "lag_w1": F.col("lag_7"),
-            "lag_w2": F.col("lag_14"),
-            "lag_w4": F.col("lag_28"),
-            "rmean_wday4": (parts[0] + parts[1] + parts[2] + parts[3]) / 4,
-        }
-    )
+# ---------------------------------------------------------------------- lags
+
+LAG = [lambda: {f"lag_{n}": _lag("demand", n) for n in LAGS}]
+
+
+def _same_weekday() -> dict[str, Column]:
+    """Weekly lags and the mean of the last four same weekdays (missing counts as 0)."""
+    total = sum((F.coalesce(F.col(f"lag_{n}"), F.lit(0.0)) for n in (14, 21, 28)), F.coalesce("lag_7", F.lit(0.0)))
+    return {"lag_w1": F.col("lag_7"), "lag_w2": F.col("lag_14"), "lag_w4": F.col("lag_28"), "rmean_wday4": total / 4}
+
+
+SAME_WEEKDAY = [nothing, _same_weekday]  # with LAG
+
+
+# ------------------------------------------------------- sums, means, deviations
 
 
-def _running_totals(grid: DataFrame, values: dict[str, Column]) -> DataFrame:
+def _running_totals(values: dict[str, Column]) -> dict[str, Column]:
     """Running sums up to yesterday, one per value: the base of every windowed sum below."""
     upto_yesterday = by_sku_day().rowsBetween(Window.unboundedPreceding, -1)
-    return grid.withColumns({n: F.coalesce(F.sum(v).over(upto_yesterday), F.lit(0.0)) for n, v in values.items()})
+    return {n: F.coalesce(F.sum(v).over(upto_yesterday), F.lit(0.0)) for n, v in values.items()}
 
 
 def _windowed(total: str, w: int) -> Column:
@@ -55,64 +82,90 @@ def _windowed(total: str, w: int) -> Column:
     Constant work per row whatever the window, where a sliding frame re-adds all
     ``w`` values for every row.
     """
-    return F.col(total) - F.coalesce(F.lag(total, w).over(by_sku_day()), F.lit(0.0))
+    return F.col(total) - F.coalesce(_lag(total, w), F.lit(0.0))
 
 
 def _rows_seen(w: int) -> Column:
     return F.least(F.col("day_no"), F.lit(w))
 
 
-def rolling_moments(grid: DataFrame) -> DataFrame:
+def _some_past(c: Column) -> Column:
+    return F.when(F.col("day_no") > 0, c)
+
+
+def _moments() -> dict[str, Column]:
     """Mean and sample deviation (0 below two values) per window."""
-    base = _running_totals(grid, {"_y": F.col("demand"), "_yy": F.col("demand") * F.col("demand")})
-    base = base.withColumns(
-        {f"_y{w}": _windowed("_y", w) for w in MEAN_WINDOWS} | {f"_yy{w}": _windowed("_yy", w) for w in MEAN_WINDOWS}
-    )
     cols: dict[str, Column] = {}
     for w in MEAN_WINDOWS:
         n, y, yy = _rows_seen(w), F.col(f"_y{w}"), F.col(f"_yy{w}")
         spread = yy - y * y / n
         # what is left of equal values after the subtraction is rounding dust of the running sums
         spread = F.when(spread > 1e-9 * F.greatest(yy, F.lit(1.0)), spread).otherwise(F.lit(0.0))
-        cols[f"rmean_{w}"] = F.when(n > 0, y / n)
+        cols[f"rmean_{w}"] = _some_past(y / n)
         cols[f"rstd_{w}"] = F.when(n > 1, F.sqrt(spread / (n - 1))).otherwise(F.lit(0.0))
-    dropped = ["_y", "_yy"] + [f"{p}{w}" for p in ("_y", "_yy") for w in MEAN_WINDOWS]
-    return base.withColumns(cols).drop(*dropped)
+    return cols
+
+
+def _demand_totals() -> dict[str, Column]:
+    return _running_totals({"_y": F.col("demand"), "_yy": F.col("demand") * F.col("demand")})
+
+
+MOMENTS = [
+    _demand_totals,
+    lambda: {f"{p}{w}": _windowed(p, w) for p in ("_y", "_yy") for w in MEAN_WINDOWS},
+    _moments,
+]
+SUMS = [
+    lambda: _running_totals({"_y": F.col("demand")}),
+    lambda: {f"rsum_{w}": _some_past(_windowed("_y", w)) for w in EXTREME_WINDOWS},
+]
+FREQUENCY = [
+    lambda: _running_totals({"_h": F.col("has_demand").cast("double")}),
+    lambda: {f"dfreq_{w}": _some_past(_windowed("_h", w) / _rows_seen(w)) for w in FREQ_WINDOWS},
+]
+DELIVERY_ROLLING = [
+    lambda: _running_totals({"_n": F.col("n_deliveries"), "_q": F.col("qty_delivered")}),
+    lambda: {
+        f"{name}_{w}": _some_past(_windowed(total, w)) for total, (name, ws) in DELIVERY_WINDOWS.items() for w in ws
+    },
+]
 
 
-def rolling_extremes(grid: DataFrame) -> DataFrame:
-    """Max and min per window. Only the 7-day frame slides; each longer window is
-    two halves of the one before (7 + 7 = 14, 14 + 14 = 28)."""
-    half, *doubled = EXTREME_WINDOWS
-    out = grid.withColumns({f"rmax_{half}": F.max("demand").over(past(half)), f"rmin_{half}": F.min("demand").over(past(half))})
-    for w in doubled:
-        h = w // 2
-        out = out.withColumns(
-            {
-                f"rmax_{w}": F.greatest(f"rmax_{h}", F.lag(f"rmax_{h}", h).over(by_sku_day())),
-                f"rmin_{w}": F.least(f"rmin_{h}", F.lag(f"rmin_{h}", h).over(by_sku_day())),
-            }
-        )
-    return out
+# --------------------------------------------------------- extremes and medians
 
 
-def rolling_sums(grid: DataFrame) -> DataFrame:
-    base = _running_totals(grid, {"_y": F.col("demand")})
-    return base.withColumns({f"rsum_{w}": F.when(F.col("day_no") > 0, _windowed("_y", w)) for w in EXTREME_WINDOWS}).drop("_y")
+def _doubled(w: int) -> dict[str, Column]:
+    """Extremes of a window from those of its two halves."""
+    h = w // 2
+    return {
+        f"rmax_{w}": F.greatest(f"rmax_{h}", _lag(f"rmax_{h}", h)),
+        f"rmin_{w}": F.least(f"rmin_{h}", _lag(f"rmin_{h}", h)),
+    }
 
 
-def rolling_median(grid: DataFrame) -> DataFrame:
+# only the 7-day frame slides: 7 + 7 = 14, 14 + 14 = 28
+EXTREMES = [
+    lambda: {"rmax_7": F.max("demand").over(past(7)), "rmin_7": F.min("demand").over(past(7))},
+    lambda: _doubled(14),
+    lambda: _doubled(28),
+]
+
+
+def _positives() -> dict[str, Column]:
+    positive = F.when(F.col("demand") > 0, F.col("demand"))
+    return {f"_pos{w}": F.collect_list(positive).over(past(w)) for w in EXTREME_WINDOWS}
+
+
+def _medians() -> dict[str, Column]:
     """Median per window of a non-negative series that is mostly 0.
 
-    Only the positive values of a window are gathered; the zeros are known by
-    their number. Where zeros hold the middle, nothing is sorted at all.
+    Only the positive values of a window are gathered (at most 28); the zeros are
+    known by their number. Where zeros hold the middle, nothing is sorted.
     """
-    positives = F.when(F.col("demand") > 0, F.col("demand"))
-    out = grid.withColumns({f"_pos{w}": F.collect_list(positives).over(past(w)) for w in EXTREME_WINDOWS})
     cols = {}
     for w in EXTREME_WINDOWS:
-        n, p = _rows_seen(w), F.size(f"_pos{w}")
-        zeros = n - p
+        n = _rows_seen(w)
+        zeros = n - F.size(f"_pos{w}")
         ordered = F.sort_array(f"_pos{w}")
 
         def at(k: Column) -> Column:
@@ -120,16 +173,16 @@ def rolling_median(grid: DataFrame) -> DataFrame:
 
         low, high = F.floor((n - 1) / 2).cast("int"), F.ceil((n - 1) / 2).cast("int")
         cols[f"rmed_{w}"] = F.when(n > 0, F.when(high < zeros, F.lit(0.0)).otherwise((at(low) + at(high)) / 2))
-    return out.withColumns(cols).drop(*[f"_pos{w}" for w in EXTREME_WINDOWS])
+    return cols
+
+
+MEDIANS = [_positives, _medians]
 
 
-def rolling_frequency(grid: DataFrame) -> DataFrame:
-    base = _running_totals(grid, {"_h": F.col("has_demand").cast("double")})
-    cols = {f"dfreq_{w}": F.when(F.col("day_no") > 0, _windowed("_h", w) / _rows_seen(w)) for w in FREQ_WINDOWS}
-    return base.withColumns(cols).drop("_h")
+# ------------------------------------------------------------- recency, weights
 
 
-def days_since(grid: DataFrame) -> DataFrame:
+def _days_since() -> dict[str, Column]:
     """``days_since`` counts from the day after the last demand seen two or more
     days ago (the published definition); ``days_since_last`` is the plain gap.
     Both are 999 before any demand."""
@@ -138,97 +191,99 @@ def days_since(grid: DataFrame) -> DataFrame:
     def latest(until: int) -> Column:
         return F.last(seen, ignorenulls=True).over(by_sku_day().rowsBetween(Window.unboundedPreceding, until))
 
-    return grid.withColumns(
-        {
-            "days_since": F.coalesce(F.col("day_no") - 1 - latest(-2), F.lit(999)).cast("double"),
-            "days_since_last": F.coalesce(F.col("day_no") - latest(-1), F.lit(999)).cast("double"),
-        }
-    )
+    return {
+        "days_since": F.coalesce(F.col("day_no") - 1 - latest(-2), F.lit(999)).cast("double"),
+        "days_since_last": F.coalesce(F.col("day_no") - latest(-1), F.lit(999)).cast("double"),
+    }
 
 
-def ewm(grid: DataFrame, spans: tuple[int, ...] = (7, 28), value: str = "demand") -> DataFrame:
-    """Bias-adjusted exponentially weighted mean of all earlier days.
+DAYS_SINCE = [_days_since]
 
-    With q = 1 - 2/(span+1) the weighted sum up to yesterday is a prefix sum of
-    y * q^-i, rescaled by q^i. Powers restart in each epoch so that they cannot
-    overflow; the last finished epoch is carried in with its decay. What lies two
-    epochs back weighs at most q^1024 (1e-31 for span 28) and is below the
-    resolution of a double.
-    """
-    in_epoch = F.col("day_no") - F.col("epoch") * EPOCH_DAYS
+EWM_DECAY = {span: 1 - 2 / (span + 1) for span in (7, 28)}
+
+
+def _in_epoch() -> Column:
+    return F.col("day_no") - F.col("epoch") * EPOCH_DAYS
+
+
+def _epoch_sums() -> dict[str, Column]:
+    """Weighted sum inside the epoch, today included."""
     local = Window.partitionBy("sku", "epoch").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    upto_yesterday = by_sku_day().rowsBetween(Window.unboundedPreceding, -1)
+    return {
+        f"_s{span}": F.sum(F.col("demand") * F.pow(F.lit(1 / q), _in_epoch())).over(local) * F.pow(F.lit(q), _in_epoch())
+        for span, q in EWM_DECAY.items()
+    }
+
+
+def _epoch_carry() -> dict[str, Column]:
     closing = F.col("day_no") % EPOCH_DAYS == EPOCH_DAYS - 1
+    upto_yesterday = by_sku_day().rowsBetween(Window.unboundedPreceding, -1)
+    cols = {}
+    for span in EWM_DECAY:
+        cols[f"_s{span}_closed"] = F.last(F.when(closing, F.col(f"_s{span}")), ignorenulls=True).over(upto_yesterday)
+        cols[f"_s{span}_yesterday"] = F.when(_in_epoch() > 0, _lag(f"_s{span}", 1))
+    return cols
 
-    q = {s: 1 - 2 / (s + 1) for s in spans}
-    out = grid.withColumns({f"_p{s}": F.sum(F.col(value) * F.pow(F.lit(1 / q[s]), in_epoch)).over(local) for s in spans})
-    # weighted sum inside the epoch, today included
-    out = out.withColumns({f"_s{s}": F.col(f"_p{s}") * F.pow(F.lit(q[s]), in_epoch) for s in spans})
-    out = out.withColumns(
-        {
-            f"_e{s}": F.coalesce(
-                F.last(F.when(closing, F.col(f"_s{s}")), ignorenulls=True).over(upto_yesterday), F.lit(0.0)
-            )
-            for s in spans
-        }
-        | {f"_y{s}": F.lag(f"_s{s}").over(Window.partitionBy("sku", "epoch").orderBy("day")) for s in spans}
-    )
+
+def _ewm() -> dict[str, Column]:
     cols = {}
-    for s in spans:
-        # the closed epoch's sum stands at its last day; in_epoch days later (yesterday) it has decayed by q^in_epoch
-        weighted = F.coalesce(F.col(f"_y{s}"), F.lit(0.0)) + F.col(f"_e{s}") * F.pow(F.lit(q[s]), in_epoch)
-        weights = (1 - F.pow(F.lit(q[s]), F.col("day_no"))) / (1 - q[s])
-        cols[f"ewm_{s}"] = F.when(F.col("day_no") > 0, weighted / weights)
-    return out.withColumns(cols).drop(*[f"_{k}{s}" for s in spans for k in "psey"])
+    for span, q in EWM_DECAY.items():
+        # the closed epoch's sum stands at its last day; by yesterday it has decayed by q^in_epoch
+        closed = F.coalesce(f"_s{span}_closed", F.lit(0.0)) * F.pow(F.lit(q), _in_epoch())
+        weighted = F.coalesce(f"_s{span}_yesterday", F.lit(0.0)) + closed
+        weights = (1 - F.pow(F.lit(q), F.col("day_no"))) / (1 - q)
+        cols[f"ewm_{span}"] = _some_past(weighted / weights)
+    return cols
 
 
-def delivery_rolling(grid: DataFrame) -> DataFrame:
-    base = _running_totals(grid, {"_n": F.col("n_deliveries"), "_q": F.col("qty_delivered")})
-    cols = {f"del_rolling_{w}": F.when(F.col("day_no") > 0, _windowed("_n", w)) for w in (7, 14, 28)}
-    cols |= {f"del_qty_rolling_{w}": F.when(F.col("day_no") > 0, _windowed("_q", w)) for w in (7, 28)}
-    return base.withColumns(cols).drop("_n", "_q")
+# Bias-adjusted exponentially weighted mean of all earlier days. With
+# q = 1 - 2/(span+1) the weighted sum is a prefix sum of y * q^-i, rescaled by
+# q^i. Powers restart in each epoch so that they cannot overflow; the last closed
+# epoch is carried in with its decay. What lies two epochs back weighs at most
+# q^1024 (1e-31 for span 28), below the resolution of a double.
+EWM = [_epoch_sums, _epoch_carry, _ewm]
 
 
-def ratios(grid: DataFrame) -> DataFrame:
-    """Variation and ratio features. Needs moments, ``ewm``, lags and ``prod_avg_demand``."""
-    mean = F.col("prod_avg_demand") + EPS
-    return grid.withColumns(
-        {
-            "cv_28": F.col("rstd_28") / (F.col("rmean_28") + EPS),
-            "lag1_norm": F.col("lag_1") / mean,
-            "rmean7_norm": F.col("rmean_7") / mean,
-            "rmean28_norm": F.col("rmean_28") / mean,
-            "ewm7_norm": F.col("ewm_7") / mean,
-            "ewm28_norm": F.col("ewm_28") / mean,
-            "rmean7_over_28": F.col("rmean_7") / (F.col("rmean_28") + EPS),
-            "rmean_wday4_norm": F.col("rmean_wday4") / mean,
-        }
-    )
+# -------------------------------------------------------------- derived columns
 
 
-def baseline_features(grid: DataFrame) -> DataFrame:
-    """Features from the baseline columns base_yhat, base_trend, base_weekly, base_yearly."""
+def _ratios() -> dict[str, Column]:
     mean = F.col("prod_avg_demand") + EPS
+    return {
+        "cv_28": F.col("rstd_28") / (F.col("rmean_28") + EPS),
+        "lag1_norm": F.col("lag_1") / mean,
+        "rmean7_norm": F.col("rmean_7") / mean,
+        "rmean28_norm": F.col("rmean_28") / mean,
+        "ewm7_norm": F.col("ewm_7") / mean,
+        "ewm28_norm": F.col("ewm_28") / mean,
+        "rmean7_over_28": F.col("rmean_7") / (F.col("rmean_28") + EPS),
+        "rmean_wday4_norm": F.col("rmean_wday4") / mean,
+    }
+
+
+RATIOS = [nothing, nothing, nothing, _ratios]  # with LAG, SAME_WEEKDAY, MOMENTS, EWM; needs prod_avg_demand
+
+
+def _residuals() -> dict[str, Column]:
     residual = F.col("demand") - F.col("base_yhat")
-    return (
-        grid.withColumn("_resid", residual)
-        .withColumns(
-            {
-                "base_ratio": F.col("base_yhat") / mean,
-                "base_over_ewm7": F.col("base_yhat") / (F.col("ewm_7") + EPS),
-                "base_over_rmean7": F.col("base_yhat") / (F.col("rmean_7") + EPS),
-                "base_resid_lag1": F.lag("_resid").over(by_sku_day()),
-                "base_resid_rmean7": F.avg("_resid").over(past(7)),
-                "base_trend_norm": F.col("base_trend") / (mean + EPS),
-                "base_weekly_abs": F.abs("base_weekly"),
-                "base_yearly_abs": F.abs("base_yearly"),
-                "base_seasonal_str": F.abs("base_weekly") + F.abs("base_yearly"),
-            }
-        )
-        .drop("_resid")
-    )
+    return {"base_resid_lag1": _lag(residual, 1), "base_resid_rmean7": F.avg(residual).over(past(7))}
 
 
+def _baseline_ratios() -> dict[str, Column]:
+    mean = F.col("prod_avg_demand") + EPS
+    return {
+        "base_ratio": F.col("base_yhat") / mean,
+        "base_over_ewm7": F.col("base_yhat") / (F.col("ewm_7") + EPS),
+        "base_over_rmean7": F.col("base_yhat") / (F.col("rmean_7") + EPS),
+        "base_trend_norm": F.col("base_trend") / (mean + EPS),
+        "base_weekly_abs": F.abs("base_weekly"),
+        "base_yearly_abs": F.abs("base_yearly"),
+        "base_seasonal_str": F.abs("base_weekly") + F.abs("base_yearly"),
+    }
+
+
+BASELINE = [_residuals, nothing, nothing, _baseline_ratios]  # with MOMENTS, EWM; needs the base_ columns
+
 HF_INTERACTIONS = {
     "hf_x_ramadan": "is_ramadan",
     "hf_x_eid_fitr": "is_eid_fitr",
@@ -256,9 +311,9 @@ def category_codes(products: DataFrame) -> DataFrame:
 
     Ranks run over the distinct values only.
     """
-    distinct = products.select(F.coalesce("category", F.lit("UNKNOWN")).alias("category")).distinct()
     from skuflow.operators.prefix import numbered
 
+    distinct = products.select(F.coalesce("category", F.lit("UNKNOWN")).alias("category")).distinct()
     return numbered(distinct, [], ["category"], "_n").select(
         "category", (F.col("_n") - 1).cast("double").alias("cat_enc")
     )

@@ -125,32 +125,29 @@ def sku_segments(spark, sf):
     return D.segments(by_part(spark, sf).daily)
 
 
-def _features(step: Callable[[DataFrame], DataFrame], cols: list[str]):
+def _features(cols: list[str], *groups):
     def query(spark, sf):
-        return demand_rows(step(by_part(spark, sf).grid()), cols)
+        return demand_rows(X.add(by_part(spark, sf).grid(), *groups), cols)
 
     return query
 
 
 lag_features = _features(
-    lambda g: X.same_weekday(X.lags(g)), [f"lag_{n}" for n in X.LAGS] + ["lag_w1", "lag_w2", "lag_w4", "rmean_wday4"]
+    [f"lag_{n}" for n in X.LAGS] + ["lag_w1", "lag_w2", "lag_w4", "rmean_wday4"], X.LAG, X.SAME_WEEKDAY
 )
-rolling_features = _features(X.rolling_moments, [f"{p}_{w}" for w in X.MEAN_WINDOWS for p in ("rmean", "rstd")])
+rolling_features = _features([f"{p}_{w}" for w in X.MEAN_WINDOWS for p in ("rmean", "rstd")], X.MOMENTS)
 rolling_extremes = _features(
-    lambda g: X.rolling_sums(X.rolling_extremes(g)), [f"{p}_{w}" for w in X.EXTREME_WINDOWS for p in ("rmax", "rmin", "rsum")]
+    [f"{p}_{w}" for w in X.EXTREME_WINDOWS for p in ("rmax", "rmin", "rsum")], X.EXTREMES, X.SUMS
 )
-rolling_median = _features(X.rolling_median, [f"rmed_{w}" for w in X.EXTREME_WINDOWS])
-freq_features = _features(X.rolling_frequency, [f"dfreq_{w}" for w in X.FREQ_WINDOWS])
-days_since = _features(X.days_since, ["days_since", "days_since_last"])
-
-ewm_features = _features(X.ewm, ["ewm_7", "ewm_28"])
+rolling_median = _features([f"rmed_{w}" for w in X.EXTREME_WINDOWS], X.MEDIANS)
+freq_features = _features([f"dfreq_{w}" for w in X.FREQ_WINDOWS], X.FREQUENCY)
+days_since = _features(["days_since", "days_since_last"], X.DAYS_SINCE)
+ewm_features = _features(["ewm_7", "ewm_28"], X.EWM)
 
 
 def ratio_features(spark, sf):
     d = by_part(spark, sf).shared()
-    grid = d.grid(carry=D.sku_stats(d.daily))
-    for step in (X.lags, X.same_weekday, X.rolling_moments, X.ewm, X.ratios):
-        grid = step(grid)
+    grid = X.add(d.grid(carry=D.sku_stats(d.daily)), X.LAG, X.SAME_WEEKDAY, X.MOMENTS, X.EWM, X.RATIOS)
     cols = ["cv_28", "lag1_norm", "rmean7_norm", "rmean28_norm", "ewm7_norm", "ewm28_norm", "rmean_wday4_norm"]
     return demand_rows(grid, cols)
 
@@ -160,7 +157,7 @@ def delivery_rolling(spark, sf):
     facts = G.merge_facts(d.daily, _shifted_deliveries(spark, sf), d.start, d.end)
     grid = G.demand_grid(D.spread_by_sku(facts), d.start, d.end, ("demand", "n_deliveries", "qty_delivered"))
     cols = ["n_deliveries", "qty_delivered"] + [f"del_rolling_{w}" for w in (7, 14, 28)]
-    return demand_rows(X.delivery_rolling(grid), cols + [f"del_qty_rolling_{w}" for w in (7, 28)])
+    return demand_rows(X.add(grid, X.DELIVERY_ROLLING), cols + [f"del_qty_rolling_{w}" for w in (7, 28)])
 
 
 def _shifted_deliveries(spark, sf):
@@ -204,9 +201,7 @@ def category_codes(spark, sf):
 def hf_interactions(spark, sf):
     d = by_part(spark, sf).shared()
     seg = D.segments(d.daily).select("sku", (F.col("segment") == "HF").cast("double").alias("is_hf"))
-    grid = d.grid(carry=seg)
-    for step in (X.lags, X.rolling_moments, X.rolling_frequency, X.days_since):
-        grid = step(grid)
+    grid = X.add(d.grid(carry=seg), X.LAG, X.MOMENTS, X.FREQUENCY, X.DAYS_SINCE)
     grid = H.with_holidays(grid, d.days()).withColumns(
         {k: v for k, v in calendar_columns("day").items() if k in ("dow", "month", "is_wknd")}
     )
@@ -259,8 +254,7 @@ def baseline_features(spark, sf):
     """Residual and ratio features of the baseline on demand rows."""
     d = by_line(spark, sf).shared()
     grid = B.predict(d.grid(carry=D.sku_stats(d.daily)), _fitted(d), d.days(), d.start)
-    for step in (X.ewm, X.rolling_moments, X.baseline_features):
-        grid = step(grid)
+    grid = X.add(grid, X.EWM, X.MOMENTS, X.BASELINE)
     cols = ["base_ratio", "base_resid_lag1", "base_resid_rmean7", "base_trend_norm", "base_weekly_abs",
             "base_yearly_abs", "base_seasonal_str"]
     return grid.where("has_demand = 1").select("sku", "day", *[rounded(c, 3).alias(c) for c in cols])
@@ -274,7 +268,7 @@ TEST_DAYS = 30
 def _evaluation(spark, sf) -> DataFrame:
     """Last 30 days of every product line: actual, lag-1, EWM-7 and baseline predictions, segment."""
     d = by_line(spark, sf).shared()
-    grid = X.ewm(X.lags(d.grid(carry=D.segments(d.daily).select("sku", "segment"))))
+    grid = X.add(d.grid(carry=D.segments(d.daily).select("sku", "segment")), X.LAG, X.EWM)
     _, test = G.train_test(grid, d.end, TEST_DAYS)
     return B.predict(
         test.select("sku", "day", "segment", F.col("demand").alias("actual"), "lag_1", "ewm_7"), _fitted(d), d.days(), d.start

@@ -35,7 +35,7 @@ HORIZON_DAYS = 31
 def _tuning_rows(spark, sf) -> DataFrame:
     """Last 30 days per part: two level predictions and a deterministic stand-in for the probability."""
     d = by_part(spark, sf).shared()
-    grid = X.ewm(X.rolling_moments(d.grid(carry=B.simple_average(d.daily))))
+    grid = X.add(d.grid(carry=B.simple_average(d.daily)), X.MOMENTS, X.EWM)
     _, test = G.train_test(grid, d.end, TEST_DAYS)
     rows = test.withColumn("_first", F.date_sub(d.end, TEST_DAYS - 1))
     tagged = E.windowed(rows, F.col("_first"), TEST_DAYS)
@@ -204,11 +204,15 @@ def preparation_tour(spark, sf):
 # ---------------------------------------------------------------------- models
 
 
-def _trained(spark, sf) -> training.Trained:
+def _line_deliveries(spark, sf) -> DataFrame:
     headers = S.transactions(spark, sf).withColumn("created_at", S.shifted_day("created_at"))
-    deliveries = D.deliveries(headers, S.line_transaction_lines(spark, sf))
+    return D.deliveries(headers, S.line_transaction_lines(spark, sf))
+
+
+def _trained(spark, sf) -> training.Trained:
+    deliveries = _line_deliveries(spark, sf)
     # fewer and smaller trees than the defaults: this query shows the pipeline, not the best model
-    return training.train(S.line_history(spark, sf), deliveries, rounds=5, classifier_depth=4, regressor_depth=4)
+    return training.train(S.line_history(spark, sf), deliveries, rounds=3, classifier_depth=3, regressor_depth=3)
 
 
 def train_and_score(spark, sf):
@@ -218,12 +222,11 @@ def train_and_score(spark, sf):
 
 
 def feature_importance(spark, sf):
-    trained = _trained(spark, sf)
-    parts = [
-        M.importance(m, trained.features, spark).withColumn("model", F.lit(n))
-        for n, m in (("classifier", trained.classifier), ("regressor", trained.regressor))
-    ]
-    return parts[0].unionByName(parts[1])
+    """Top features of a quantity model learnt from all demand rows before the hold-out."""
+    grid, features = training.feature_grid(S.line_history(spark, sf), _line_deliveries(spark, sf))
+    rows = materialize(G.trim_warm_up(grid).where("has_demand = 1"), "demand-rows")
+    model = M.fit_regressor(rows, features, rounds=3, depth=4)
+    return M.importance(model, features, spark)
 
 
 # --------------------------------------------------------------- files, streams

@@ -41,11 +41,9 @@ STATIC = ["prod_avg_demand", "prod_med_demand", "prod_std_demand", "prod_n_days"
           "del_total_qty", "del_n_days", "del_avg_qty", "is_hf", "segment"]
 
 
-def time_series_features(grid: DataFrame) -> DataFrame:
-    for step in (X.lags, X.same_weekday, X.rolling_moments, X.rolling_extremes, X.rolling_sums, X.rolling_median,
-                 X.rolling_frequency, X.days_since, X.ewm, X.delivery_rolling, X.ratios):
-        grid = grid.transform(step)
-    return grid.drop("days_since_last")
+TIME_SERIES = [X.LAG, X.SAME_WEEKDAY, X.MOMENTS, X.EXTREMES, X.SUMS, X.MEDIANS, X.FREQUENCY, X.DAYS_SINCE, X.EWM,
+               X.DELIVERY_ROLLING]
+DERIVED = [[X.RATIOS[-1]], [X.BASELINE[-1]]]
 
 
 def feature_grid(
@@ -62,19 +60,23 @@ def feature_grid(
     daily = materialize(D.capped_daily(D.daily_demand(history), fit_until=until), "daily")
     fit_days = G.calendar(start, until, spark)
     fit_rows = daily.withColumn("_u", until).where("day <= _u").drop("_u")
-    dim = sku_dimension(fit_rows, daily_deliveries, fit_days, start)
+    dim = materialize(sku_dimension(fit_rows, daily_deliveries, fit_days, start), "sku-dimension")
 
     end = F.date_add(last, extend_days)
     facts = G.merge_facts(daily, daily_deliveries, start, last)
-    sparse = D.spread_by_sku(facts.join(dim, "sku", "left"))
-    grid = G.demand_grid(sparse, start, end, ("demand", "n_deliveries", "qty_delivered"), [*STATIC, *B.FIT_COLUMNS])
-    for c in ("prod_avg_demand", "prod_med_demand", "prod_std_demand", "prod_n_days"):
-        grid = grid.withColumn(c, F.coalesce(c, F.lit(1)))
-
+    fit = dim.select("sku", *B.FIT_COLUMNS)
+    sparse = D.spread_by_sku(facts.join(fit, "sku", "left"))
+    grid = G.demand_grid(sparse, start, end, ("demand", "n_deliveries", "qty_delivered"), B.FIT_COLUMNS)
     all_days = G.calendar(start, end, spark)
-    grid = with_holidays(grid, all_days)
+
+    # windows run on narrow rows; what is constant per SKU or per day is added after them
     grid = with_baseline(grid, all_days, start)
-    grid = time_series_features(grid).transform(X.baseline_features)
+    grid = X.add(grid, *TIME_SERIES, [X.BASELINE[0]]).drop("days_since_last")
+    grid = grid.join(dim.select("sku", *STATIC), "sku", "left")
+    grid = grid.withColumns(
+        {c: F.coalesce(c, F.lit(1)) for c in ("prod_avg_demand", "prod_med_demand", "prod_std_demand", "prod_n_days")}
+    )
+    grid = with_holidays(X.add(grid, *DERIVED), all_days)
     grid = grid.withColumns(calendar_columns("day")).withColumns(
         {"day_idx": F.col("day_no").cast("double"), "day_idx_sq": F.pow("day_no", F.lit(2)) / 1e6}
     )
