@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.clean import non_negative
+from skuflow.operators.prefix import numbered, running
 
 
 
@@ -142,8 +143,6 @@ def segments(daily: DataFrame, share: float = 0.2) -> DataFrame:
     )
     tied = cuts.where((F.col("ahead") < F.col("quota")) & (F.col("ahead") + F.col("n") > F.col("quota")))
     at_cut = days.join(F.broadcast(tied), "demand_days", "left_semi")
-    from skuflow.operators.prefix import numbered
-
     ranked = numbered(at_cut.select("demand_days", "sku"), [], ["sku"], "pos").select("sku", "pos")
     return (
         days.join(F.broadcast(cuts), "demand_days")
@@ -160,20 +159,35 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def numeric_summary(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of one column.
+def quantiles(df: DataFrame, col: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, as one row.
 
-    ``percentile`` folds equal values into (value, count) pairs, so its buffer
-    grows with the distinct values, not with the rows.
+    Equal values fold into counts first; running counts over sorted slices then
+    tell which value stands at a position, so no task holds all values.
     """
-    c = F.col(col)
-    return df.agg(
-        F.count(c).alias("n"),
-        F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"),
-        F.percentile(c, F.lit(0.25)).alias("q1"),
-        F.percentile(c, F.lit(0.5)).alias("median"),
-        F.percentile(c, F.lit(0.75)).alias("q3"),
-        F.max(c).alias("max"),
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, [], [col], {"_upto": F.col("_n")})
+    ranked = ranked.withColumn("_last", ranked.agg(F.sum("_n") - 1).scalar())
+
+    def at(position: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > position, F.col(col)))
+
+    ends = []
+    for name, q in qs.items():
+        place = F.col("_last") * q
+        ends += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi")]
+    found = ranked.agg(F.max("_last").alias("_last"), *ends)
+    part = {n: F.col("_last") * q - F.floor(F.col("_last") * q) for n, q in qs.items()}
+    return found.select(
+        *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * part[n]).alias(n) for n in qs]
+    )
+
+
+def numeric_summary(df: DataFrame, col: str) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles of one column."""
+    c, qs = F.col(col), {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = quantiles(df, col, qs)
+    stats = df.agg(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")
     )
+    return stats.withColumns({q: found.select(q).scalar() for q in qs})

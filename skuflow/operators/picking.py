@@ -17,6 +17,7 @@ CAPACITY_KG = 300.0
 MAX_CHARIOTS = 3
 DEFAULT_WEIGHT_KG = 0.5
 NAIVE_STEP = 16
+BLOCK_ITEMS = 50_000
 CONGESTED_PICKS = 3
 CONGESTED_MOVES = 5
 
@@ -61,8 +62,9 @@ def split_chariots(
     A chariot ends before the first item that would overload it, unless it is
     still empty. So each chariot's end is the first item, after its own first
     item, where the running weight since its start exceeds the capacity: one
-    aggregation per chariot boundary, ``max_chariots - 1`` in all. Weights are
-    whole grams, so running sums are exact.
+    aggregation per chariot boundary, ``max_chariots - 1`` in all. A boundary is
+    joined back per block of items, so that a huge order is not one join key.
+    Weights are whole grams, so running sums are exact.
     """
     grams = F.round(F.coalesce("weight_kg", F.lit(DEFAULT_WEIGHT_KG)) * F.col("qty") * 1000).cast("bigint")
     run = running(
@@ -70,7 +72,12 @@ def split_chariots(
     )
     limit = round(capacity_kg * 1000)
     cur = run.withColumns(
-        {"chariot": F.lit(1).cast("bigint"), "_first": F.lit(1).cast("bigint"), "_base": F.lit(0).cast("bigint")}
+        {
+            "chariot": F.lit(1).cast("bigint"),
+            "_first": F.lit(1).cast("bigint"),
+            "_base": F.lit(0).cast("bigint"),
+            "_block": F.floor(F.col("item_no") / BLOCK_ITEMS),
+        }
     )
     for number in range(1, max_chariots):
         over = (
@@ -78,19 +85,22 @@ def split_chariots(
             & (F.col("item_no") > F.col("_first"))
             & (F.col("_cum") - F.col("_base") > limit)
         )
+        ends = F.struct(F.col("item_no").alias("no"), (F.col("_cum") - F.col("grams")).alias("base"))
         breaks = (
-            cur.where(over)
-            .groupBy("order_id")
-            .agg(F.min(F.struct(F.col("item_no").alias("no"), (F.col("_cum") - F.col("grams")).alias("base"))).alias("b"))
+            cur.groupBy("order_id")
+            .agg(F.min(F.when(over, ends)).alias("b"), F.max("_block").alias("_last"))
+            .where("b IS NOT NULL")
+            .select("order_id", "b", F.explode(F.sequence(F.floor(F.col("b.no") / BLOCK_ITEMS), "_last")).alias("_block"))
         )
         moved = F.col("b").isNotNull() & (F.col("item_no") >= F.col("b.no"))
-        cur = cur.join(breaks, "order_id", "left").select(
+        cur = cur.join(breaks, ["order_id", "_block"], "left").select(
             *run.columns,
+            "_block",
             F.when(moved, F.lit(number + 1).cast("bigint")).otherwise(F.col("chariot")).alias("chariot"),
             F.when(moved, F.col("b.no")).otherwise(F.col("_first")).alias("_first"),
             F.when(moved, F.col("b.base")).otherwise(F.col("_base")).alias("_base"),
         )
-    return cur.drop("_cum", "_first", "_base")
+    return cur.drop("_cum", "_first", "_base", "_block")
 
 
 _LEG = "abs(p.x - s.x) + abs(p.y - s.y) + abs(p.z - s.z)"

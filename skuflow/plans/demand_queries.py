@@ -114,7 +114,7 @@ def baseline_candidates(spark, sf):
 
 def demand_summary(spark, sf):
     cols = ["mean", "std", "min", "q1", "median", "q3", "max"]
-    return D.numeric_summary(by_part(spark, sf).daily, "demand").select("n", *[rounded(c).alias(c) for c in cols])
+    return D.numeric_summary(by_part(spark, sf).shared().daily, "demand").select("n", *[rounded(c).alias(c) for c in cols])
 
 
 def segment_counts(spark, sf):

@@ -47,7 +47,8 @@ def slots(spark, places):
 
 
 @pytest.mark.parametrize("most", [1, 2, 3, 5])
-def test_chariots_equal_loop(spark, orders, most):
+def test_chariots_equal_loop(spark, orders, most, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_ITEMS", 7)
     rows, _ = orders
     got = P.split_chariots(spark.createDataFrame(rows, ITEM), ("line_no",), 300.0, most).collect()
     mine = {(r.order_id, r.item_no): r.chariot for r in got}
