@@ -106,6 +106,22 @@ def test_assignment_uses_each_slot_once_and_leaves_none_free_while_rejecting(spa
         assert rejected == max(0, sum(1 for r in got if r.day == day) - 35)
 
 
+def test_assignment_equals_one_by_one_without_release_overflow_or_mixed_classes(spark):
+    rng = random.Random(9)
+    kinds = [rng.choice(["PICKING", "RESERVE"]) for _ in range(60)]
+    slots = slot_table(spark, kinds).withColumns({"dist": F.col("slot_id") * 13 % 17 * 1.0, "z": F.col("slot_id") % 3})
+    rows = [(0, rng.randrange(6), "in", 1.0) for _ in range(24)]
+    ev = O.with_product_class(make_events(spark, rows), classes(spark, [(s, "HF" if s < 3 else "LF", 0.5, 1.0) for s in range(6)]))
+    got = {r.event_id: r.slot_id for r in W.assign(W.target_type(ev), slots).collect()}
+    free, want = {r.slot_id: r for r in slots.collect()}, {}
+    for i, (_, sku, _, _) in enumerate(rows):
+        kind, (wd, wz) = ("PICKING", W.WEIGHTS["HF"]) if sku < 3 else ("RESERVE", W.WEIGHTS["LF"])
+        best = max((r for r in free.values() if r.slot_type == kind), key=lambda r: (-r.dist * wd - r.z * wz, -r.slot_id))
+        want[i] = best.slot_id
+        del free[best.slot_id]
+    assert got == want
+
+
 def test_flow_words(spark):
     words = [f" {w.upper()} " for w in L.IN_WORDS + L.OUT_WORDS] + ["move"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select(L.direction("w").alias("d"))
