@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import decontaminate, language, mixing, sharding, simhash, topk, toxicity, warc
+from skuflow.llm import decontaminate, fmindex, language, mixing, sharding, simhash, suffixes, topk, toxicity, warc
 from skuflow.session import new_shared_path
 
 SHARDS = 8
@@ -52,6 +52,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of any 35-word window that occurs twice."""
+    left = fmindex.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return left.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
@@ -71,5 +77,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_language, op4_simhash, op5_sharding, op7_topk, op8_toxicity, op9_mixing)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of any 200-byte string that occurs twice."""
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=200)
+    return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_language, op4_simhash, op5_sharding, op6_substrings, op7_topk, op8_toxicity, op9_mixing, op10_suffixes)}
 ORACLE: dict[str, str] = {}
