@@ -35,7 +35,7 @@ _EDGE = 1e-9
 
 def share(sizes: Sequence[float], weights: Sequence[float], most: float) -> list[float]:
     """Targets that share out all sizes by weight; none above ``most`` times its own size, the excess shared again."""
-    total, limit = float(sum(sizes)), [most * s for s in sizes]
+    total, limit = float(sum(sizes)), [float(most * s) for s in sizes]
     held: set[int] = set()
     while True:
         rest = total - sum(limit[i] for i in held)

@@ -204,7 +204,9 @@ def _decide(table: pa.Table) -> pa.Table:
     def send(kind: int, chosen: np.ndarray, *columns: np.ndarray) -> None:
         by = np.argsort(owner[chosen], kind="stable")
         to = owner[chosen][by]
-        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        if not len(to):
+            return
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
             out.append((bucket, int(to[a]), kind, _blob(*(x[by][a:b] for x in columns))))
 
