@@ -67,6 +67,8 @@ def record(key: int | None, url: str, payload: bytes, digest: str, refers: int |
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder named as for Spark; tasks use it, so it must be shared."""
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = folder.replace("file:", "file://", 1)
     return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
 
 
