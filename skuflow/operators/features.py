@@ -70,64 +70,97 @@ SAME_WEEKDAY = [nothing, _same_weekday]  # with LAG
 # ------------------------------------------------------- sums, means, deviations
 
 
-def _running_totals(values: dict[str, Column]) -> dict[str, Column]:
-    """Running sums up to yesterday, one per value: the base of every windowed sum below."""
-    upto_yesterday = by_sku_day().rowsBetween(Window.unboundedPreceding, -1)
-    return {n: F.coalesce(F.sum(v).over(upto_yesterday), F.lit(0.0)) for n, v in values.items()}
+def _rows_seen(w: int) -> Column:
+    return F.least(F.col("day_no"), F.lit(w))
+
+
+def _some_past(c: Column) -> Column:
+    return F.when(F.col("day_no") > 0, c)
+
 
+# Windows are put together from shorter ones that lie side by side, as lengths a
+# and b give a + b. Nothing older than the window enters, so neither long
+# histories nor level shifts cost digits, and a 60-day window costs few lags.
 
-def _windowed(total: str, w: int) -> Column:
-    """Sum of the last ``w`` days before today: a difference of two running sums.
 
-    Constant work per row whatever the window, where a sliding frame re-adds all
-    ``w`` values for every row.
+def _side_by_side(*lengths: int) -> Step:
+    """Step that adds mean and squared deviations of the window made of ``lengths``, latest first.
+
+    A length is 1 or that of a window of an earlier step.
     """
-    return F.col(total) - F.coalesce(_lag(total, w), F.lit(0.0))
 
+    def step() -> dict[str, Column]:
+        total = lengths[0]
+        mean, m2 = F.col(f"_mean{total}"), F.col(f"_m2_{total}")
+        for b in lengths[1:]:
+            mean_b = _lag("demand", total + 1) if b == 1 else _lag(f"_mean{b}", total)
+            m2_b = F.lit(0.0) if b == 1 else _lag(f"_m2_{b}", total)
+            n_a, n_b = _rows_seen(total), F.greatest(F.least(F.col("day_no") - total, F.lit(b)), F.lit(0))
+            gap = mean_b - mean
+            m2 = F.when(n_b > 0, m2 + m2_b + gap * gap * n_a * n_b / (n_a + n_b)).otherwise(m2)
+            mean = F.when(n_b > 0, mean + gap * n_b / (n_a + n_b)).otherwise(mean)
+            total += b
+        return {f"_mean{total}": mean, f"_m2_{total}": m2}
 
-def _rows_seen(w: int) -> Column:
-    return F.least(F.col("day_no"), F.lit(w))
+    return step
 
 
-def _some_past(c: Column) -> Column:
-    return F.when(F.col("day_no") > 0, c)
+def _short_moments() -> dict[str, Column]:
+    """Moments of the shortest windows, by sliding frames."""
+    cols: dict[str, Column] = {}
+    for w in (3, 7):
+        cols[f"_mean{w}"] = F.avg("demand").over(past(w))
+        cols[f"_m2_{w}"] = F.var_pop("demand").over(past(w)) * _rows_seen(w)
+    return cols
 
 
 def _moments() -> dict[str, Column]:
     """Mean and sample deviation (0 below two values) per window."""
     cols: dict[str, Column] = {}
     for w in MEAN_WINDOWS:
-        n, y, yy = _rows_seen(w), F.col(f"_y{w}"), F.col(f"_yy{w}")
-        spread = yy - y * y / n
-        # what is left of equal values after the subtraction is rounding dust of the running sums
-        spread = F.when(spread > 1e-9 * F.greatest(yy, F.lit(1.0)), spread).otherwise(F.lit(0.0))
-        cols[f"rmean_{w}"] = _some_past(y / n)
-        cols[f"rstd_{w}"] = F.when(n > 1, F.sqrt(spread / (n - 1))).otherwise(F.lit(0.0))
+        n = _rows_seen(w)
+        cols[f"rmean_{w}"] = _some_past(F.col(f"_mean{w}"))
+        cols[f"rstd_{w}"] = F.when(n > 1, F.sqrt(F.col(f"_m2_{w}") / (n - 1))).otherwise(F.lit(0.0))
     return cols
 
 
-def _demand_totals() -> dict[str, Column]:
-    return _running_totals({"_y": F.col("demand"), "_yy": F.col("demand") * F.col("demand")})
+def _seven(**values: str) -> Step:
+    """Step of seven-day sums, by sliding frames."""
+    return lambda: {f"{name}7": F.sum(F.col(c).cast("double")).over(past(7)) for name, c in values.items()}
+
+
+def _twice(w: int, *names: str) -> Step:
+    """Step of sums over ``w`` days from those of the two halves; days before the first count nothing."""
+    return lambda: {f"{n}{w}": F.col(f"{n}{w // 2}") + F.coalesce(_lag(f"{n}{w // 2}", w // 2), F.lit(0.0)) for n in names}
+
+
+def _parts_of_60() -> list[Column]:
+    return [*(_lag("_h14", k) for k in (14, 28, 42)), *(_lag("has_demand", k) for k in (57, 58, 59, 60))]
 
 
 MOMENTS = [
-    _demand_totals,
-    lambda: {f"{p}{w}": _windowed(p, w) for p in ("_y", "_yy") for w in MEAN_WINDOWS},
+    _short_moments,
+    _side_by_side(7, 7),
+    lambda: _side_by_side(14, 14)() | _side_by_side(14, 14, 14, 14, 3, 1)(),
     _moments,
 ]
 SUMS = [
-    lambda: _running_totals({"_y": F.col("demand")}),
-    lambda: {f"rsum_{w}": _some_past(_windowed("_y", w)) for w in EXTREME_WINDOWS},
+    _seven(_y="demand"),
+    _twice(14, "_y"),
+    _twice(28, "_y"),
+    lambda: {f"rsum_{w}": _some_past(F.col(f"_y{w}")) for w in EXTREME_WINDOWS},
 ]
 FREQUENCY = [
-    lambda: _running_totals({"_h": F.col("has_demand").cast("double")}),
-    lambda: {f"dfreq_{w}": _some_past(_windowed("_h", w) / _rows_seen(w)) for w in FREQ_WINDOWS},
+    _seven(_h="has_demand"),
+    _twice(14, "_h"),
+    lambda: _twice(28, "_h")() | {"_h60": sum((F.coalesce(c.cast("double"), F.lit(0.0)) for c in _parts_of_60()), F.col("_h14"))},
+    lambda: {f"dfreq_{w}": _some_past(F.col(f"_h{w}") / _rows_seen(w)) for w in FREQ_WINDOWS},
 ]
 DELIVERY_ROLLING = [
-    lambda: _running_totals({"_n": F.col("n_deliveries"), "_q": F.col("qty_delivered")}),
-    lambda: {
-        f"{name}_{w}": _some_past(_windowed(total, w)) for total, (name, ws) in DELIVERY_WINDOWS.items() for w in ws
-    },
+    _seven(_n="n_deliveries", _q="qty_delivered"),
+    _twice(14, "_n", "_q"),
+    _twice(28, "_n", "_q"),
+    lambda: {f"{name}_{w}": _some_past(F.col(f"{total}{w}")) for total, (name, ws) in DELIVERY_WINDOWS.items() for w in ws},
 ]
 
 
@@ -261,7 +294,7 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-RATIOS = [nothing, nothing, nothing, _ratios]  # with LAG, SAME_WEEKDAY, MOMENTS, EWM; needs prod_avg_demand
+RATIOS = [*[nothing] * len(MOMENTS), _ratios]  # with LAG, SAME_WEEKDAY, MOMENTS, EWM; needs prod_avg_demand
 
 
 def _residuals() -> dict[str, Column]:
@@ -282,7 +315,7 @@ def _baseline_ratios() -> dict[str, Column]:
     }
 
 
-BASELINE = [_residuals, nothing, nothing, _baseline_ratios]  # with MOMENTS, EWM; needs the base_ columns
+BASELINE = [_residuals, *[nothing] * (len(MOMENTS) - 1), _baseline_ratios]  # with MOMENTS, EWM; needs the base_ columns
 
 HF_INTERACTIONS = {
     "hf_x_ramadan": "is_ramadan",

@@ -6,7 +6,7 @@ nothing. That is a running sum reflected at zero: with net = running sum of
 +1/-1 and low = its minimum before the row, an outgoing event succeeds exactly
 when net >= min(0, low), and held = net - min(0, low, net). Running sums and
 minima combine over slices, so a product with a third of all events still
-spreads over many tasks.
+spreads over many tasks. Events with a null key form a ledger of their own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.operators.prefix import running
+from skuflow.operators.prefix import join_on, running
 
 KEYS = ("site", "sku")
 ORDER = ("ts", "event_id")
@@ -47,13 +47,13 @@ def fifo_match(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys..., fifo_no, in_event, out_event): the ingoing event each outgoing one releases."""
     ins = ledger.where("direction = 'in'").select(*keys, "fifo_no", F.col("event_id").alias("in_event"))
     outs = ledger.where("direction = 'out' AND ok").select(*keys, "fifo_no", F.col("event_id").alias("out_event"))
-    return outs.join(ins, [*keys, "fifo_no"])
+    return join_on(outs, ins, keys, exact=["fifo_no"])
 
 
 def current_stock(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Ingoing events whose slot is still held."""
     released = ledger.where("direction = 'out' AND ok").select(*keys, "fifo_no")
-    return ledger.where("direction = 'in'").join(released, [*keys, "fifo_no"], "left_anti")
+    return join_on(ledger.where("direction = 'in'"), released, keys, "left_anti", exact=["fifo_no"])
 
 
 def oldest_stock(stock: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -66,4 +66,5 @@ def site_load(ledger: DataFrame, slots: DataFrame, order: Sequence[str] = ORDER)
     change = F.when(F.col("ok"), F.when(F.col("direction") == "in", 1).otherwise(-1)).otherwise(0).cast("long")
     run = running(ledger, ["site"], order, {"site_held": change})
     capacity = slots.groupBy("site").agg(F.count("slot_id").alias("site_slots"))
-    return run.join(capacity, "site", "left").withColumn("over_full", F.col("site_held") > F.coalesce("site_slots", F.lit(0)))
+    # one row per site
+    return join_on(run, F.broadcast(capacity), ["site"], "left").withColumn("over_full", F.col("site_held") > F.coalesce("site_slots", F.lit(0)))

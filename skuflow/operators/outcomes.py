@@ -9,6 +9,7 @@ from skuflow.functions import labels as L
 from skuflow.operators import ledger as K
 from skuflow.operators import picking as P
 from skuflow.operators import slots as W
+from skuflow.operators.prefix import join_on
 
 SLOT_COLUMNS = ["slot_id", "code", "x", "y", "z", "zone", "floor", "slot_type", "dist"]
 PRODUCT_COLUMNS = ["segment", "demand_freq", "weight_kg"]
@@ -43,7 +44,7 @@ def slot_events(events: DataFrame, slots: DataFrame, batch: str = "day") -> Data
     keys = [batch, "site", "sku"]
     booked = K.stock_ledger(counted, keys)
     sources = booked.where("direction = 'in'").select(*keys, "fifo_no", F.struct(*SLOT_COLUMNS).alias("_from"))
-    outs = booked.where("direction = 'out'").join(sources, [*keys, "fifo_no"], "left")
+    outs = join_on(booked.where("direction = 'out'"), sources, keys, "left", exact=["fifo_no"])
     outs = outs.withColumns({c: F.col(f"_from.{c}") for c in SLOT_COLUMNS}).drop("_from")
     return (
         booked.where("direction != 'out'")
@@ -151,4 +152,4 @@ def end_of_batch_slots(booked: DataFrame, batch: str = "day") -> DataFrame:
     """(batch, slot_id) still occupied when a batch ends."""
     placed = booked.where("direction = 'in' AND slot_id IS NOT NULL").select(batch, "slot_id")
     released = booked.where("direction = 'out' AND slot_id IS NOT NULL").select(batch, "slot_id")
-    return placed.join(released, [batch, "slot_id"], "left_anti")
+    return join_on(placed, released, [batch], "left_anti", exact=["slot_id"])

@@ -7,11 +7,14 @@ positions an order visits, which the building bounds, not over its items.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.functions.labels import EXPEDITION, route_text
-from skuflow.operators.prefix import numbered, running
+from skuflow.operators.prefix import join_on, numbered, running
+from skuflow.session import materialize
 
 CAPACITY_KG = 300.0
 MAX_CHARIOTS = 3
@@ -61,46 +64,42 @@ def split_chariots(
 
     A chariot ends before the first item that would overload it, unless it is
     still empty. So each chariot's end is the first item, after its own first
-    item, where the running weight since its start exceeds the capacity: one
-    aggregation per chariot boundary, ``max_chariots - 1`` in all. A boundary is
-    joined back per block of items, so that a huge order is not one join key.
-    Weights are whole grams, so running sums are exact.
+    item, where the running weight since its start exceeds the capacity. The
+    running weights are written once; every boundary is one small written table,
+    found from the one before, so the plan does not grow with the chariots.
+    Boundaries meet items per block of items, so that a huge order is not one
+    join key. Weights are whole grams, so running sums are exact.
     """
     grams = F.round(F.coalesce("weight_kg", F.lit(DEFAULT_WEIGHT_KG)) * F.col("qty") * 1000).cast("bigint")
     run = running(
         items.withColumn("grams", grams), ["order_id"], order, {"item_no": F.lit(1).cast("bigint"), "_cum": F.col("grams")}
     )
+    run = materialize(run.withColumn("_block", F.floor(F.col("item_no") / BLOCK_ITEMS)), "weights")
     limit = round(capacity_kg * 1000)
-    cur = run.withColumns(
-        {
-            "chariot": F.lit(1).cast("bigint"),
-            "_first": F.lit(1).cast("bigint"),
-            "_base": F.lit(0).cast("bigint"),
-            "_block": F.floor(F.col("item_no") / BLOCK_ITEMS),
-        }
-    )
-    for number in range(1, max_chariots):
-        over = (
-            (F.col("chariot") == number)
-            & (F.col("item_no") > F.col("_first"))
-            & (F.col("_cum") - F.col("_base") > limit)
-        )
-        ends = F.struct(F.col("item_no").alias("no"), (F.col("_cum") - F.col("grams")).alias("base"))
-        breaks = (
-            cur.groupBy("order_id")
-            .agg(F.min(F.when(over, ends)).alias("b"), F.max("_block").alias("_last"))
-            .where("b IS NOT NULL")
-            .select("order_id", "b", F.explode(F.sequence(F.floor(F.col("b.no") / BLOCK_ITEMS), "_last")).alias("_block"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    last = F.max("_block").alias("_last")
+    starts = run.groupBy("order_id").agg(last).select("order_id", one.alias("_first"), zero.alias("_base"), "_last")
+    found: list[DataFrame] = []
+    for _ in range(1, max_chariots):
+        met = join_on(run.select("order_id", "item_no", "grams", "_cum", "_block"), _per_block(starts, "_first"), ["order_id"], exact=["_block"])
+        over = met.where((F.col("item_no") > F.col("_first")) & (F.col("_cum") - F.col("_base") > limit))
+        end = F.min(F.struct("item_no", (F.col("_cum") - F.col("grams")).alias("base"), "_last")).alias("e")
+        ends = over.groupBy("order_id").agg(end)
+        starts = materialize(
+            ends.select("order_id", F.col("e.item_no").alias("_first"), F.col("e.base").alias("_base"), F.col("e._last").alias("_last")), "ends"
         )
-        moved = F.col("b").isNotNull() & (F.col("item_no") >= F.col("b.no"))
-        cur = cur.join(breaks, ["order_id", "_block"], "left").select(
-            *run.columns,
-            "_block",
-            F.when(moved, F.lit(number + 1).cast("bigint")).otherwise(F.col("chariot")).alias("chariot"),
-            F.when(moved, F.col("b.no")).otherwise(F.col("_first")).alias("_first"),
-            F.when(moved, F.col("b.base")).otherwise(F.col("_base")).alias("_base"),
-        )
-    return cur.drop("_cum", "_first", "_base", "_block")
+        found.append(starts)
+    if not found:
+        return run.withColumn("chariot", one).drop("_cum", "_block")
+    bounds = reduce(DataFrame.unionByName, found).groupBy("order_id").agg(F.min("_first").alias("_from"), F.collect_list("_first").alias("_ends"), F.max("_last").alias("_last"))
+    split = join_on(run, _per_block(bounds, "_from"), ["order_id"], "left", exact=["_block"])
+    passed = F.size(F.filter(F.coalesce("_ends", F.array().cast("array<bigint>")), lambda e: e <= F.col("item_no")))
+    return split.withColumn("chariot", one + passed).select(*[c for c in run.columns if c not in ("_cum", "_block")], "chariot")
+
+
+def _per_block(bounds: DataFrame, first: str) -> DataFrame:
+    """Repeat a row for all blocks from that of ``first`` to the order's last."""
+    return bounds.withColumn("_block", F.explode(F.sequence(F.floor(F.col(first) / BLOCK_ITEMS), "_last")))
 
 
 _LEG = "abs(p.x - s.x) + abs(p.y - s.y) + abs(p.z - s.z)"
@@ -147,7 +146,7 @@ def pick_tours(located: DataFrame) -> DataFrame:
     stops = tour_stops(located)
     at = ["order_id", "chariot", "x", "y", "z"]
     in_place = numbered(located, at, ["item_no"], "_at")
-    picks = in_place.join(stops, at).select(
+    picks = join_on(in_place, stops, at).select(
         "order_id",
         "chariot",
         (F.col("before") + F.col("_at")).alias("step"),
@@ -163,7 +162,7 @@ def pick_tours(located: DataFrame) -> DataFrame:
     home = tuple(F.lit(v) for v in EXPEDITION)
     ends = stops.groupBy("order_id", "chariot").agg(F.max_by(F.struct("x", "y", "z"), "seq").alias("last"))
     counts = located.groupBy("order_id", "chariot").agg(F.count(F.lit(1)).alias("n"))
-    back = ends.join(counts, ["order_id", "chariot"]).select(
+    back = join_on(ends, counts, ["order_id", "chariot"]).select(
         "order_id",
         "chariot",
         (F.col("n") + 1).alias("step"),

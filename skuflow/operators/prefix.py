@@ -13,6 +13,7 @@ folder before they are used twice: a recomputed task must see the same slices.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ from skuflow.session import materialize
 SLICE = "_slice"
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", exact: Sequence[str] = ()) -> DataFrame:
+    """Join on ``keys`` where a null key equals a null key, and on ``exact`` where it equals nothing.
+
+    The result has the columns of ``left``, then those of ``right`` that are no keys.
+    """
+    both = [*keys, *exact]
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in both})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys] + [F.col(k) == F.col(f"_right_{k}") for k in exact]
+    joined = left.join(renamed, reduce(lambda a, b: a & b, match), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in both])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,7 +47,7 @@ def running(
     ``sums`` maps an output name to the value summed along ``order`` within
     ``keys`` (non-null). ``lows`` maps an output name to a name in ``sums``: the
     minimum of that running sum over the rows before (null on a key's first
-    row). ``order`` must be a total order.
+    row). ``order`` must be a total order. A null key is a key of its own: no row is lost.
     """
     lows = dict(lows or {})
     keys = list(keys)
@@ -65,7 +78,7 @@ def running(
         )
     carry = carry.select(*keys, SLICE, *[f"_c_{n}" for n in sums], *[f"_m_{n}" for n in lows])
 
-    joined = local.join(carry, [*keys, SLICE])
+    joined = join_on(local, carry, keys, exact=[SLICE])
     shifted_lows = {n: F.least(F.col(n) + F.col(f"_c_{of}"), F.col(f"_m_{n}")) for n, of in lows.items()}
     shifted_sums = {n: F.col(n) + F.col(f"_c_{n}") for n in sums}
     return joined.select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skuflow.operators.prefix import numbered
+from skuflow.operators.prefix import join_on, numbered
 
 # Weight of distance and of level per class, extra level weight for heavy goods.
 WEIGHTS = {"HF": (3.0, 5.0), "LF": (1.0, 2.0)}
@@ -145,7 +145,8 @@ def assign(
         F.count_if(F.col("target_type") == "RESERVE").alias("_a_reserve"),
     )
     picking = F.col("target_type") == "PICKING"
-    queue = queue.join(demand, [*batch, "site"]).join(sizes, "site", "left")
+    queue = join_on(queue, demand, [*batch, "site"])
+    queue = join_on(queue, F.broadcast(sizes), ["site"], "left")  # one row per site
     own = F.coalesce(F.when(picking, F.col("_n_picking")).otherwise(F.col("_n_reserve")), F.lit(0))
     ahead = F.when(picking, F.col("_a_reserve")).otherwise(F.col("_a_picking"))
     overflow = F.col("_no") > own
@@ -155,4 +156,4 @@ def assign(
             "_slot_no": F.when(overflow, ahead + F.col("_no") - own).otherwise(F.col("_no")),
         }
     ).drop("_no", "_a_picking", "_a_reserve", "_n_picking", "_n_reserve")
-    return queue.join(listed, ["site", "slot_type", "_slot_no"], "left").drop("_slot_no")
+    return join_on(queue, listed, ["site"], "left", exact=["slot_type", "_slot_no"]).drop("_slot_no")

@@ -38,8 +38,9 @@ class Demand:
         return G.demand_grid(D.spread_by_sku(sparse), self.start, self.end, carry=names)
 
     def shared(self) -> Demand:
-        """Write the daily totals once for plans that read them in several branches."""
-        return Demand(self.history, self.start, self.end, materialize(self.daily, "daily"))
+        """Write the daily totals once for plans that read them in several branches; the bounds come from them too."""
+        daily = materialize(self.daily, "daily")
+        return Demand(self.history, *G.day_bounds(daily), daily)
 
     def days(self) -> DataFrame:
         return G.calendar(self.start, self.end, self.history.sparkSession)

@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -> SparkSession:
+def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, scratch: str | None = None) -> SparkSession:
+    """A session on this machine alone, so its tables may lie in a folder of this machine."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("skuflow")
@@ -22,7 +23,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("SKUFLOW_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SKUFLOW_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", scratch or tempfile.mkdtemp(prefix="skuflow-"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -31,18 +33,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read, as named by ``spark.checkpoint.dir``.
+    """Folder of this application below ``spark.checkpoint.dir``, which every executor can read.
 
-    A machine-local folder is made up only when the master itself is local.
+    Where that is unset, the folder lies below the warehouse, which is shared as well.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="skuflow-")
-    spark.sparkContext.setCheckpointDir(made)
-    return (spark.sparkContext.getCheckpointDir() or made).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base.rstrip('/')}/skuflow-{spark.sparkContext.applicationId}"
+
+
+def drop_shared(spark: SparkSession) -> bool:
+    """Delete all tables this application wrote with ``materialize``; frames read from them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
@@ -53,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by writing ``df`` to the shared folder and reading it back.
 
     A written table survives the loss of any executor, and later stages read
-    only the columns they need from it.
+    only the columns they need from it. Calling this runs a job.
     """
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)

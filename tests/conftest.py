@@ -12,10 +12,10 @@ for p in (str(ROOT), str(ROOT / "tests")):
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from skuflow.session import local_session
 
-    return local_session(4)
+    return local_session(4, scratch=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")

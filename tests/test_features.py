@@ -116,3 +116,38 @@ def test_segments_cut_inside_a_tie(spark):
     daily = spark.createDataFrame(rows, "sku int, day date, demand double")
     hf = {r.sku for r in D.segments(daily).where("segment = 'HF'").collect()}
     assert hf == {0, 1}
+
+
+def test_moments_survive_level_shifts_fractions_and_near_constant_series(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n = 400
+    series = {
+        "shift6": np.where(np.arange(n) < 200, 1e6, 1.0) + rng.integers(0, 2, n),
+        "shift7": np.where(np.arange(n) < 200, 1e7, 1.0) + rng.random(n),
+        "near": 1000 + 0.03 * rng.random(n),
+        "constant": np.full(n, 0.1),
+        "fraction": rng.random(n) / 7,
+        "rare": np.where(rng.random(n) < 0.05, rng.random(n) * 100, 0.0),
+    }
+    rows = [(k, date(2024, 1, 1) + timedelta(days=i), i, float(v), 1 if v > 0 else 0, float(v), float(v), 0) for k, s in series.items() for i, v in enumerate(s)]
+    grid = spark.createDataFrame(rows, "sku string, day date, day_no int, demand double, has_demand int, n_deliveries double, qty_delivered double, epoch int")
+    got = X.add(grid, X.MOMENTS, X.SUMS, X.FREQUENCY, X.DELIVERY_ROLLING).toPandas().sort_values("day_no")
+    for k, s in series.items():
+        mine, past = got[got.sku == k], pd.Series(s).shift(1)
+        for w in X.MEAN_WINDOWS:
+            frame = past.rolling(w, min_periods=1)
+            # deviations one by one: pandas' own rolling deviation loses digits here
+            std = past.rolling(w, min_periods=1).apply(lambda x: np.std(x[~np.isnan(x)], ddof=1) if (~np.isnan(x)).sum() > 1 else 0.0, raw=True)
+            mean = past.rolling(w, min_periods=1).apply(lambda x: np.mean(x[~np.isnan(x)]), raw=True)
+            assert np.allclose(mine[f"rmean_{w}"].to_numpy(float)[1:], mean[1:], rtol=1e-9, atol=1e-12), (k, w, frame)
+            assert np.allclose(mine[f"rstd_{w}"].to_numpy(float)[1:], std[1:], rtol=1e-9, atol=1e-9), (k, w)
+        for w in X.EXTREME_WINDOWS:
+            total = past.rolling(w, min_periods=1).apply(np.nansum, raw=True)
+            assert np.allclose(mine[f"rsum_{w}"].to_numpy(float)[1:], total[1:], rtol=1e-12)
+            assert (mine[f"rsum_{w}"].to_numpy(float)[1:] >= 0).all()
+        for w in X.FREQ_WINDOWS:
+            share = (past > 0).where(past.notna()).astype(float).rolling(w, min_periods=1).mean()
+            assert np.allclose(mine[f"dfreq_{w}"].to_numpy(float)[1:], share[1:], rtol=1e-12)

@@ -134,3 +134,19 @@ def test_congestion_from_the_sixth_movement(spark):
     log = O.congestion_warnings(O.slot_events(ev, slot_table(spark, ["RESERVE"] * 9))).collect()
     assert sorted(r.n_moves for r in log) == [6, 7, 8]
     assert log[0].warning.startswith(f"{date(2026, 2, 15)}: Zone B07-N1 - ")
+
+
+def test_null_site_product_and_day_lose_no_event(spark):
+    rng = random.Random(3)
+    rows = [(i, T0 + timedelta(seconds=i), rng.choice([None, T0.date()]), rng.choice([None, 0]), rng.choice([None, 1, 2]), rng.choice(["in", "out"]), 1.0) for i in range(120)]
+    ev = spark.createDataFrame(rows, EVENT)
+    classed = O.with_product_class(ev, classes(spark, [(1, "HF", 0.5, 1.0)]))
+    tagged = classed.withColumn("direction", L.direction("flow_word"))
+    assert K.stock_ledger(tagged).count() == 120
+    assert W.assign(W.target_type(tagged), slot_table(spark, ["PICKING"] * 3 + ["RESERVE"] * 3)).count() == 120
+    booked = O.slot_events(classed, slot_table(spark, ["PICKING"] * 3 + ["RESERVE"] * 30))
+    out = O.outcomes(booked).collect()
+    assert sorted(r.event_id for r in out) == list(range(120))
+    assert K.site_load(K.stock_ledger(tagged), slot_table(spark, ["RESERVE"])).count() == 120
+    # a null product is served from what a null product left
+    assert any(r.success and r.direction == "out" and r.sku is None and r.site == 0 for r in out)
