@@ -26,19 +26,27 @@ def long_models(rows: DataFrame, models: dict[str, Column], keep: Sequence[str])
     return rows.select(*keep, F.inline(entries))
 
 
-def scores(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """WAPE and bias over demand rows and over all rows, per group."""
-    demand_row = F.col("actual") > 0
-    marked = rows.withColumns(
-        {"_a": F.when(demand_row, F.col("actual")), "_p": F.when(demand_row, F.col("pred"))}
-    )
-    return marked.groupBy(*by).agg(
-        wape("_a", "_p").alias("wape_dd"),
-        bias("_a", "_p").alias("bias_dd"),
-        wape().alias("wape_grid"),
-        bias().alias("bias_grid"),
-        F.count_if(demand_row).alias("n_demand"),
-        F.count(F.lit(1)).alias("n_rows"),
+def scores(rows: DataFrame, models: dict[str, Column]) -> DataFrame:
+    """WAPE and bias per model over demand rows and over all rows: one pass, models are expanded after it."""
+    actual = F.col("actual")
+    demand_row = actual > 0
+    aggs = [F.sum("actual").alias("_a"), F.sum(F.when(demand_row, actual)).alias("_ad"), F.count_if(demand_row).alias("n_demand"), F.count(F.lit(1)).alias("n_rows")]
+    for i, pred in enumerate(models.values()):
+        p = F.coalesce(pred, F.lit(0.0))
+        aggs += [F.sum(F.abs(actual - p)).alias(f"_e{i}"), F.sum(p).alias(f"_p{i}")]
+        aggs += [F.sum(F.when(demand_row, F.abs(actual - p))).alias(f"_ed{i}"), F.sum(F.when(demand_row, p)).alias(f"_pd{i}")]
+    lines = [
+        F.struct(F.lit(m).alias("model"), *[F.col(f"_{k}{i}").alias(k) for k in ("e", "p", "ed", "pd")]) for i, m in enumerate(models)
+    ]
+    sums = rows.agg(*aggs).select("_a", "_ad", "n_demand", "n_rows", F.inline(F.array(*lines)))
+    return sums.select(
+        "model",
+        (F.try_divide("ed", "_ad") * 100).alias("wape_dd"),
+        (F.try_divide(F.col("pd") - F.col("_ad"), F.col("_ad")) * 100).alias("bias_dd"),
+        (F.try_divide("e", "_a") * 100).alias("wape_grid"),
+        (F.try_divide(F.col("p") - F.col("_a"), F.col("_a")) * 100).alias("bias_grid"),
+        "n_demand",
+        "n_rows",
     )
 
 
@@ -64,6 +72,15 @@ def window_scores(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return window_sums(rows, by).groupBy(*by).agg(wape().alias("wape_10d"), bias().alias("bias_10d"))
 
 
+def window_model_scores(rows: DataFrame, parts: dict[str, Column], models: dict[str, dict[str, float]]) -> DataFrame:
+    """WAPE and bias of horizon totals per model. A model is a weighted sum of ``parts``, so rows fold to one line per
+    (window, SKU) with a sum per part, and models are expanded over those lines."""
+    sums = [F.sum(F.coalesce(c, F.lit(0.0))).alias(f"_{n}") for n, c in parts.items()]
+    lines = rows.groupBy("win", "sku").agg(F.sum("actual").alias("actual"), *sums).where("actual > 0")
+    preds = {m: sum((F.col(f"_{n}") * w for n, w in mixed.items()), F.lit(0.0)) for m, mixed in models.items()}
+    return long_models(lines, preds, ["actual"]).groupBy("model").agg(wape().alias("wape_10d"), bias().alias("bias_10d"))
+
+
 def segment_scores(rows: DataFrame) -> DataFrame:
     """Per segment and overall in one pass (grouping sets)."""
     demand = rows.where(F.col("actual") > 0)

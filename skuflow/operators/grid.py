@@ -68,6 +68,41 @@ def demand_grid(
     return densify(sparse, start, end, measures, carry).withColumn("has_demand", (F.col("demand") > 0).cast("int"))
 
 
+def recent_grid(daily: DataFrame, start: Column, end: Column, n_days: int, decay: dict[str, float], carry: Sequence[str] = ()) -> DataFrame:
+    """Dense grid of the last ``n_days`` days of the history for all SKUs, with exponential means that know the rest.
+
+    The days before are folded to one decayed sum per SKU and entry of ``decay`` (output name -> share kept per day);
+    only the asked days become dense. ``day_no`` still counts from ``start``. ``carry`` names columns of ``daily`` that
+    are constant per SKU.
+    """
+    spread = daily.withColumns({"_end": end, "_start": start})
+    spread = spread.withColumn("_from", F.greatest(F.date_sub("_end", n_days - 1), F.col("_start")))
+    recent = F.col("day") >= F.col("_from")
+    past = {n: F.when(~recent, F.col("demand") * F.pow(F.lit(q), F.datediff("_from", "day") - 1)) for n, q in decay.items()}
+    per_sku = spread.groupBy("sku").agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_past_{n}") for n, c in past.items()],
+        *[F.first(c).alias(c) for c in carry],
+        F.first("_from").alias("_from"),
+        F.first("_end").alias("_until"),
+        F.first("_start").alias("_start"),
+        F.collect_list(F.when(recent, F.struct("day", "demand"))).alias("_days"),  # n_days at most
+    )
+    known = F.map_from_entries(F.filter("_days", lambda d: d.isNotNull()))
+    days = per_sku.select("*", known.alias("_known")).select("*", F.explode(F.sequence("_from", "_until")).alias("day"))
+    dense = days.withColumns(
+        {"demand": F.coalesce(F.element_at("_known", F.col("day")), F.lit(0.0)), "day_no": F.datediff("day", "_start")}
+    )
+    in_grid = F.datediff("day", "_from")
+    before = Window.partitionBy("sku").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    cols: dict[str, Column] = {"lag_1": F.lag("demand", 1).over(Window.partitionBy("sku").orderBy("day"))}
+    for n, q in decay.items():
+        sums = F.coalesce(F.sum(F.col("demand") * F.pow(F.lit(1 / q), in_grid)).over(before), F.lit(0.0)) * F.pow(F.lit(q), in_grid - 1)
+        total = sums + F.col(f"_past_{n}") * F.pow(F.lit(q), in_grid)
+        cols[n] = F.when(F.col("day_no") > 0, total * (1 - q) / (1 - F.pow(F.lit(q), F.col("day_no"))))
+    out = dense.withColumns(cols).withColumn("has_demand", (F.col("demand") > 0).cast("int"))
+    return out.select("sku", "day", "day_no", "demand", "has_demand", *cols, *carry)
+
+
 def merge_facts(daily: DataFrame, daily_deliveries: DataFrame, start: Column, end: Column) -> DataFrame:
     """Sparse (sku, day, demand, n_deliveries, qty_delivered) for the SKUs and days of the demand history.
 

@@ -3,8 +3,8 @@
 Parameters are whole numbers (thresholds and alphas in 1/1000, bias multipliers
 and powers in 1/100), so grids have no rounding at their ends. Window totals of
 a blend are linear in alpha and in the multiplier, so rows are folded to one
-line per (window, SKU) first and only those lines meet the parameters; the
-parameter lists are short constants and their scores combine map-side.
+line per (window, SKU) first; only those lines meet thresholds and alphas, and
+multipliers meet sums over lines; scores combine map-side.
 Scores are compared at six decimals, ties go to the first in loop order.
 """
 
@@ -53,7 +53,10 @@ def _ints(values: Sequence[int]) -> Column:
 
 
 def _score(grouped, err: Column, pred: Column, actual: Column) -> DataFrame:
-    sums = grouped.agg(F.sum(err).alias("_e"), F.sum(pred).alias("_p"), F.sum(actual).alias("_a"))
+    return _metrics(grouped.agg(F.sum(err).alias("_e"), F.sum(pred).alias("_p"), F.sum(actual).alias("_a")))
+
+
+def _metrics(sums: DataFrame) -> DataFrame:
     wape = F.col("_e") / F.col("_a") * 100
     bias = (F.col("_p") - F.col("_a")) / F.col("_a") * 100
     return sums.withColumns({"wape": wape, "bias": bias}).withColumn(
@@ -69,7 +72,25 @@ def _best(scored: DataFrame, params: Sequence[str]):
 
 def _blend(b: Column, r: Column) -> Column:
     a = F.col("alpha") / 1000.0
-    return (a * b + (1 - a) * r) * (F.col("mult") / 100.0)
+    return a * b + (1 - a) * r
+
+
+def _multiplied(lines: DataFrame, params: Sequence[str], mults: Sequence[int]) -> DataFrame:
+    """Sums of |actual - blend * mult|, of blend * mult and of actual per (params, mult).
+
+    For one parameter set the error of a line is linear in the multiplier below and above actual / blend. So lines fold
+    by the first multiplier (evenly spaced) that reaches their actual, and multipliers meet only the folded sums.
+    """
+    step = mults[1] - mults[0] if len(mults) > 1 else 1
+    first = F.ceil((F.col("actual") / F.col("blend") * 100 - mults[0]) / step)
+    reach = F.when(F.col("blend") > 0, F.greatest(F.least(first, F.lit(len(mults))), F.lit(0))).otherwise(F.lit(len(mults)))
+    folded = lines.groupBy(*params, reach.cast("int").alias("_reach")).agg(F.sum("actual").alias("_a"), F.sum("blend").alias("_b"))
+    met = folded.select("*", F.posexplode(_ints(mults)).alias("_no", "mult"))
+    pred = F.col("_b") * (F.col("mult") / 100.0)
+    gap = F.col("_a") - pred
+    return met.groupBy(*params, "mult").agg(
+        F.sum(F.when(F.col("_reach") > F.col("_no"), gap).otherwise(-gap)).alias("_e"), F.sum(pred).alias("_p"), F.sum("_a").alias("_a")
+    )
 
 
 # ---------------------------------------------------------------- threshold mode
@@ -90,13 +111,8 @@ def threshold_sums(rows: DataFrame, thresholds: Sequence[int]) -> DataFrame:
 
 
 def threshold_scores(rows: DataFrame, thresholds, alphas, mults) -> DataFrame:
-    lines = (
-        threshold_sums(rows, thresholds)
-        .withColumn("alpha", F.explode(_ints(alphas)))
-        .withColumn("mult", F.explode(_ints(mults)))
-    )
-    pred = _blend(F.col("b"), F.col("r"))
-    return _score(lines.groupBy("thr", "alpha", "mult"), F.abs(F.col("actual") - pred), pred, F.col("actual"))
+    lines = threshold_sums(rows, thresholds).withColumn("alpha", F.explode(_ints(alphas)))
+    return _metrics(_multiplied(lines.withColumn("blend", _blend(F.col("b"), F.col("r"))), ("thr", "alpha"), mults))
 
 
 def _search(score_fn, axes: dict[str, Axis], spark) -> DataFrame:
@@ -145,9 +161,7 @@ def expected_value_scores(rows: DataFrame, alphas, mults, powers) -> DataFrame:
             for k in powers
         ]
     )
-    lines = folded.select("actual", F.inline(blends)).withColumn("mult", F.explode(_ints(mults)))
-    pred = F.col("blend") * (F.col("mult") / 100.0)
-    return _score(lines.groupBy("alpha", "mult", "power"), F.abs(F.col("actual") - pred), pred, F.col("actual"))
+    return _metrics(_multiplied(folded.select("actual", F.inline(blends)), ("alpha", "power"), mults))
 
 
 def tune_expected_value(rows: DataFrame) -> DataFrame:
@@ -187,12 +201,9 @@ def daily_scores(rows: DataFrame, thresholds, alphas, mults) -> DataFrame:
         rows.where("actual > 0")
         .select("actual", "base", "ewm", passed.alias("passed"))
         .withColumn("alpha", F.explode(_ints(alphas)))
-        .withColumn("mult", F.explode(_ints(mults)))
-        .withColumn("pred", _blend(F.col("base"), F.col("ewm")))
-    )
-    folded = lines.groupBy("passed", "alpha", "mult").agg(
-        F.sum(F.abs(F.col("actual") - F.col("pred"))).alias("err"), F.sum("pred").alias("pred"), F.sum("actual").alias("actual")
+        .withColumn("blend", _blend(F.col("base"), F.col("ewm")))
     )
+    folded = _multiplied(lines, ("passed", "alpha"), mults).withColumnsRenamed({"_e": "err", "_p": "pred", "_a": "actual"})
     per_threshold = folded.select("*", F.posexplode(_ints(thresholds)).alias("no", "thr"))
     hit = F.col("passed") > F.col("no")
     return _score(

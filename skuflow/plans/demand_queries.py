@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions import holidays as H
@@ -269,36 +269,30 @@ TEST_DAYS = 30
 def _evaluation(spark, sf) -> DataFrame:
     """Last 30 days of every product line: actual, lag-1, EWM-7 and baseline predictions, segment."""
     d = by_line(spark, sf).shared()
-    grid = X.add(d.grid(carry=D.segments(d.daily).select("sku", "segment")), X.LAG, X.EWM)
+    segment = D.segments(d.daily).select("sku", "segment")
+    grid = G.recent_grid(d.daily.join(segment, "sku"), d.start, d.end, TEST_DAYS + 1, {"ewm_7": X.EWM_DECAY[7]}, ["segment"])
     _, test = G.train_test(grid, d.end, TEST_DAYS)
     return B.predict(
         test.select("sku", "day", "segment", F.col("demand").alias("actual"), "lag_1", "ewm_7"), _fitted(d), d.days(), d.start
     ).withColumn("first_day", F.date_sub(d.end, TEST_DAYS - 1))
 
 
-MODELS = {"lag_1": F.col, "ewm_7": F.col, "baseline": lambda _: F.col("base_yhat")}
+PARTS = {"lag_1": "lag_1", "ewm_7": "ewm_7", "baseline": "base_yhat"}
 BLENDS = (0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0)
-
-
-def _long(rows: DataFrame, keep: list[str]) -> DataFrame:
-    models = {n: f(n) for n, f in MODELS.items()}
-    for a in BLENDS:
-        models[f"blend_{a}"] = a * F.col("base_yhat") + (1 - a) * F.col("ewm_7")
-    return E.long_models(rows, models, keep)
+MODELS = {n: {n: 1.0} for n in PARTS} | {f"blend_{a}": {"baseline": a, "ewm_7": 1 - a} for a in BLENDS}
 
 
 def wape_models(spark, sf):
-    scored = E.scores(_long(_evaluation(spark, sf), ["actual"]), ["model"])
+    preds = {m: sum((F.col(PARTS[n]) * w for n, w in mixed.items()), F.lit(0.0)) for m, mixed in MODELS.items()}
+    scored = E.scores(_evaluation(spark, sf), preds)
     cols = ["wape_dd", "bias_dd", "wape_grid", "bias_grid"]
     return scored.select("model", *[rounded(c, 3).alias(c) for c in cols], "n_demand", "n_rows")
 
 
 def wape_10d(spark, sf):
-    rows = _long(_evaluation(spark, sf), ["sku", "day", "first_day", "actual"])
-    tagged = E.windowed(rows, F.col("first_day"), TEST_DAYS)
-    return E.window_scores(tagged, ["model"]).select(
-        "model", rounded("wape_10d", 3).alias("wape_10d"), rounded("bias_10d", 3).alias("bias_10d")
-    )
+    tagged = E.windowed(_evaluation(spark, sf), F.col("first_day"), TEST_DAYS)
+    scored = E.window_model_scores(tagged, {n: F.col(c) for n, c in PARTS.items()}, MODELS)
+    return scored.select("model", rounded("wape_10d", 3).alias("wape_10d"), rounded("bias_10d", 3).alias("bias_10d"))
 
 
 def wape_segment(spark, sf):
@@ -311,11 +305,16 @@ def wape_segment(spark, sf):
 
 
 def lag1_accuracy(spark, sf):
-    """WAPE and bias of yesterday's demand as the forecast, on demand rows, over the whole history."""
-    d = by_part(spark, sf)
-    grid = d.grid().withColumn("pred", F.lag("demand", 1).over(G.by_sku_day()))
-    rows = grid.select(F.col("demand").alias("actual"), F.coalesce("pred", F.lit(0.0)).alias("pred"))
-    return rows.where("actual > 0").agg(
+    """WAPE and bias of yesterday's demand as the forecast, on demand rows, over the whole history.
+
+    Yesterday is the row before if that is one day back, else a day without demand: no grid is needed.
+    """
+    before = Window.partitionBy("sku").orderBy("day")
+    daily = by_part(spark, sf).daily.select(
+        F.col("demand").alias("actual"),
+        F.when(F.lag("day").over(before) == F.date_sub("day", 1), F.lag("demand").over(before)).otherwise(F.lit(0.0)).alias("pred"),
+    )
+    return daily.where("actual > 0").agg(
         rounded(E.wape(), 3).alias("wape"), rounded(E.bias(), 3).alias("bias"), F.count(F.lit(1)).alias("n_rows")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions import labels as L
@@ -35,7 +35,9 @@ HORIZON_DAYS = 31
 def _tuning_rows(spark, sf) -> DataFrame:
     """Last 30 days per part: two level predictions and a deterministic stand-in for the probability."""
     d = by_part(spark, sf).shared()
-    grid = X.add(d.grid(carry=B.simple_average(d.daily)), X.MOMENTS, X.EWM)
+    daily = d.daily.join(B.simple_average(d.daily), "sku")
+    grid = G.recent_grid(daily, d.start, d.end, TEST_DAYS + 28, {"ewm_7": X.EWM_DECAY[7]}, ["simple_avg"])
+    grid = grid.withColumn("rmean_28", F.avg("demand").over(Window.partitionBy("sku").orderBy("day").rowsBetween(-28, -1)))
     _, test = G.train_test(grid, d.end, TEST_DAYS)
     rows = test.withColumn("_first", F.date_sub(d.end, TEST_DAYS - 1))
     tagged = E.windowed(rows, F.col("_first"), TEST_DAYS)
