@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import decontaminate, fmindex, language, mixing, sharding, simhash, suffixes, topk, toxicity, warc
+from skuflow.llm import decontaminate, fmindex, language, mixing, oracle, sharding, simhash, suffixes, topk, toxicity, warc
 from skuflow.session import new_shared_path
 
 SHARDS = 8
@@ -84,4 +84,4 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_language, op4_simhash, op5_sharding, op6_substrings, op7_topk, op8_toxicity, op9_mixing, op10_suffixes)}
-ORACLE: dict[str, str] = {}
+ORACLE = dict(oracle.SQL)
