@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from skuflow.operators import ledger as K
 from skuflow.operators import picking as P
 from skuflow.operators import slots as W
 from skuflow.operators.prefix import join_on
+from skuflow.session import materialize
 
 SLOT_COLUMNS = ["slot_id", "code", "x", "y", "z", "zone", "floor", "slot_type", "dist"]
 PRODUCT_COLUMNS = ["segment", "demand_freq", "weight_kg"]
@@ -22,27 +26,33 @@ def with_product_class(events: DataFrame, product_class: DataFrame) -> DataFrame
 
 
 def slot_events(events: DataFrame, slots: DataFrame, batch: str = "day") -> DataFrame:
-    """Events with direction, ok and the slot concerned.
+    """Events with direction, ok and the slot concerned, every batch on its own.
 
     Each batch starts with the given free slots. Ingoing events are placed first
     (see ``slots.assign``); those that found a slot feed the ledger of their
     product, and each successful outgoing event takes the slot of the ingoing
-    event it releases.
+    event it releases. See ``carried_events`` for batches that follow each other.
     """
+    keys = [batch, "site", "sku"]
+    return _released(_booked(events, slots, batch, keys), keys)
+
+
+def _booked(events: DataFrame, slots: DataFrame, batch: str, keys: Sequence[str], held: DataFrame | None = None) -> DataFrame:
+    """Ledger of the placed and other events, behind the goods already ``held``."""
     tagged = W.target_type(events.withColumn("direction", L.direction("flow_word")))
     placed = W.assign(tagged.where("direction = 'in'"), slots, batch=[batch])
-    others = tagged.where("direction != 'in'")
-    everything = placed.unionByName(others, allowMissingColumns=True)
+    everything = placed.unionByName(tagged.where("direction != 'in'"), allowMissingColumns=True)
+    if held is not None:
+        everything = everything.unionByName(held, allowMissingColumns=True)
+    unplaced = (F.col("direction") == "in") & F.col("slot_id").isNull()
     counted = everything.withColumns(
-        {
-            "_way": F.col("direction"),
-            "direction": F.when((F.col("direction") == "in") & F.col("slot_id").isNull(), "unplaced").otherwise(
-                F.col("direction")
-            ),
-        }
+        {"_way": F.col("direction"), "direction": F.when(unplaced, "unplaced").otherwise(F.col("direction"))}
     )
-    keys = [batch, "site", "sku"]
-    booked = K.stock_ledger(counted, keys)
+    return K.stock_ledger(counted, keys)
+
+
+def _released(booked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give each successful outgoing event the slot of the ingoing event it releases."""
     sources = booked.where("direction = 'in'").select(*keys, "fifo_no", F.struct(*SLOT_COLUMNS).alias("_from"))
     outs = join_on(booked.where("direction = 'out'"), sources, keys, "left", exact=["fifo_no"])
     outs = outs.withColumns({c: F.col(f"_from.{c}") for c in SLOT_COLUMNS}).drop("_from")
@@ -54,6 +64,33 @@ def slot_events(events: DataFrame, slots: DataFrame, batch: str = "day") -> Data
     )
 
 
+def carried_events(events: DataFrame, slots: DataFrame, batch: str = "day") -> tuple[DataFrame, DataFrame]:
+    """As ``slot_events``, but each batch starts from the slots and goods the batch before left.
+
+    Batches run in order (null first), one after the other, since a slot is free only once it was released; what goes
+    from one to the next is a written table with one row per occupied slot. Returns the events, and (batch, slot_id) of
+    the slots occupied at the end of each batch. The driver sees the list of batches only.
+    """
+    keys = ["site", "sku"]
+    rows: list[DataFrame] = []
+    left: list[DataFrame] = []
+    held: DataFrame | None = None
+    for (value,) in events.select(batch).distinct().orderBy(F.asc_nulls_first(batch)).collect():
+        own = events.where(F.col(batch).eqNullSafe(F.lit(value)))
+        free = slots if held is None else W.free_slots(slots, held)
+        booked = materialize(_booked(own, free, batch, keys, held), "booked")
+        stock = K.current_stock(booked, keys).where("slot_id IS NOT NULL").drop("fifo_no", "held", "ok", "_way")
+        held = materialize(stock.withColumn("_carried", F.lit(True)), "held")
+        done = _released(booked, keys)
+        rows.append(done.where("_carried IS NULL").drop("_carried") if "_carried" in done.columns else done)
+        left.append(held.select(F.lit(value).cast(events.schema[batch].dataType).alias(batch), "slot_id"))
+    if not rows:
+        empty = slot_events(events, slots, batch)
+        return empty, empty.select(batch, "slot_id").limit(0)
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union(rows), union(left)
+
+
 def outcomes(booked: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """Texts, trips and flags of the service answer. ``forecast``: (sku, day, forecast_demand)."""
     way, ok = F.col("direction"), F.col("ok")

@@ -150,3 +150,45 @@ def test_null_site_product_and_day_lose_no_event(spark):
     assert K.site_load(K.stock_ledger(tagged), slot_table(spark, ["RESERVE"])).count() == 120
     # a null product is served from what a null product left
     assert any(r.success and r.direction == "out" and r.sku is None and r.site == 0 for r in out)
+
+
+def test_carried_days_equal_loop(spark):
+    """Each day: arrivals first, by type and rank over the slots really free; then releases in order of arrival."""
+    rng = random.Random(11)
+    rows = sorted([(rng.randrange(6), rng.choice([1, 1, 2, 3, None]), rng.choice(["in", "in", "out"]), 1.0) for _ in range(160)], key=lambda r: r[0])
+    slots = slot_table(spark, [rng.choice(["PICKING", "RESERVE"]) for _ in range(40)])
+    ev = O.with_product_class(make_events(spark, rows), classes(spark, [(1, "HF", 0.5, 1.0), (2, "LF", 0.5, 1.0)]))
+    booked, held = O.carried_events(ev, slots)
+    got = {r.event_id: r.slot_id for r in booked.collect()}
+
+    free = {r.slot_id: r for r in slots.collect()}
+    stock, want, left = {}, {}, {}
+    weights = {"PICKING": W.WEIGHTS["HF"], "RESERVE": W.WEIGHTS["LF"]}
+    for day in range(6):
+        own = [(i, r) for i, r in enumerate(rows) if r[0] == day]
+        queues = {k: [i for i, r in own if r[2] == "in" and ("PICKING" if r[1] == 1 else "RESERVE") == k] for k in weights}
+        lists = {
+            k: sorted((s for s in free.values() if s.slot_type == k), key=lambda s, k=k: (s.dist * weights[k][0] + s.z * weights[k][1], s.slot_id))
+            for k in weights
+        }
+        for k, other in (("PICKING", "RESERVE"), ("RESERVE", "PICKING")):
+            n = len(lists[k])
+            for pos, i in enumerate(queues[k]):
+                spill = lists[other][len(queues[other]) :]
+                place = lists[k][pos] if pos < n else spill[pos - n] if pos - n < len(spill) else None
+                want[i] = place.slot_id if place else None
+        for i, (_, sku, way, _) in own:
+            q = stock.setdefault(sku, [])
+            if way == "in" and want[i] is not None:
+                q.append(want[i])
+            elif way == "out":
+                want[i] = q.pop(0) if q else None
+        busy = {s for q in stock.values() for s in q}
+        free = {r.slot_id: r for r in slots.collect() if r.slot_id not in busy}
+        left[(T0 + timedelta(days=day)).date()] = busy
+    assert got == want
+    ends = {}
+    for r in held.collect():
+        ends.setdefault(r.day, set()).add(r.slot_id)
+    assert ends == {d: s for d, s in left.items() if s}
+    assert any(v is None for v in want.values())
