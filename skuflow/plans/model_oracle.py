@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skuflow.operators import scoring as C
 from skuflow.operators import tuning as T
-from skuflow.plans.demand_oracle import EWM, EWM_7, LINE_FIT, PART_GRID, SEGMENTS, STATS, frame, r, with_
+from skuflow.plans.demand_oracle import EWM, EWM_7, LINE_FIT, LINE_GRID, PART_GRID, SEGMENTS, STATS, frame, r, with_
 from skuflow.plans.warehouse_oracle import CUSTOMER_SLOTS, EVENTS, PLAN, WHOLE
 
 SQL: dict[str, str] = {}
@@ -199,6 +199,22 @@ SELECT sku, round_even(pred, 2) + 0.0 AS predicted_demand, override_qty IS NOT N
        CASE WHEN slot_id IS NOT NULL THEN greatest(1, CAST(round_even(q, 0) AS BIGINT)) END AS pick_quantity
 FROM l WHERE q > 0"""
 
+SQL["product_features"] = f"""{with_(*LINE_GRID)},
+p AS (
+  SELECT sku, sum(demand) AS p_total, CAST(sum(has_demand) AS DOUBLE) AS p_days, coalesce(avg(demand) FILTER (demand > 0), 0) AS p_avg,
+         avg(has_demand) AS p_freq FROM grid GROUP BY sku),
+s AS (SELECT *, p_total / max(p_total) OVER () AS p_demand_score, p_freq / max(p_freq) OVER () AS p_freq_score FROM p),
+a AS (
+  SELECT p_brand || '|' || p_type AS sku, max(p_type) AS category, max(p_size) AS fardeau, sum(p_size) AS palette,
+         round(max(p_retailprice) / 100, 4) AS volume, max(p_size) / 5.0 AS kg, CASE WHEN min(p_size) % 2 = 0 THEN 1.0 ELSE 0.0 END AS gerbable
+  FROM part GROUP BY 1),
+c AS (SELECT *, dense_rank() OVER (ORDER BY category) - 1 AS code FROM a)
+SELECT s.sku, {r('CAST(code AS DOUBLE)', 'cat_enc')}, {r('CAST(fardeau AS DOUBLE)', 'colisage_fardeau')}, {r('CAST(palette AS DOUBLE)', 'colisage_palette')},
+       {r('volume', 'volume_pcs')}, {r('CAST(kg AS DOUBLE)', 'poids_kg')}, {r('CAST(gerbable AS DOUBLE)', 'is_gerbable')},
+       {r('p_total', 'p_total')}, {r('p_days', 'p_days')}, {r('p_avg', 'p_avg')}, {r('p_freq', 'p_freq')},
+       {r('(p_demand_score + p_freq_score) / 2', 'p_prio')}, {r('p_demand_score', 'p_demand_score')}, {r('p_freq_score', 'p_freq_score')}
+FROM s LEFT JOIN c USING (sku)"""
+
 # --------------------------------------------------------------- files, streams
 
 SQL["event_file"] = f"""{with_(EVENTS)}

@@ -214,7 +214,14 @@ def _line_deliveries(spark, sf) -> DataFrame:
 def _trained(spark, sf) -> training.Trained:
     deliveries = _line_deliveries(spark, sf)
     # fewer and smaller trees than the defaults: this query shows the pipeline, not the best model
-    return training.train(S.line_history(spark, sf), deliveries, rounds=3, classifier_depth=3, regressor_depth=3)
+    return training.train(S.line_history(spark, sf), deliveries, rounds=3, classifier_depth=3, regressor_depth=3, products=S.line_products(spark, sf))
+
+
+def product_features(spark, sf):
+    """Category code, attributes and priorities per product line."""
+    d = by_line(spark, sf).shared()
+    static = training.priorities(d.daily, d.days()).join(training.product_features(S.line_products(spark, sf)), "sku", "left")
+    return static.select("sku", *[rounded(c, 4).alias(c) for c in ("cat_enc", *training.PHYSICAL, *training.PRIORITY)])
 
 
 def train_and_score(spark, sf):
@@ -225,7 +232,7 @@ def train_and_score(spark, sf):
 
 def feature_importance(spark, sf):
     """Top features of a quantity model learnt from all demand rows before the hold-out."""
-    grid, features = training.feature_grid(S.line_history(spark, sf), _line_deliveries(spark, sf))
+    grid, features = training.feature_grid(S.line_history(spark, sf), _line_deliveries(spark, sf), products=S.line_products(spark, sf))
     rows = materialize(G.trim_warm_up(grid).where("has_demand = 1"), "demand-rows")
     model = M.fit_regressor(rows, features, rounds=3, depth=4)
     return M.importance(model, features, spark)
@@ -263,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tune_threshold, tune_expected_value, tune_daily, tuned_mode, batch_forecast, forecast_summary, forecast_sample,
-        forecast_file, forecast_explained, approximate_features, preparation_order, preparation_tour, train_and_score,
+        forecast_file, forecast_explained, approximate_features, preparation_order, preparation_tour, product_features, train_and_score,
         feature_importance, event_file, stream_congestion, stream_ledger,
     )
 }

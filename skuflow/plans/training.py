@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.functions.calendar import calendar_columns
-from skuflow.functions.clean import finite_or_zero
+from skuflow.functions.clean import finite_or_zero, flag, number_or
 from skuflow.functions.holidays import with_holidays
 from skuflow.operators import baseline as B
 from skuflow.operators import demand as D
@@ -24,21 +24,68 @@ NOT_FEATURES = {"sku", "day", "day_no", "epoch", "demand", "has_demand", "segmen
 # Only the sku-day keys, labels and bookkeeping stay out of the feature vector.
 
 
-def sku_dimension(daily: DataFrame, daily_deliveries: DataFrame, days: DataFrame, start: Column) -> DataFrame:
-    """Everything constant per SKU: statistics, delivery totals, segment, baseline fit."""
+# Names of the physical attributes and of the priority columns.
+PHYSICAL = ["colisage_fardeau", "colisage_palette", "volume_pcs", "poids_kg", "is_gerbable"]
+PRIORITY = ["p_total", "p_days", "p_avg", "p_freq", "p_prio", "p_demand_score", "p_freq_score"]
+
+
+def sku_dimension(
+    daily: DataFrame, daily_deliveries: DataFrame, days: DataFrame, start: Column, products: DataFrame | None = None
+) -> DataFrame:
+    """Everything constant per SKU: statistics, delivery totals, segment, baseline fit, attributes, priorities.
+
+    ``products``: sku, category and the physical attributes, one row per SKU; what is missing is 0 or UNKNOWN.
+    """
     seg = D.segments(daily).select("sku", "segment", (F.col("segment") == "HF").cast("double").alias("is_hf"))
-    return (
+    dim = (
         D.sku_stats(daily)
         .join(D.delivery_stats(daily_deliveries), "sku", "left")
         .join(seg, "sku", "left")
         .join(B.fitted_dimension(daily, days, start), "sku", "left")
-        .fillna(0, ["del_total_count", "del_total_qty", "del_n_days", "del_avg_qty", "is_hf"])
-        .fillna("LF", ["segment"])
+        .join(priorities(daily, days), "sku", "left")
     )
+    if products is None:
+        dim = dim.withColumns({c: F.lit(0.0) for c in (*PHYSICAL, "cat_enc")})
+    else:
+        dim = dim.join(product_features(products), "sku", "left")
+    return dim.fillna(
+        0, ["del_total_count", "del_total_qty", "del_n_days", "del_avg_qty", "is_hf", *PHYSICAL, *PRIORITY, "cat_enc"]
+    ).fillna("LF", ["segment"])
+
+
+def product_features(products: DataFrame) -> DataFrame:
+    """(sku, cat_enc, physical attributes as numbers)."""
+    named = products.withColumn("category", F.coalesce("category", F.lit("UNKNOWN")))
+    coded = named.join(X.category_codes(products), "category", "left")
+    numbers = [number_or(c, 0.0).alias(c) for c in PHYSICAL[:-1]] + [flag(PHYSICAL[-1]).alias(PHYSICAL[-1])]
+    return coded.select("sku", "cat_enc", *numbers)
+
+
+def priorities(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Demand totals, days, mean, frequency, and their scores.
+
+    The published priority table is an input file whose scores are not explained; here a score is the share of the
+    largest value and the priority the mean of both scores.
+    """
+    n_days = days.agg(F.count(F.lit(1)).alias("n")).scalar()
+    sold = F.col("demand") > 0
+    per_sku = daily.groupBy("sku").agg(
+        F.sum("demand").alias("p_total"),
+        F.count_if(sold).cast("double").alias("p_days"),
+        F.coalesce(F.avg(F.when(sold, F.col("demand"))), F.lit(0.0)).alias("p_avg"),
+    ).withColumn("p_freq", F.col("p_days") / n_days)
+    tops = per_sku.agg(F.max("p_total").alias("t"), F.max("p_freq").alias("f"))
+    scored = per_sku.crossJoin(F.broadcast(tops)).withColumns(  # one row
+        {
+            "p_demand_score": F.coalesce(F.try_divide("p_total", "t"), F.lit(0.0)),
+            "p_freq_score": F.coalesce(F.try_divide("p_freq", "f"), F.lit(0.0)),
+        }
+    )
+    return scored.withColumn("p_prio", (F.col("p_demand_score") + F.col("p_freq_score")) / 2).select("sku", *PRIORITY)
 
 
 STATIC = ["prod_avg_demand", "prod_med_demand", "prod_std_demand", "prod_n_days", "del_total_count",
-          "del_total_qty", "del_n_days", "del_avg_qty", "is_hf", "segment"]
+          "del_total_qty", "del_n_days", "del_avg_qty", "is_hf", "segment", *PHYSICAL, *PRIORITY, "cat_enc"]
 
 
 TIME_SERIES = [X.LAG, X.SAME_WEEKDAY, X.MOMENTS, X.EXTREMES, X.SUMS, X.MEDIANS, X.FREQUENCY, X.DAYS_SINCE, X.EWM,
@@ -47,12 +94,16 @@ DERIVED = [[X.RATIOS[-1]], [X.BASELINE[-1]]]
 
 
 def feature_grid(
-    history: DataFrame, daily_deliveries: DataFrame, holdout_days: int = 60, extend_days: int = 0
+    history: DataFrame,
+    daily_deliveries: DataFrame,
+    holdout_days: int = 60,
+    extend_days: int = 0,
+    products: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Dense feature grid and its feature names.
 
-    The demand cap, the statistics and the baseline see only the days before the
-    hold-out. ``extend_days`` appends empty days after the history (for scoring).
+    The demand cap, the statistics, the delivery totals, the priorities and the
+    baseline see only the days before the hold-out. ``extend_days`` appends empty days after the history (for scoring).
     """
     spark = history.sparkSession
     start, last = G.day_bounds(history)
@@ -60,7 +111,8 @@ def feature_grid(
     daily = materialize(D.capped_daily(D.daily_demand(history), fit_until=until), "daily")
     fit_days = G.calendar(start, until, spark)
     fit_rows = daily.withColumn("_u", until).where("day <= _u").drop("_u")
-    dim = materialize(sku_dimension(fit_rows, daily_deliveries, fit_days, start), "sku-dimension")
+    fit_deliveries = daily_deliveries.withColumn("_u", until).where("day <= _u").drop("_u")
+    dim = materialize(sku_dimension(fit_rows, fit_deliveries, fit_days, start, products), "sku-dimension")
 
     end = F.date_add(last, extend_days)
     facts = G.merge_facts(daily, daily_deliveries, start, last)
@@ -108,12 +160,13 @@ def train(
     regressor_depth: int = 6,
     valid_days: int = 30,
     test_days: int = 30,
+    products: DataFrame | None = None,
 ) -> Trained:
     """Train on the past, tune on the validation days, score the test days.
 
     The grid is written once and read by both models, the tuning and the scoring.
     """
-    grid, features = feature_grid(history, daily_deliveries, holdout_days=valid_days + test_days)
+    grid, features = feature_grid(history, daily_deliveries, holdout_days=valid_days + test_days, products=products)
     grid = materialize(G.trim_warm_up(grid), "features")
     last = grid.agg(F.max("day").alias("d")).scalar()
     known, test = G.train_test(grid, last, test_days)

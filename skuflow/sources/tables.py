@@ -78,6 +78,22 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes per product line, from its parts: pack and pallet sizes, volume, weight, stackable."""
+    return (
+        table(spark, sf_dir, "part")
+        .groupBy(product_line_key().alias("sku"))
+        .agg(
+            F.max("p_type").alias("category"),
+            F.max("p_size").cast("double").alias("colisage_fardeau"),
+            F.sum("p_size").cast("double").alias("colisage_palette"),
+            F.round(F.max("p_retailprice") / 100, 4).alias("volume_pcs"),
+            (F.max("p_size") / 5.0).alias("poids_kg"),
+            (F.min("p_size") % 2 == 0).cast("string").alias("is_gerbable"),
+        )
+    )
+
+
 SLOT_KEYS = {"supplier": "s_suppkey", "customer": "c_custkey"}
 
 

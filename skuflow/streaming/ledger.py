@@ -1,68 +1,68 @@
-"""Live FIFO ledger: each outgoing event takes the oldest stored event of its (site, product)."""
+"""Live FIFO ledger: each outgoing event takes the oldest stored event of its (site, product).
 
-from __future__ import annotations
+Every micro-batch runs the batch ledger over the stock the batch before left, a
+written table with one row per stored event. So a busy product spreads over many
+tasks, and nothing is kept in task memory. The order is: stored events in the
+order they were stored, then the events of the batch by (ts, event_id). An event
+that arrives in a later batch than younger ones is thus served after them; its
+own time only orders it within its batch.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from skuflow.functions.labels import direction
-from skuflow.session import new_shared_path
+from skuflow.operators.ledger import KEYS, current_stock, stock_ledger
+from skuflow.operators.prefix import join_on
+from skuflow.session import materialize, new_shared_path
 
 OUTCOME = "event_id bigint, site bigint, sku bigint, direction string, ok boolean, in_event bigint"
-STATE = "stored array<bigint>"
-
-
-def _apply(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: ids of the stored events of one (site, product), oldest first."""
-    stored = list(state.get[0]) if state.exists else []
-    taken = 0
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    ok, released = [], []
-    for event_id, way in zip(rows["event_id"], rows["direction"]):
-        if way == "in":
-            stored.append(int(event_id))
-            ok.append(True)
-            released.append(None)
-        else:
-            hit = taken < len(stored)
-            ok.append(hit)
-            released.append(stored[taken] if hit else None)
-            taken += hit
-    state.update((stored[taken:],))
-    out = rows[["event_id", "site", "sku", "direction"]].copy()
-    out["ok"] = ok
-    out["in_event"] = pd.array(released, dtype="Int64")
-    yield out
+STORED = "event_id bigint, ts timestamp, site bigint, sku bigint, direction string, seq bigint"
 
 
 def ledger(events: DataFrame) -> DataFrame:
-    """``events``: ts, event_id, site, sku, flow_word. Unknown directions are left out."""
+    """Events of known direction. ``events``: ts, event_id, site, sku, flow_word."""
     known = events.withColumn("direction", direction("flow_word")).where("direction != 'unknown'")
-    return (
-        known.select("event_id", "ts", "site", "sku", "direction")
-        .groupBy("site", "sku")
-        .applyInPandasWithState(_apply, OUTCOME, STATE, "append", "NoTimeout")
-    )
+    return known.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "site", "sku", "direction")
+
+
+def book(batch: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes of ``batch``, stock after it). ``stored``: the stock before it."""
+    rows = batch.withColumns({"seq": F.lit(0).cast("bigint"), "turn": F.lit(1)})
+    if stored is not None:
+        rows = rows.unionByName(stored.withColumn("turn", F.lit(0)))
+    booked = materialize(stock_ledger(rows, order=("turn", "seq", "ts", "event_id")), "live-booked")
+    ins = booked.where("direction = 'in'").select(*KEYS, "fifo_no", F.col("event_id").alias("in_event"))
+    fresh = booked.where("turn = 1")
+    outs = join_on(fresh.where("direction = 'out'"), ins, KEYS, "left", exact=["fifo_no"])
+    outcomes = outs.unionByName(fresh.where("direction = 'in'"), allowMissingColumns=True)
+    stock = current_stock(booked).withColumn("seq", F.col("fifo_no"))
+    return outcomes.select("event_id", *KEYS, "direction", "ok", "in_event"), stock.select("event_id", "ts", *KEYS, "direction", "seq")
+
+
+def run_to_table(events: DataFrame, label: str = "live-ledger") -> DataFrame:
+    """Drain the stream into a table. A replayed micro-batch reads the same stock and replaces its own results."""
+    spark = events.sparkSession
+    out, stock = new_shared_path(spark, label), new_shared_path(spark, f"{label}-stock")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(STORED).parquet(f"{stock}/{batch_id - 1}") if batch_id else None
+        outcomes, after = book(batch, before)
+        outcomes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{stock}/{batch_id}")
 
-def run_to_table(outcomes: DataFrame, label: str = "live-ledger") -> DataFrame:
-    """Drain the stream into a table (the file sink commits each micro-batch once)."""
-    spark = outcomes.sparkSession
-    out = new_shared_path(spark, label)
     query = (
-        outcomes.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
+        events.writeStream.outputMode("append")
+        .foreachBatch(write)
         .option("checkpointLocation", new_shared_path(spark, f"{label}-state"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(OUTCOME).parquet(out)
+    return spark.read.schema(f"{OUTCOME}, batch int").parquet(out).drop("batch")
 
 
 def with_sites(events: DataFrame, sites: int = 4) -> DataFrame:

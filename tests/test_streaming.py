@@ -49,3 +49,15 @@ def test_ledger_state_carries_over_batches(spark, tmp_path):
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(folder)
     got = {r.event_id: (r.ok, r.in_event) for r in live.run_to_table(live.ledger(live.with_sites(raw))).collect()}
     assert got == {1: (True, None), 2: (True, None), 3: (True, 1), 4: (False, None)}
+
+
+def test_ledger_serves_a_late_arrival_after_what_was_stored(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    day = lambda d: datetime(2024, 1, d)
+    feed(spark, folder, 0, [(1, day(5), 5, "click", 1.0, "")])
+    feed(spark, folder, 1, [(2, day(1), 5, "click", 1.0, ""), (3, day(6), None, "view", 1.0, "")])  # older, but later; and no product
+    feed(spark, folder, 2, [(4, day(7), 5, "view", 1.0, ""), (5, day(8), 5, "view", 1.0, ""), (6, day(9), 5, "view", 1.0, "")])
+    schema = spark.read.parquet(folder).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(folder)
+    got = {r.event_id: (r.ok, r.in_event) for r in live.run_to_table(live.ledger(live.with_sites(raw))).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, None), 4: (True, 1), 5: (True, 2), 6: (False, None)}

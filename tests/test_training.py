@@ -62,3 +62,37 @@ def test_preparation_order(spark):
     assert set(got) == {1, 2}
     assert (got[2].status, got[2].source_location, got[2].pick_quantity, got[2].override_applied) == ("ready", "S11", 8, True)
     assert (got[1].status, got[1].source_location, got[1].pick_quantity, got[1].quantity_to_prepare) == ("missing_stock", "Non stocke", None, 2.34)
+
+
+# The features of the published model; its baseline columns carry another name here.
+PUBLISHED = """
+cat_enc colisage_fardeau colisage_palette cv_28 day_idx day_idx_sq days_since days_since_ramadan days_to_eid_adha days_to_eid_fitr
+days_to_national_holiday days_to_ramadan del_avg_qty del_n_days del_qty_rolling_28 del_qty_rolling_7 del_rolling_14 del_rolling_28
+del_rolling_7 del_total_count del_total_qty dfreq_14 dfreq_28 dfreq_60 dfreq_7 dom dow eid_adha_prep eid_fitr_prep ewm28_norm ewm7_norm
+ewm_28 ewm_7 fourier_cos_m1 fourier_cos_m2 fourier_cos_w1 fourier_cos_w2 fourier_cos_y1 fourier_cos_y2 fourier_cos_y3 fourier_cos_y4
+fourier_sin_m1 fourier_sin_m2 fourier_sin_w1 fourier_sin_w2 fourier_sin_y1 fourier_sin_y2 fourier_sin_y3 fourier_sin_y4 hf_x_days_since
+hf_x_dfreq7 hf_x_dow hf_x_eid_adha hf_x_eid_fitr hf_x_is_wknd hf_x_lag1 hf_x_month hf_x_base hf_x_ramadan hf_x_ramadan_prep hf_x_rmean7
+is_any_holiday is_ashura is_eid_adha is_eid_fitr is_gerbable is_hf is_islamic_new_year is_mawlid is_month_end is_month_start
+is_national_holiday is_ramadan is_week_start is_wknd lag1_norm lag_1 lag_14 lag_2 lag_21 lag_28 lag_3 lag_7 lag_w1 lag_w2 lag_w4 month
+p_avg p_days p_demand_score p_freq p_freq_score p_prio p_total poids_kg pre_holiday_3d prod_avg_demand prod_med_demand prod_n_days
+prod_std_demand base_over_ewm7 base_over_rmean7 base_ratio base_resid_lag1 base_resid_rmean7 base_seasonal_str base_trend base_trend_norm
+base_weekly base_weekly_abs base_yearly base_yearly_abs base_yhat qtr ramadan_day ramadan_last_week ramadan_prep ramadan_progress rmax_14
+rmax_28 rmax_7 rmean28_norm rmean7_norm rmean7_over_28 rmean_14 rmean_28 rmean_3 rmean_60 rmean_7 rmean_wday4 rmean_wday4_norm rmed_14
+rmed_28 rmed_7 rmin_14 rmin_28 rmin_7 rstd_14 rstd_28 rstd_3 rstd_60 rstd_7 rsum_14 rsum_28 rsum_7 volume_pcs week
+""".split()
+
+
+def test_all_published_features_are_in_the_grid(trained):
+    assert len(PUBLISHED) == 147
+    assert set(PUBLISHED) <= set(trained.features), sorted(set(PUBLISHED) - set(trained.features))
+
+
+def test_totals_do_not_see_the_hold_out(spark):
+    days = [D0 + timedelta(days=d) for d in range(200)]
+    history = spark.createDataFrame([("s1", d, 2.0) for d in days], "sku string, day date, qty double")
+    dels = spark.createDataFrame([("s1", days[5], 2, 9.0), ("s1", days[190], 50, 900.0)], "sku string, day date, n_deliveries long, qty_delivered double")
+    products = spark.createDataFrame([("s1", None, "6", "x", "0.5", "1.5", "True")], "sku string, category string, colisage_fardeau string, colisage_palette string, volume_pcs string, poids_kg string, is_gerbable string")
+    grid, _ = training.feature_grid(history, dels, holdout_days=60, products=products)
+    r = grid.orderBy("day").first()
+    assert (r.del_total_count, r.del_total_qty, r.p_days, r.p_total) == (2, 9.0, 140.0, 280.0)
+    assert (r.colisage_fardeau, r.colisage_palette, r.poids_kg, r.is_gerbable, r.cat_enc) == (6.0, 0.0, 1.5, 1.0, 0.0)
