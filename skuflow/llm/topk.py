@@ -2,10 +2,11 @@
 
 The index of a shard holds, for every dimension, segments of vectors whose (integer) components fall into one quantised
 level. For a query a segment's impact is the most it can add to a score: the query component times the upper or lower
-end of the level. Segments are processed by descending impact over all dimensions, each adding its impact to the
-accumulators of its vectors. From time to time the bound of every vector - its accumulator plus, for the dimensions in
-which it was not met, the next impact there - is compared with the k-th best exact score so far. Processing stops only
-when the vectors that can still reach it are few; these possible members are rescored exactly.
+end of the level. Segments are processed by descending impact over all dimensions, in three bands. After each band the
+bound of a vector - the impacts of its segments so far plus, for the dimensions in which it was not met, the next
+impact there - is compared with the exact scores of the k vectors of the highest bounds. Those that cannot reach the
+least of these are out for good. Processing stops only when the vectors left are few; these possible members are
+rescored exactly.
 
 Queries are read in blocks and vectors in shards, and every (block, shard) pair is one task's work. Equal scores go to
 the smaller id; since bounds are compared with ``>=``, no tie is lost.
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from skuflow.session import materialize
 
-LEVELS = 12
-SHARD = 4096
-BLOCK = 2048
-FEW = 96
+LEVELS = 16
+SHARD = 32_768
+BLOCK = 512
+GROUP = 3
+FEW = 256
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -49,62 +51,69 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Index:
-    """Impact-ordered postings of one shard."""
+    """Impact-ordered postings of one shard, GROUP dimensions to a posting code.
+
+    A vector's level in a dimension says in which segment of that dimension it lies; the levels of a few dimensions are
+    kept as one number, so that the gains of a whole band of segments are one table look-up per vector and group.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        self.ids, self.vectors = ids, vectors
-        n, self.width = vectors.shape
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
-        self.level = np.empty((n, self.width), dtype=np.int64)
-        self.posting = []
-        self.low = np.empty((self.width, len(self.cuts) - 1), dtype=np.int64)
+        n = len(vectors)
+        self.ids = ids
+        self.vectors = np.pad(vectors, ((0, 0), (0, -vectors.shape[1] % GROUP)))
+        self.width = self.vectors.shape[1]
+        order = np.argsort(self.vectors, axis=0, kind="stable")
+        cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
+        self.levels = len(cuts) - 1
+        level = np.empty((self.width, n), dtype=np.int64)
+        self.low = np.empty((self.width, self.levels), dtype=np.int64)
         self.high = np.empty_like(self.low)
         for d in range(self.width):
-            parts = [order[a:b, d] for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-            self.posting.append(parts)
-            for i, part in enumerate(parts):
-                self.low[d, i], self.high[d, i] = vectors[part[0], d], vectors[part[-1], d]
-                self.level[part, d] = i
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                part = order[a:b, d]
+                level[d, part] = i
+                self.low[d, i], self.high[d, i] = self.vectors[part[0], d], self.vectors[part[-1], d]
+        self.codes = level[0::GROUP]
+        for i in range(1, GROUP):
+            self.codes = self.codes * self.levels + level[i::GROUP]
+
+    def _bound(self, members: np.ndarray | None, gain: np.ndarray) -> np.ndarray:
+        """Sum over dimensions of the gain of each member's level; all vectors where ``members`` is None."""
+        if np.abs(gain).max(axis=1).sum() < 1 << 30:
+            gain = gain.astype(np.int32)
+        tables = gain[0::GROUP]
+        for i in range(1, GROUP):
+            tables = (tables[:, :, None] + gain[i::GROUP, None, :]).reshape(len(tables), -1)
+        total = np.zeros(len(self.ids) if members is None else len(members), dtype=gain.dtype)
+        for codes, table in zip(self.codes, tables, strict=True):
+            total += table[codes if members is None else codes[members]]
+        return total
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but those with id ``own``, ties to the smaller id."""
-        n, levels = len(self.ids), self.low.shape[1]
         q = np.zeros(self.width, dtype=np.int64)
         q[: min(len(query), self.width)] = query[: self.width]
         impact = np.maximum(q[:, None] * self.low, q[:, None] * self.high)
         # in each dimension levels are met from the query's side: descending for positive components
-        rank = np.where(q[:, None] > 0, np.arange(levels)[::-1], np.arange(levels))
-        order = np.lexsort((rank.ravel(), -impact.ravel()))
-        score = np.zeros(n, dtype=np.int64)
-        met = np.zeros(self.width, dtype=np.int64)
-        usable = self.ids != own
-        exact: dict[int, int] = {}
-        pause = max(1, len(order) // 8)
-        sorted_impact = np.sort(impact, axis=1)[:, ::-1]
-        members = np.flatnonzero(usable)
-        for step, segment in enumerate(order, 1):
-            d, level = divmod(int(segment), levels)
-            score[self.posting[d][level]] += impact[d, level]
-            met[d] += 1
-            if step % pause or step == len(order):
-                continue
-            # what a dimension can still add to a vector that was not met there
-            rest = np.where(met < levels, sorted_impact[np.arange(self.width), np.minimum(met, levels - 1)], 0)
-            unseen = np.where(q > 0, self.level < levels - met, self.level >= met)
-            bound = score + unseen @ rest
-            tops = members[np.argpartition(-bound[members], min(k, len(members) - 1))[:k]] if len(members) > k else members
-            for i in tops:
-                exact.setdefault(int(i), int(self.vectors[i] @ q))
-            if len(exact) >= k:
-                least = sorted(exact.values())[-k]
-                members = np.flatnonzero(usable & (bound >= least))
-                if len(members) <= FEW:
-                    break
-        if len(members) > FEW:
-            # all segments are in: the accumulators themselves are the bounds
-            if len(exact) >= k:
-                members = members[score[members] >= sorted(exact.values())[-k]]
+        nearness = np.where(q[:, None] > 0, np.arange(self.levels)[::-1], np.arange(self.levels))
+        order = np.lexsort((nearness.ravel(), -impact.ravel()))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        place = place.reshape(impact.shape)
+        members: np.ndarray | None = None
+        for stop in (len(order) // 2, len(order) * 3 // 4, len(order)):
+            met = place < stop
+            # what a dimension can still add to a vector that was not met there: the impact of its next segment
+            rest = np.where(met, np.iinfo(np.int64).min, impact).max(axis=1)
+            bound = self._bound(members, np.where(met, impact, rest[:, None]))
+            if members is None:
+                members = np.flatnonzero(self.ids != own)
+                bound = bound[members]
+            if len(members) > k:
+                tops = members[np.argpartition(-bound, k)[:k]]
+                members = members[bound >= (self.vectors[tops] @ q).min()]
+            if len(members) <= FEW:
+                break
         scores = self.vectors[members] @ q
         first = np.lexsort((self.ids[members], -scores))[:k]
         return self.ids[members][first], scores[first]
