@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning: labels of documents teach a classifier of sentences.
 
-Each sentence has a logistic score over its words; the document's score is their noisy-or, one minus the product of the
-sentences' clean chances. Training climbs the likelihood of the document labels through the noisy-or, so weight gathers
-on the sentences that explain a label. Afterwards the same model points at offending sentences.
+Each sentence has a logistic score over its words and their beginnings, if any of them is known to the model, else 0.
+The document's score is their leaky noisy-or: one minus the product of the sentences' clean chances and of the chance
+that a label has no cause in the text, which is one number for all documents. Training climbs the likelihood of the
+document labels through the noisy-or, so weight gathers on the sentences that explain a label. Afterwards the same
+model points at offending sentences.
 
 Training sees at most ``rows`` labelled rows, those with the smallest hash of their key, and keeps at most ``words``
-words, those whose presence in a document goes most with its label (chi-square). These bounds are parameters; all else
-covers every document. Word counts are taken by Spark; the sample's few remaining features then fit in the driver.
+features, those whose presence in a document goes most with its label (chi-square). These bounds are parameters; all
+else covers every document. Counts are taken by Spark; the sample's few remaining features then fit in the driver.
 
-Defined cases: null and empty texts are one empty sentence, whose score is the model's bias; a label or key that is null
+Defined cases: null and empty texts are one empty sentence, whose score is the leak; a label or key that is null
 teaches nothing; with labels of one kind only, or none, the score is that kind's share (0.0 without labels); of
 several labels for a key the largest holds; repeated rows are scored alike; an empty table gives an empty result.
 """
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.llm.textscan import LOWER, slices, word_hashes, words
+from skuflow.llm.textscan import LOWER, mix, slices, word_hashes, words
 from skuflow.session import materialize
 
 ROWS = 20_000
 WORDS = 5_000
 STEPS = 300
-LEAST_CHI = 30.0
+LEAST_CHI = 40.0
 LEAST_DOCS = 5
+#: Lengths, in bytes, of the beginnings of longer words that are features beside the words themselves.
+STEMS = (4, 5, 6)
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?\n")] = True
@@ -54,29 +58,36 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begins[order], row[order]
 
 
-def lower_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and hash of each word in lower case without punctuation, and the words before each row."""
+def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and hash of each feature, and its row: lower-case words without punctuation, then their beginnings."""
     low = LOWER[raw]
     clean = np.where(_WORD[low], low, np.uint8(32))
     starts, ends, first = words(clean, offsets)
-    return starts, word_hashes(clean, starts, ends), first
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at, hashes, rows = [starts], [word_hashes(clean, starts, ends)], [row]
+    for n in STEMS:
+        longer = np.flatnonzero(ends - starts > n)
+        at.append(starts[longer])
+        hashes.append(mix(word_hashes(clean, starts[longer], starts[longer] + n) + np.uint64(n)))
+        rows.append(row[longer])
+    return np.concatenate(at), np.concatenate(hashes), np.concatenate(rows)
 
 
-def _sentence_of(starts: np.ndarray, first: np.ndarray, begins: np.ndarray, row: np.ndarray) -> np.ndarray:
-    # empty rows share their first byte with the next row, so sentences are looked up by (row, byte)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    per_row = np.searchsorted(row, np.arange(len(first)))
-    place = np.searchsorted(begins, starts, side="right") - 1
-    return np.clip(place, per_row[owner], per_row[owner + 1] - 1)
+def sentence_of(at: np.ndarray, owner: np.ndarray, begins: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Sentence in which each byte of a row lies. Empty rows share their first byte with the next row, hence ``owner``."""
+    place = np.searchsorted(begins, at, side="right") - 1
+    return np.clip(place, np.searchsorted(row, owner), np.searchsorted(row, owner, side="right") - 1)
 
 
 @dataclass
 class Model:
-    """Weights of word hashes and the bias of a sentence; ``fixed`` replaces the score where nothing could be learned."""
+    """Weights of feature hashes, the bias of a sentence that has any, and the leak (as a logit); ``fixed`` replaces the
+    score where nothing could be learned."""
 
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    leak: float
     fixed: float | None = None
     table: np.ndarray | None = field(default=None, repr=False)
 
@@ -93,8 +104,12 @@ class Model:
         return at[known], slot[known]
 
     def chances(self, n: int, sentence: np.ndarray, word: np.ndarray) -> np.ndarray:
-        z = np.bincount(sentence, weights=self.weights[word], minlength=n) + self.bias
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+        p = _sigmoid(np.bincount(sentence, weights=self.weights[word], minlength=n) + self.bias)
+        return np.where(np.bincount(sentence, minlength=n) > 0, p, 0.0)
+
+
+def _sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
 def all_clean(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -106,9 +121,14 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column("label").to_numpy()
         for first, end, raw, bounds in slices(batch.column("text"), 1 << 21):
-            _, h, cut = lower_words(raw, bounds)
+            _, h, row = features(raw, bounds)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+            h, row = h[new], row[new]
+            cut = np.searchsorted(row, np.arange(end - first + 1))
             for i in range(end - first):
-                own = np.unique(h[cut[i] : cut[i + 1]]).view(np.int64)
+                own = h[cut[i] : cut[i + 1]].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), label[first + i], np.int32))], names=["word", "label"])
 
 
@@ -118,9 +138,9 @@ def _bags(model: Model):
             label = batch.column("label").to_numpy()
             for first, end, raw, bounds in slices(batch.column("text"), 1 << 21):
                 begins, row = sentences(raw, bounds)
-                starts, h, cut = lower_words(raw, bounds)
+                starts, h, owner = features(raw, bounds)
                 at, word = model.find(h)
-                both = np.unique(_sentence_of(starts, cut, begins, row)[at] * len(model.keys) + word)
+                both = np.unique(sentence_of(starts[at], owner[at], begins, row) * len(model.keys) + word)
                 sentence, word = both // len(model.keys), both % len(model.keys)
                 low = np.searchsorted(row, np.arange(end - first + 1))
                 per = np.searchsorted(sentence, low)
@@ -140,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     body = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
     sample = materialize(body.join(F.broadcast(chosen), "_key").select("label", "text"), "sample")  # at most ``rows`` small rows
     found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    model = Model(np.zeros(0, np.uint64), np.zeros(0), -4.0)
+    model = Model(np.zeros(0, np.uint64), np.zeros(0), -2.0, -4.0)
     if len(found) < 2:
         model.fixed = float(found.get(1, 0) > 0)
         return model
@@ -166,26 +186,25 @@ def _climb(model: Model, bags: pa.Table, steps: int) -> Model:
     entries = [bags[c].combine_chunks() for c in ("sentence", "word")]
     counts = np.diff(entries[0].offsets.to_numpy())
     sentence = entries[0].flatten().to_numpy() + np.repeat(shift[:-1], counts)
-    # sentences without a known word are all alike: keep their number per document only
+    # sentences without a known feature say nothing
     busy, sentence = np.unique(sentence, return_inverse=True)
     word = entries[1].flatten().to_numpy().astype(np.int64)
     row = np.searchsorted(shift, busy, side="right") - 1
-    plain = n - np.bincount(row, minlength=len(y))
-    first, second = np.zeros(len(model.keys) + 1), np.zeros(len(model.keys) + 1)
+    first, second = np.zeros(len(model.keys) + 2), np.zeros(len(model.keys) + 2)
     for t in range(1, steps + 1):
         p = model.chances(len(busy), sentence, word)
-        quiet = 1.0 / (1.0 + np.exp(-model.bias))
-        clean = all_clean(p, row, len(y)) + plain * np.log1p(-quiet)
+        leak = _sigmoid(model.leak)
+        clean = all_clean(p, row, len(y)) + np.log1p(-leak)
         toxic = np.maximum(-np.expm1(clean), 1e-12)
-        # d log-likelihood / d z of a sentence: p * (y * clean / toxic - (1 - y))
+        # d log-likelihood / d z of a cause: its chance * (y * clean / toxic - (1 - y))
         of_row = y * np.exp(clean) / toxic - (1 - y)
         pull = p * of_row[row]
-        g = np.append(np.bincount(word, weights=pull[sentence], minlength=len(model.keys)), pull.sum() + quiet * (plain * of_row).sum()) / len(y)
-        g[:-1] -= 1e-4 * model.weights
+        g = np.concatenate([np.bincount(word, weights=pull[sentence], minlength=len(model.keys)), [pull.sum(), leak * of_row.sum()]]) / len(y)
+        g[:-2] -= 1e-4 * model.weights
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8) * (1 if t < steps // 2 else 0.2)
-        model.weights = model.weights + step[:-1]
-        model.bias = float(model.bias + step[-1])
+        model.weights = model.weights + step[:-2]
+        model.bias, model.leak = float(model.bias + step[-2]), float(model.leak + step[-1])
     return model
 
 
@@ -196,12 +215,12 @@ def _scored(model: Model, spans: bool):
                 n = end - first
                 keys = [batch.column(c).slice(first, n) for c in ("doc_id", "row")]
                 begins, row = sentences(raw, bounds)
-                starts, h, cut = lower_words(raw, bounds)
+                starts, h, owner = features(raw, bounds)
                 at, word = model.find(h)
                 width = max(1, len(model.keys))
-                both = np.unique(_sentence_of(starts[at], np.searchsorted(at, cut), begins, row) * width + word)
+                both = np.unique(sentence_of(starts[at], owner[at], begins, row) * width + word)
                 p = model.chances(len(row), both // width, both % width)
-                score = -np.expm1(all_clean(p, row, n))
+                score = -np.expm1(all_clean(p, row, n) + np.log1p(-_sigmoid(model.leak)))
                 if model.fixed is not None:
                     p, score = np.full(len(row), model.fixed), np.full(n, model.fixed)
                 worst = np.lexsort((begins, -p, row))[np.searchsorted(row, np.arange(n))]  # the first of equals
