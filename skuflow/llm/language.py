@@ -27,6 +27,8 @@ from skuflow.llm.textscan import LOWER, SPACE, slices
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
+#: Mean log-odds per n-gram are small numbers; this scales them before the loss.
+SHARPNESS = 4.0
 _GRAMS = (1, 2, 3, 4)
 _SEEDS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
 
@@ -104,7 +106,7 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its share of exp(-loss) and the lead over the runner-up, from mean log-odds per bit."""
-        z = np.clip(margins * 24.0, -30, 30)
+        z = np.clip(margins * SHARPNESS, -30, 30)
         loss = np.stack([(np.logaddexp(0, -z * word) * self.trust).sum(axis=1) for word in self.code], axis=1)
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
         share /= share.sum(axis=1, keepdims=True)
