@@ -27,6 +27,8 @@ from skuflow.llm.warc import open_folder
 from skuflow.session import materialize, new_shared_path
 
 SLICE = 1 << 21
+BLOCK = 1 << 21
+_PLACE = np.uint64((1 << 24) - 1)  # bits of a place in a block; the same for all blocks, so that equal windows agree
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -42,29 +44,48 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(values: np.ndarray, cuts: np.ndarray, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the row, piece hash and context hash of all anchors of a run of rows with bounds ``cuts``."""
+    """Row, place in the row, piece hash and context hash of all anchors of a run of rows with bounds ``cuts``.
+
+    Long runs are worked in overlapping blocks, so that memory stays small beside the values.
+    """
+    found = []
+    for start in range(0, max(1, len(values) - window + 1), BLOCK):
+        low, high = max(0, start - window), min(len(values), start + BLOCK + 2 * window)
+        own = np.clip(cuts, low, high) - low
+        place, piece_hash, context = _block_anchors(values[low:high], own, start - low, start - low + BLOCK, window, piece)
+        found.append((place + low, piece_hash, context))
+    place, piece_hash, context = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:  # a piece may be the anchor of windows of two blocks
+        place, first = np.unique(place, return_index=True)
+        piece_hash, context = piece_hash[first], context[first]
+    row = np.searchsorted(cuts, place, side="right") - 1
+    return row, place - cuts[row], piece_hash, context
+
+
+def _block_anchors(values: np.ndarray, cuts: np.ndarray, first: int, last: int, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows that start in [first, last)."""
     sizes = np.diff(cuts)
     if not (sizes >= window).any():
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none.view(np.uint64), none.view(np.uint64)
     roll = Rolling(values)
     hashes = roll.fixed(piece)
-    bits = np.uint64(max(20, int(len(hashes)).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
     # the hash above, the place below: equal hashes go to the first place
-    least = _window_minima((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), window - piece + 1)
+    least = _window_minima((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), window - piece + 1)
     change = np.zeros(len(values) + 2, dtype=np.int64)
     long = sizes >= window
     np.add.at(change, cuts[:-1][long], 1)
     np.add.at(change, cuts[1:][long] - window + 1, -1)
     inside = np.cumsum(change)[: len(least)] > 0
-    place = (least[inside] & low).astype(np.int64)
+    inside[:first] = False
+    inside[last:] = False
+    place = (least[inside] & _PLACE).astype(np.int64)
     place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     row = np.searchsorted(cuts, place, side="right") - 1
     left = np.minimum(window - piece, place - cuts[row])
     right = np.minimum(window, cuts[row + 1] - place)
     context = mix(roll.of(place - left, place + right) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row, place - cuts[row], hashes[place], context
+    return place, hashes[place], context
 
 
 class Unit:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from skuflow.llm import fmindex, suffixes
+from skuflow.llm import fmindex, repeats, suffixes
 
 
 def removed(units, window: int, joiner: bytes | None):
@@ -69,3 +69,20 @@ def test_backward_search_counts_occurrences():
         for symbol in pattern[::-1]:
             low, high = index.extend(np.array([symbol]), low, high)
         assert high[0] - low[0] == sum((text[i : i + 4] == pattern).all() for i in range(len(text) - 3))
+
+
+@pytest.mark.parametrize("window,piece,block", [(35, 12, 100), (35, 12, 1000), (200, 64, 512), (9, 9, 50)])
+def test_anchors_do_not_depend_on_blocks(monkeypatch, window, piece, block):
+    draw = np.random.default_rng(block)
+    values = draw.integers(0, 4, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    values[1000:1600] = values[3000:3600]
+    values[4000:4300] = 7
+    cuts = np.array([0, 0, 20, 700, 2500, 2501, 4800, 5000])
+    whole = repeats.anchors(values, cuts, window, piece)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    assert all((a == b).all() for a, b in zip(whole, repeats.anchors(values, cuts, window, piece), strict=True))
+    row, place, _, _ = whole
+    for r in range(len(cuts) - 1):  # every window holds an anchor
+        at = np.sort(place[row == r])
+        for s in range(int(cuts[r + 1] - cuts[r]) - window + 1):
+            assert ((at >= s) & (at <= s + window - piece)).any()
