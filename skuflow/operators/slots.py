@@ -132,9 +132,9 @@ def assign(
     best_first = F.when(F.col("slot_type") == "PICKING", slot_score(F.lit(True), F.lit(False))).otherwise(
         slot_score(F.lit(False), F.lit(False))
     )
-    listed = numbered(
-        slots.withColumn("_score", best_first), ["site", "slot_type"], [F.desc("_score"), F.asc("slot_id")], "_slot_no"
-    ).drop("_score")
+    # one list per site and type, as long as the building has slots of that type
+    by_score = Window.partitionBy("site", "slot_type").orderBy(F.desc("_score"), F.asc("slot_id"))
+    listed = slots.withColumn("_score", best_first).withColumn("_slot_no", F.row_number().over(by_score).cast("bigint")).drop("_score")
     sizes = slots.groupBy("site").agg(
         F.count_if(F.col("slot_type") == "PICKING").alias("_n_picking"),
         F.count_if(F.col("slot_type") == "RESERVE").alias("_n_reserve"),

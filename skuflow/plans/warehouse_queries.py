@@ -168,23 +168,13 @@ def daily_occupancy(spark, sf):
     return W.batch_occupancy(S.slots(spark, sf), O.end_of_batch_slots(booked))
 
 
-def _carried(spark, sf) -> tuple[DataFrame, DataFrame]:
-    events = O.with_product_class(S.flow_events(spark, sf), _product_class(spark, sf))
-    return O.carried_events(materialize(events, "events"), S.slots(spark, sf))
-
-
 def carried_outcomes(spark, sf):
     """Every event of the history when each day starts from the slots the day before left."""
-    booked, _ = _carried(spark, sf)
+    events = O.with_product_class(S.flow_events(spark, sf), _product_class(spark, sf))
+    booked, _ = O.carried_events(materialize(events, "events"), S.slots(spark, sf))
     return booked.select("event_id", "day", "sku", "site", "direction", "slot_id", F.col("slot_id").isNotNull().alias("success"))
 
 
-def carried_occupancy(spark, sf):
-    """Occupancy at the end of each day of a warehouse that is never emptied."""
-    _, held = _carried(spark, sf)
-    return W.batch_occupancy(S.slots(spark, sf), held)
-
-
 # ------------------------------------------------------------------- picking
 
 ITEM_ORDER = ("line_no", "sku", "slot_id")
@@ -254,7 +244,7 @@ QUERIES = {
     for f in (
         flow_canonical, flow_counts, coerced_events, slot_counts, stock_ledger, fifo_match, current_stock, site_load,
         occupancy, free_slots, slot_scores_topk, slot_labels, slot_assignment, event_outcomes, instructions,
-        instruction_summary, congestion_log, daily_congestion, daily_occupancy, carried_outcomes, carried_occupancy, location_fallback, chariot_split,
+        instruction_summary, congestion_log, daily_congestion, daily_occupancy, carried_outcomes, location_fallback, chariot_split,
         pick_tours, chariot_totals, tour_totals, zone_congestion, nested_tours, chariot_trips,
     )
 }
