@@ -7,7 +7,8 @@ QUICK = [
     "daily_demand_capped", "delivery_stats", "demand_grid", "sparsity_profile", "sku_segments", "lag_features", "rolling_features",
     "rolling_median", "ewm_features", "delivery_rolling", "holiday_features", "baseline_parameters", "wape_10d", "auc_exact",
     "stock_ledger", "site_load", "slot_assignment", "event_outcomes", "pick_tours", "tune_threshold", "batch_forecast",
-    "preparation_order", "event_file",
+    "preparation_order", "event_file", "rolling_extremes", "freq_features", "ratio_features", "chariot_split", "wape_models", "tune_daily",
+    "lag1_accuracy", "product_features", "stream_ledger",
 ]
 
 
