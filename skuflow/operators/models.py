@@ -135,5 +135,5 @@ def load(spark, path: str):
         PipelineModel.load(f"{path}/classifier"),
         PipelineModel.load(f"{path}/regressor"),
         spark.read.parquet(f"{path}/baseline"),
-        spark.read.json(f"{path}/parameters"),
+        spark.read.schema("mode string, thr bigint, alpha bigint, mult bigint, power bigint, wape double, bias double").json(f"{path}/parameters"),
     )

@@ -14,6 +14,11 @@ from skuflow.operators.features import EPS, HF_INTERACTIONS
 ALPHA, BIAS_MULTIPLIER, PROB_POWER = 0.725, 0.9, 3.0
 # What the serving approximation assumes about a SKU's recent past.
 APPROX_STD, APPROX_MAX, APPROX_MIN, APPROX_CV, APPROX_DAY_IDX = 0.3, 1.5, 0.5, 0.5, 600.0
+# Features that are 0 without a history.
+NO_HISTORY = {
+    "del_rolling_7", "del_rolling_14", "del_rolling_28", "del_qty_rolling_7", "del_qty_rolling_28", "base_weekly", "base_yearly",
+    "base_weekly_abs", "base_yearly_abs", "base_seasonal_str", "base_resid_lag1", "base_resid_rmean7",
+}
 BAND_Z, BAND_SHARE, BAND_FALLBACK = 1.96, 0.4, 0.5
 
 
@@ -44,7 +49,8 @@ def approximate_features(rows: DataFrame, names: list[str]) -> DataFrame:
     Lags, means and weighted means are the SKU's baseline ``mean_yhat``, spreads
     are fixed shares of it. ``rows`` has day, the SKU's static columns (mean_yhat,
     avg_demand, demand_freq, demand_days, is_hf ...) and the holiday columns.
-    Names not known here and not present in ``rows`` become 0.
+    What only a recent history could tell (NO_HISTORY) is 0. A name that is neither known here nor a column of ``rows``
+    is an error.
     """
     level, average = F.coalesce("mean_yhat", F.lit(0.0)), F.coalesce("avg_demand", F.lit(0.0))
     freq = F.coalesce("demand_freq", F.lit(0.0))
@@ -84,7 +90,11 @@ def approximate_features(rows: DataFrame, names: list[str]) -> DataFrame:
             return _norm(level, average)
         if stem in by_stem:
             return by_stem[stem]
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in rows.columns else F.lit(0.0)
+        if name in rows.columns:
+            return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        if name in NO_HISTORY:
+            return F.lit(0.0)
+        raise ValueError(f"no approximation for feature {name}")
 
     return rows.select("sku", "day", *[column(n).alias(n) for n in names])
 

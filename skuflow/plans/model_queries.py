@@ -230,6 +230,24 @@ def train_and_score(spark, sf):
     return scored.select("sku", "day", "demand", "segment", "base_yhat", "probability", "reg_qty", even_rounded("pred").alias("pred"))
 
 
+def model_forecast(spark, sf):
+    """The 31 days after the history, scored by models that were trained, tuned, saved and loaded again.
+
+    Each model learns from at most 12,000 rows, with up to 20 trees of depth 5 and early stop.
+    """
+    deliveries, products = _line_deliveries(spark, sf), S.line_products(spark, sf)
+    trained = training.train(
+        S.line_history(spark, sf), deliveries, rounds=20, classifier_depth=5, regressor_depth=5, products=products, max_rows=12_000
+    )
+    d = by_line(spark, sf).shared()
+    static = training.sku_dimension(d.daily, deliveries, d.days(), d.start, products)
+    profile = _profile(d).drop("segment", "cal_factor", "trend_slope")
+    path = new_shared_path(spark, "models")
+    M.save(path, trained.classifier, trained.regressor, static.drop(*B.FIT_COLUMNS).join(profile, "sku"), trained.params)
+    out = training.forecast(spark, path, trained.features, F.date_add(d.end, 1), F.date_add(d.end, HORIZON_DAYS))
+    return out.select("sku", "day", "base_yhat", "probability", "reg_qty", rounded("pred").alias("pred"))
+
+
 def feature_importance(spark, sf):
     """Top features of a quantity model learnt from all demand rows before the hold-out."""
     grid, features = training.feature_grid(S.line_history(spark, sf), _line_deliveries(spark, sf), products=S.line_products(spark, sf))
@@ -270,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tune_threshold, tune_expected_value, tune_daily, tuned_mode, batch_forecast, forecast_summary, forecast_sample,
-        forecast_file, forecast_explained, approximate_features, preparation_order, preparation_tour, product_features, train_and_score,
+        forecast_file, forecast_explained, approximate_features, preparation_order, preparation_tour, product_features, train_and_score, model_forecast,
         feature_importance, event_file, stream_congestion, stream_ledger,
     )
 }

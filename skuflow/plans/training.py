@@ -17,6 +17,7 @@ from skuflow.operators import evaluate as E
 from skuflow.operators import features as X
 from skuflow.operators import grid as G
 from skuflow.operators import models as M
+from skuflow.operators import scoring as C
 from skuflow.operators import tuning as T
 from skuflow.session import materialize
 
@@ -161,9 +162,13 @@ def train(
     valid_days: int = 30,
     test_days: int = 30,
     products: DataFrame | None = None,
+    max_rows: int | None = None,
 ) -> Trained:
     """Train on the past, tune on the validation days, score the test days.
 
+    ``max_rows`` bounds the labelled rows each model learns from: those with the smallest hashes of their keys, of the
+    demand rows and of the others in equal parts (the weights even that out). Tuning and scoring see all rows.
+
     The grid is written once and read by both models, the tuning and the scoring.
     """
     grid, features = feature_grid(history, daily_deliveries, holdout_days=valid_days + test_days, products=products)
@@ -172,9 +177,12 @@ def train(
     known, test = G.train_test(grid, last, test_days)
     fit_part, valid = G.train_test(known, F.date_sub(last, test_days), valid_days)
 
-    weighted = M.class_weight(fit_part.withColumn("is_valid", F.lit(False))).unionByName(
-        valid.withColumns({"is_valid": F.lit(True), "weight": F.lit(1.0)})
+    learn_from, stop_by = (fit_part, valid) if max_rows is None else (_sample(fit_part, max_rows), _sample(valid, max_rows))
+    weighted = M.class_weight(learn_from.withColumn("is_valid", F.lit(False))).unionByName(
+        stop_by.withColumns({"is_valid": F.lit(True), "weight": F.lit(1.0)})
     )
+    if max_rows is not None:
+        weighted = materialize(weighted, "learn")
     classifier = M.fit_classifier(weighted, features, rounds, classifier_depth, validation="is_valid")
     regressor = M.fit_regressor(weighted, features, rounds, regressor_depth, validation="is_valid")
 
@@ -190,6 +198,27 @@ def train(
     return Trained(classifier, regressor, features, params, scored)
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """About ``n`` rows, half of them with demand where there are so many; chosen by a hash of the keys."""
+    place = F.pmod(F.xxhash64("sku", "day"), F.lit(1 << 30)) / float(1 << 30)
+    counts = {r["has_demand"]: r["count"] for r in rows.groupBy("has_demand").count().collect()}
+    share = F.lit(0.0)
+    for label, count in counts.items():
+        share = F.when(F.col("has_demand") == label, F.lit(min(1.0, n / 2 / count))).otherwise(share)
+    return rows.where(place < share)
+
+
+def forecast(spark, path: str, features: list[str], first: Column, last: Column) -> DataFrame:
+    """Score the days from ``first`` to ``last`` with the models saved below ``path`` (see ``models.save``).
+
+    The saved dimension holds one row per SKU with what ``scoring.approximate_features`` needs.
+    """
+    classifier, regressor, dimension, params = M.load(spark, path)
+    rows = with_holidays(C.forecast_rows(dimension, first, last), G.calendar(first, last, spark))
+    scored = M.with_predictions(C.approximate_features(rows, features), classifier, regressor)
+    return scored.withColumn("pred", M.final_prediction(params.first()))
+
+
 def as_eval(scored: DataFrame, n_days: int, horizon: int = 10) -> DataFrame:
     """Columns the tuning reads: win, sku, actual, base, reg, ewm, p."""
     first = scored.agg(F.min("day").alias("d")).scalar()

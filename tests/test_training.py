@@ -2,6 +2,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from skuflow.operators import models as M
 from skuflow.operators import scoring as C
@@ -96,3 +97,31 @@ def test_totals_do_not_see_the_hold_out(spark):
     r = grid.orderBy("day").first()
     assert (r.del_total_count, r.del_total_qty, r.p_days, r.p_total) == (2, 9.0, 140.0, 280.0)
     assert (r.colisage_fardeau, r.colisage_palette, r.poids_kg, r.is_gerbable, r.cat_enc) == (6.0, 0.0, 1.5, 1.0, 0.0)
+
+
+def test_saved_models_score_future_days(spark, trained, tmp_path):
+    first, last = D0 + timedelta(days=240), D0 + timedelta(days=270)
+    static = {n: 0.0 for n in training.STATIC if n != "segment"}
+    rows = [{"sku": f"s{s}", "mean_yhat": 5.0 + s, "avg_demand": 6.0 + s, "demand_freq": 0.4, "demand_days": 90, **static} for s in range(5)]
+    M.save(str(tmp_path), trained.classifier, trained.regressor, spark.createDataFrame(rows), trained.params)
+    got = training.forecast(spark, str(tmp_path), trained.features, F.lit(first), F.lit(last)).collect()
+    assert {(r.sku, r.day) for r in got} == {(f"s{s}", first + timedelta(days=d)) for s in range(5) for d in range(31)}
+    p = trained.params.first()
+    for r in got:
+        blend = p.alpha / 1000 * r.base_yhat + (1 - p.alpha / 1000) * r.reg_qty
+        ev = r.probability ** (p.power / 100) * blend * p.mult / 100
+        gated = blend * p.mult / 100 if p.thr is not None and r.probability >= p.thr / 1000 else 0.0
+        assert r.pred == pytest.approx(max(0.0, ev if p["mode"] == "expected_value" else gated))
+
+
+def test_unknown_features_are_an_error(spark):
+    rows = spark.createDataFrame([("s1", D0, 1.0, 1.0, 0.5, 3)], "sku string, day date, mean_yhat double, avg_demand double, demand_freq double, demand_days int")
+    with pytest.raises(ValueError, match="moon_phase"):
+        C.approximate_features(rows, ["lag_1", "moon_phase"])
+
+
+def test_bounded_sample_keeps_demand_rows(spark):
+    rows = spark.range(40_000).selectExpr("cast(id % 100 as string) AS sku", "date_add(date'2024-01-01', cast(id / 100 as int)) AS day", "cast(id % 50 = 0 as int) AS has_demand")
+    counts = {r["has_demand"]: r["count"] for r in training._sample(rows, 1000).groupBy("has_demand").count().collect()}
+    assert 350 < counts[1] < 650 and 350 < counts[0] < 650
+    assert training._sample(rows, 1_000_000).count() == 40_000
