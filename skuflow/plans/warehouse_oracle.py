@@ -299,9 +299,16 @@ def recursive(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes)
 
 
-SQL["chariot_split"] = f"""{recursive(ITEMS, SPLIT)}
+# a given slot of 0 is missing; then the product's first stored slot, then the first PICKING slot
+RESOLVED = """
+oldest AS (SELECT sku, arg_min(event_id, fifo_no) % 50 AS stored_slot FROM stock GROUP BY sku),
+items AS (
+  SELECT l.* REPLACE (coalesce(nullif(l.slot_id, 0), stored_slot, (SELECT min(slot_id) FROM slots WHERE slot_type = 'PICKING'), 0) AS slot_id)
+  FROM lines_to_pick l LEFT JOIN oldest USING (sku))"""
+ROUTED = (*WHOLE, STOCK, slots(), ITEMS.replace("items AS (", "lines_to_pick AS (", 1), RESOLVED)
+SQL["chariot_split"] = f"""{recursive(*ROUTED, SPLIT)}
 SELECT order_id, item_no, sku, slot_id, grams, CAST(chariot AS BIGINT) AS chariot FROM split"""
-TOURS = recursive(ITEMS, SPLIT, slots(), TOUR)
+TOURS = recursive(*ROUTED, SPLIT, TOUR)
 SQL["pick_tours"] = f"""{TOURS}
 SELECT order_id, CAST(chariot AS BIGINT) AS chariot, CAST(step AS BIGINT) AS step, action, sku, code, distance,
        CASE WHEN action = 'return' THEN 'Retour zone expedition' ELSE {route('from_z', 'level')} END AS detail FROM steps"""

@@ -180,13 +180,16 @@ def carried_outcomes(spark, sf):
 ITEM_ORDER = ("line_no", "sku", "slot_id")
 
 
-def location_fallback(spark, sf):
-    """Slot per pick line: a given slot, else the product's first stored slot, else the first PICKING slot."""
+def _items(spark, sf) -> DataFrame:
+    """Pick lines with their slots resolved: the given one, the first stored one, the first PICKING slot."""
     stock = K.oldest_stock(K.current_stock(materialize(_ledger(spark, sf), "ledger")), ["sku"])
     stored = stock.select("sku", (F.col("event_id") % 50).alias("stored_slot"))
-    items = S.pick_lines(spark, sf)
-    resolved = P.resolve_slots(items, stored, S.slots(spark, sf))
-    located, unknown = P.locate(resolved, S.slots(spark, sf))
+    return P.resolve_slots(S.pick_lines(spark, sf), stored, S.slots(spark, sf))
+
+
+def location_fallback(spark, sf):
+    """Slot per pick line: a given slot, else the product's first stored slot, else the first PICKING slot."""
+    located, unknown = P.locate(_items(spark, sf), S.slots(spark, sf))
     both = located.select("order_id", "line_no", "sku", "slot_id", F.lit(True).alias("known")).unionByName(
         unknown.select("order_id", "line_no", "sku", "slot_id", F.lit(False).alias("known"))
     )
@@ -194,7 +197,7 @@ def location_fallback(spark, sf):
 
 
 def _split(spark, sf) -> DataFrame:
-    return P.split_chariots(S.pick_lines(spark, sf), ITEM_ORDER)
+    return P.split_chariots(_items(spark, sf), ITEM_ORDER)
 
 
 def chariot_split(spark, sf):
