@@ -36,6 +36,7 @@ VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 SAMPLE = 20
+SHARD_BYTES = 16 << 20
 MANIFEST = "manifest.parquet"
 _FILES = "file string, shard int, part int, records long, bytes long, sha1 string"
 
@@ -143,17 +144,18 @@ def _shard_of(place: Column, cuts: Column, n: int) -> Column:
 def write_archive(pages: DataFrame, folder: str, shards: int | None = None, limit: int = 32 << 20, date: str = "2000-01-01T00:00:00Z", key: str = "page_id", url: str = "url", payload: str = "html") -> str:
     """Write one record per row below ``folder`` (shared, new or of an earlier run); returns the folder.
 
-    ``shards`` is the number of ranges (default: the session's shuffle partitions). The driver sees their bounds, taken
-    from a sample of about SAMPLE keys per range.
+    ``shards`` is the number of ranges (default: one per SHARD_BYTES of payload, but the session's shuffle partitions at
+    least). The driver sees their bounds, taken from a sample of about SAMPLE keys per range.
     """
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("hex", F.sha1(F.col("payload").cast("binary")))
-    keys = materialize(rows.select("key", "url", "hex"), "warc-keys")
+    keys = materialize(rows.select("key", "url", "hex", F.octet_length("payload").cast("long").alias("size")), "warc-keys")
+    n, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
 
     place = F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("k"), F.coalesce("url", F.lit("")).alias("u"), F.col("hex").alias("h"))
-    every = max(1, keys.count() // (SAMPLE * shards))
+    every = max(1, n // (SAMPLE * shards))
     picked = keys.where(F.pmod(F.xxhash64("key", "url", "hex"), F.lit(every)) == 0).select(place.alias("p")).distinct()
     ordered = [tuple(r["p"]) for r in picked.orderBy("p").collect()]
     cuts = sorted({ordered[len(ordered) * i // shards] for i in range(1, shards)}) if ordered else []
@@ -168,7 +170,7 @@ def write_archive(pages: DataFrame, folder: str, shards: int | None = None, limi
         .withColumn("front", F.col("key").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url")))
         .select("shard", "key", "url", "hex", "payload", "n", "first", "front")
     )
-    dealt = marked.repartition(shards, "shard").sortWithinPartitions("shard", "key", "url", "hex")
+    dealt = marked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "url", "hex")
     files, root = open_folder(folder)
     files.create_dir(root, recursive=True)
     aside = f"{folder}/_manifest-{uuid.uuid4().hex}"
