@@ -90,17 +90,18 @@ def _side_by_side(*lengths: int) -> Step:
     """
 
     def step() -> dict[str, Column]:
-        total = lengths[0]
-        mean, m2 = F.col(f"_mean{total}"), F.col(f"_m2_{total}")
+        first, total = F.col(f"_mean{lengths[0]}"), lengths[0]
+        parts = [(_rows_seen(total), first, F.col(f"_m2_{total}"))]
         for b in lengths[1:]:
             mean_b = _lag("demand", total + 1) if b == 1 else _lag(f"_mean{b}", total)
             m2_b = F.lit(0.0) if b == 1 else _lag(f"_m2_{b}", total)
-            n_a, n_b = _rows_seen(total), F.greatest(F.least(F.col("day_no") - total, F.lit(b)), F.lit(0))
-            gap = mean_b - mean
-            m2 = F.when(n_b > 0, m2 + m2_b + gap * gap * n_a * n_b / (n_a + n_b)).otherwise(m2)
-            mean = F.when(n_b > 0, mean + gap * n_b / (n_a + n_b)).otherwise(mean)
+            n_b = F.greatest(F.least(F.col("day_no") - total, F.lit(b)), F.lit(0))
+            parts.append((n_b, F.coalesce(mean_b, first), F.coalesce(m2_b, F.lit(0.0))))
             total += b
-        return {f"_mean{total}": mean, f"_m2_{total}": m2}
+        # relative to the first mean, so that equal values leave exactly nothing
+        shift = sum((n * (m - first) for n, m, _ in parts[1:]), F.lit(0.0)) / _rows_seen(total)
+        m2 = sum((m2 + n * (m - first - shift) * (m - first - shift) for n, m, m2 in parts), F.lit(0.0))
+        return {f"_mean{total}": first + shift, f"_m2_{total}": m2}
 
     return step
 
