@@ -53,3 +53,22 @@ def test_messy_and_empty_tables(spark, sf, messy, nothing, tmp_path):
         assert [s.count() for s in steps[-2:]].count(steps[-1].count()) == 2
     kept = through(spark, messy, sf, tmp_path / "again")
     assert kept[0].count() == messy.count()  # nothing in it is toxic
+
+
+def test_row_numbers_hold_when_splits_change(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(600)
+    path = str(tmp_path / "docs")
+    docs.union(docs.limit(200)).repartition(2).write.option("parquet.block.size", 65536).parquet(path)
+    docs = spark.read.parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    for stage in (pipeline.drop_near_copies, pipeline.mix_sources):
+        want = Counter(stage(spark, docs, sf).collect())
+        lazy = stage(spark, docs, sf)
+        before = docs.rdd.getNumPartitions()
+        try:
+            spark.conf.set(key, "65536")  # as when an executor is lost or added before the last join
+            assert spark.read.parquet(path).rdd.getNumPartitions() != before
+            assert Counter(lazy.collect()) == want, stage
+        finally:
+            spark.conf.set(key, old)
