@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skuflow.llm.textscan import BYTE_VALUE, Rolling, mix, slices, word_hashes, words
 from skuflow.llm.warc import open_folder
-from skuflow.session import materialize, new_shared_path
+from skuflow.session import fixed_splits, materialize, new_shared_path
 
 SLICE = 1 << 21
 BLOCK = 1 << 21
@@ -370,11 +370,13 @@ def _cut(unit: Unit, known: str, found: str):
         sure = np.concatenate([np.frombuffer(b, np.uint64) for b in whole]) if whole else np.zeros(0, np.uint64)
         results = np.concatenate([np.stack([sure, np.full(len(sure), unit.window, np.uint64), np.full(len(sure), unit.window, np.uint64)]), *part_results], axis=1)
         results = results[:, np.argsort(results[0])]
+        met = np.zeros(results.shape[1], dtype=bool)
         for batch in batches:
             for first, end, raw, bounds in slices(batch.column("text"), SLICE):
                 values, cuts = unit.load(raw, bounds)
                 row, place, _, c = anchors(values, cuts, unit.window, unit.piece)
                 hit, slot = _find(results[0], c & ~np.uint64(1))
+                met[slot] = True
                 at = cuts[row[hit]] + place[hit]
                 # a context known as a whole is cut at the ends of its text
                 low = np.maximum(at - np.minimum(results[1][slot].astype(np.int64), unit.window - unit.piece), cuts[row[hit]])
@@ -392,6 +394,8 @@ def _cut(unit: Unit, known: str, found: str):
                 digests = [hashlib.sha256(unit.kept(i, gone[cuts[i] : cuts[i + 1]])).hexdigest() for i in range(end - first)]
                 columns = [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(cuts)), pa.array(removed), pa.array(spans), pa.array(digests)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"])
+        if not met.all():
+            raise RuntimeError("the table was split differently on the third reading")
 
     return run
 
@@ -401,10 +405,10 @@ def without_repeats(docs: DataFrame, unit: Unit, index: IndexFunction, key: str
 
     ``docs`` is read three times, and no text is shuffled: small packed rows go from the scan's partitions to buckets of
     pieces and back, addressed by partition number. So ``docs`` must be a table on storage (or a plain projection of
-    one), which Spark splits alike each time; a partition that misses what it is asked for fails.
+    one); its splits are planned once for all readings, and a partition that misses what it was sent fails.
     """
     spark = docs.sparkSession
-    scan = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    scan = fixed_splits(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     parts = scan.rdd.getNumPartitions()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parts)
     width, dtype = unit.width, (np.uint8 if unit.width == 1 else np.uint64)

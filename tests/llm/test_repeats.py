@@ -86,3 +86,36 @@ def test_anchors_do_not_depend_on_blocks(monkeypatch, window, piece, block):
         at = np.sort(place[row == r])
         for s in range(int(cuts[r + 1] - cuts[r]) - window + 1):
             assert ((at >= s) & (at <= s + window - piece)).any()
+
+
+@pytest.fixture
+def other_splits(spark):
+    """Call it to have Spark split tables differently from then on, as when an executor is lost or added."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    yield lambda: spark.conf.set(key, "2048")
+    spark.conf.set(key, old)
+
+
+def test_splits_that_change_between_readings(spark, tmp_path, messy, other_splits):
+    path = str(tmp_path / "d")
+    messy.where("length(text) < 5000 or text is null").repartition(2).write.option("parquet.block.size", 2048).parquet(path)
+    docs = spark.read.parquet(path)
+    units = [(r["text"] or "").encode().split() for r in docs.select("text").collect()]
+    left = fmindex.remove_repeats(docs, 12, 4)
+    before = docs.rdd.getNumPartitions()
+    other_splits()
+    assert spark.read.parquet(path).rdd.getNumPartitions() != before
+    got = Counter((r["n_units"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in left.collect())
+    assert got == Counter(removed(units, 12, b" "))
+
+
+def test_a_partition_that_misses_what_it_was_sent_fails(monkeypatch):
+    import pyarrow as pa
+
+    sent = {"known": [np.array([2, 4], np.uint64).tobytes()]}
+    monkeypatch.setattr(repeats, "_side", lambda folder, part: sent.get(folder, []))
+    monkeypatch.setattr(repeats, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a few words"])], names=["doc_id", "text"])
+    with pytest.raises(RuntimeError):
+        list(repeats._cut(repeats.Words(35, 12), "known", "found")(iter([batch])))
