@@ -6,6 +6,10 @@ and one of its context, the stretch of text that all windows with this anchor ca
 the piece repeats; of such places each distinct context is fetched once, with the number of places where it occurs, and
 handed to an index that reports, per context, the stretch covered by repeated windows. All of these windows hold the
 anchor, so that stretch is one interval, and it is carried back to every place.
+
+A piece with more than LARGE distinct contexts is no task's own: the windows of its contexts become rows (piece, hash of
+the window and its place around the anchor), which Spark counts, and the partitions that hold such a context are told
+which of its windows repeat.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from skuflow.session import fixed_splits, materialize, new_shared_path
 
 SLICE = 1 << 21
 BLOCK = 1 << 21
+LARGE = 4096
 _PLACE = np.uint64((1 << 24) - 1)  # bits of a place in a block; the same for all blocks, so that equal windows agree
 
 
@@ -199,11 +204,12 @@ def _dealt(part: int, m: np.ndarray, c: np.ndarray, twice: np.ndarray, buckets:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part", "data"])
 
 
-def _decide(table: pa.Table) -> pa.Table:
+def _decide(table: pa.Table, large: int) -> pa.Table:
     """Which contexts of a bucket can hold a repeated window, which partition is to send each, and who waits for it.
 
     Kinds: 0 contexts to send (context, weight), 1 contexts whose result is awaited, 2 contexts that occur as a whole
-    more than once where no other context has the piece (their result is known: all of it).
+    more than once and need no index (their result is known: all of it), as no other context has the piece or more than
+    ``large`` have it, 3 contexts of such large groups (context, weight), whose windows are counted by Spark.
     """
     parts = [np.frombuffer(x.as_py(), dtype=np.uint64).reshape(2, -1) for x in table["data"]]
     sizes = [p.shape[1] for p in parts]
@@ -219,6 +225,7 @@ def _decide(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(new, len(m)))
     keep = np.repeat(total >= 2, distinct)
     alone = np.repeat(distinct == 1, distinct)
+    many = np.repeat(distinct > large, distinct)
     out: list[tuple[int, int, int, bytes]] = []
     bucket = table["bucket"][0].as_py()
 
@@ -231,21 +238,36 @@ def _decide(table: pa.Table) -> pa.Table:
         for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
             out.append((bucket, int(to[a]), kind, _blob(*(x[by][a:b] for x in columns))))
 
-    ask = new[keep & ~alone]
-    send(0, ask, c[ask], weight[keep & ~alone].astype(np.uint64))
-    wait = np.flatnonzero(np.repeat(keep & ~alone, size))
+    indexed = keep & ~alone & ~many
+    for kind, chosen in ((0, indexed), (3, many)):
+        ask = new[chosen]
+        send(kind, ask, c[ask], weight[chosen].astype(np.uint64))
+    wait = np.flatnonzero(np.repeat(indexed, size))
     send(1, wait, c[wait])
-    known = np.flatnonzero(np.repeat(keep & alone, size))
+    known = np.flatnonzero(np.repeat(keep & alone | many & (weight >= 2), size))
     send(2, known, c[known])
     columns = list(zip(*out, strict=True)) or [(), (), (), ()]
     return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "kind", "data"])
 
 
-def _side(folder: str, part: int) -> list[bytes]:
+def _side_tables(folder: str, part: int, columns: list[str]) -> Iterator[pa.Table]:
     """What an earlier step left for this partition of the scan, in the shared folder."""
     files, root = open_folder(folder)
     found = files.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
-    return [x for f in sorted(found, key=lambda f: f.path) if f.base_name.startswith("part-") for x in pq.read_table(f.path, filesystem=files, partitioning=None, columns=["data"])["data"].to_pylist()]
+    for f in sorted(found, key=lambda f: f.path):
+        if f.base_name.startswith("part-"):
+            yield pq.read_table(f.path, filesystem=files, partitioning=None, columns=columns)
+
+
+def _side(folder: str, part: int) -> list[bytes]:
+    return [x for t in _side_tables(folder, part, ["data"]) for x in t["data"].to_pylist()]
+
+
+def _asked(folder: str) -> np.ndarray:
+    """Contexts and weights that this partition was asked for, by context."""
+    blobs = _side(folder, TaskContext.get().partitionId())
+    asked = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs], axis=1) if blobs else np.zeros((2, 0), np.uint64)
+    return asked[:, np.argsort(asked[0])]
 
 
 def _find(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +283,7 @@ def _contexts(unit: Unit, buckets: int, folder: str):
     """Second pass: the contexts this partition was asked for, each once, packed and compressed per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = _side(folder, TaskContext.get().partitionId())
-        asked = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs], axis=1) if blobs else np.zeros((2, 0), np.uint64)
-        asked = asked[:, np.argsort(asked[0])]
+        asked = _asked(folder)
         sent = np.zeros(asked.shape[1], dtype=bool)
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -300,6 +320,58 @@ def _contexts(unit: Unit, buckets: int, folder: str):
     return run
 
 
+def _window_keys(unit: Unit, values: np.ndarray, cuts: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, units before it, hash) of all windows that hold one of these anchors; the hash covers both."""
+    at = cuts[row] + place
+    most = np.minimum(unit.window - unit.piece, place)
+    least = np.maximum(0, unit.window - (cuts[row + 1] - at))
+    owner = np.repeat(np.arange(len(at)), most - least + 1)
+    start = _stretches(at - most, at - least + 1)
+    before = at[owner] - start
+    return owner, before, mix(Rolling(values).of(start, start + unit.window) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _windows(unit: Unit, folder: str):
+    """Pass for large groups: the windows of the contexts this partition was asked for, each context once.
+
+    ``weight`` counts places up to two; ``part`` is null unless a context that occurs once here waits for the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        asked = _asked(folder)
+        sent = np.zeros(asked.shape[1], dtype=bool)
+        for batch in batches:
+            if not len(sent):
+                continue
+            for _, _, raw, bounds in slices(batch.column("text"), SLICE):
+                values, cuts = unit.load(raw, bounds)
+                row, place, m, c = anchors(values, cuts, unit.window, unit.piece)
+                hit, slot = _find(asked[0], c & ~np.uint64(1))
+                _, first = np.unique(slot, return_index=True)
+                first = first[~sent[slot[first]]]
+                hit, slot = hit[first], slot[first]
+                sent[slot] = True
+                if not len(hit):
+                    continue
+                owner, _, key = _window_keys(unit, values, cuts, row[hit], place[hit])
+                piece, weight = m[hit][owner], asked[1][slot][owner].astype(np.int64)
+                order = np.lexsort((key, piece))
+                piece, key, weight = piece[order], key[order], weight[order]
+                new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (key[1:] != key[:-1])]))
+                waits = np.minimum.reduceat(weight, new) == 1
+                arrays = [pa.array(piece[new].view(np.int64)), pa.array(key[new].view(np.int64)), pa.array(np.minimum(np.add.reduceat(weight, new), 2)), pa.array(np.full(len(new), part, np.int32), mask=~waits)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["piece", "key", "weight", "part"])
+        if not sent.all():
+            raise RuntimeError("the table was split differently on a second reading")
+
+    return run
+
+
+def _joined(piece: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix(piece * np.uint64(0xD6E8FEB86659FD93) + key)
+
+
 #: An index takes (group, weight, left, size, content) of contexts sorted by group and returns, per context, how many
 #: units before and after the anchor are covered by repeated windows (0, 0: none).
 IndexFunction = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -339,7 +411,7 @@ def _indexed(index: IndexFunction, dtype: type, width: int):
 def by_groups(index: IndexFunction, limit: int) -> IndexFunction:
     """Run an index over runs of whole groups of about ``limit`` units, so that its memory is bounded.
 
-    A larger group is one run; what an index keeps for it is a small multiple of its contexts, which are in memory.
+    A larger group is one run; groups of more than LARGE contexts never come here.
     """
 
     def run(group: np.ndarray, weight: np.ndarray, left: np.ndarray, size: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,8 +432,8 @@ def by_groups(index: IndexFunction, limit: int) -> IndexFunction:
     return run
 
 
-def _cut(unit: Unit, known: str, found: str):
-    """Third pass: what is left of every text."""
+def _cut(unit: Unit, known: str, found: str, counted: str | None = None, repeated: str | None = None):
+    """Third pass: what is left of every text. The last two are the contexts of large groups and their repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -371,10 +443,17 @@ def _cut(unit: Unit, known: str, found: str):
         results = np.concatenate([np.stack([sure, np.full(len(sure), unit.window, np.uint64), np.full(len(sure), unit.window, np.uint64)]), *part_results], axis=1)
         results = results[:, np.argsort(results[0])]
         met = np.zeros(results.shape[1], dtype=bool)
+        single, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if counted and repeated:
+            asked = _asked(counted)
+            single = asked[0][asked[1] == 1]
+            tables = [[t[x].to_numpy().view(np.uint64) for x in ("piece", "key")] for t in _side_tables(repeated, part, ["piece", "key"])]
+            twice = np.sort(np.concatenate([twice, *(_joined(*t) for t in tables)]))
+        met_single = np.zeros(len(single), dtype=bool)
         for batch in batches:
             for first, end, raw, bounds in slices(batch.column("text"), SLICE):
                 values, cuts = unit.load(raw, bounds)
-                row, place, _, c = anchors(values, cuts, unit.window, unit.piece)
+                row, place, m, c = anchors(values, cuts, unit.window, unit.piece)
                 hit, slot = _find(results[0], c & ~np.uint64(1))
                 met[slot] = True
                 at = cuts[row[hit]] + place[hit]
@@ -384,6 +463,14 @@ def _cut(unit: Unit, known: str, found: str):
                 change = np.zeros(len(values) + 1, dtype=np.int64)
                 np.add.at(change, low, 1)
                 np.add.at(change, high, -1)
+                hit, slot = _find(single, c & ~np.uint64(1))
+                met_single[slot] = True
+                if len(hit) and len(twice):
+                    owner, before, key = _window_keys(unit, values, cuts, row[hit], place[hit])
+                    again, _ = _find(twice, _joined(m[hit][owner], key))
+                    start = (cuts[row[hit]] + place[hit])[owner[again]] - before[again]
+                    np.add.at(change, start, 1)
+                    np.add.at(change, start + unit.window, -1)
                 gone = np.cumsum(change)[:-1] > 0
                 border = np.ones(len(gone) + 1, dtype=bool)
                 border[1:-1] = False
@@ -394,16 +481,16 @@ def _cut(unit: Unit, known: str, found: str):
                 digests = [hashlib.sha256(unit.kept(i, gone[cuts[i] : cuts[i + 1]])).hexdigest() for i in range(end - first)]
                 columns = [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(cuts)), pa.array(removed), pa.array(spans), pa.array(digests)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"])
-        if not met.all():
+        if not (met.all() and met_single.all()):
             raise RuntimeError("the table was split differently on the third reading")
 
     return run
 
 
-def without_repeats(docs: DataFrame, unit: Unit, index: IndexFunction, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, unit: Unit, index: IndexFunction, key: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans (maximal removed runs), kept_sha256, one row per document.
 
-    ``docs`` is read three times, and no text is shuffled: small packed rows go from the scan's partitions to buckets of
+    ``docs`` is read three times, a fourth time where a group has more than ``large`` contexts, and no text is shuffled: small packed rows go from the scan's partitions to buckets of
     pieces and back, addressed by partition number. So ``docs`` must be a table on storage (or a plain projection of
     one); its splits are planned once for all readings, and a partition that misses what it was sent fails.
     """
@@ -413,11 +500,11 @@ def without_repeats(docs: DataFrame, unit: Unit, index: IndexFunction, key: str
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parts)
     width, dtype = unit.width, (np.uint8 if unit.width == 1 else np.uint64)
     entries = scan.select("text").mapInArrow(_pieces(unit, buckets), "bucket int, part int, data binary")
-    decided = materialize(entries.groupBy("bucket").applyInArrow(_decide, "bucket int, part int, kind int, data binary"), "decided")
+    decided = materialize(entries.groupBy("bucket").applyInArrow(lambda t: _decide(t, large), "bucket int, part int, kind int, data binary"), "decided")
 
-    def addressed(rows: DataFrame, label: str) -> str:
+    def addressed(rows: DataFrame, label: str, *columns: str) -> str:
         path = new_shared_path(spark, label)
-        rows.select("part", "data").repartition(max(1, parts), "part").write.partitionBy("part").parquet(path)
+        rows.select("part", *(columns or ["data"])).repartition(max(1, parts), "part").write.partitionBy("part").parquet(path)
         return path
 
     asked = addressed(decided.where("kind = 0"), "asked")
@@ -426,4 +513,10 @@ def without_repeats(docs: DataFrame, unit: Unit, index: IndexFunction, key: str
     waiting = decided.where("kind = 1").select("bucket", "part", "data")
     results = sent.groupBy("bucket").cogroup(waiting.groupBy("bucket")).applyInArrow(_indexed(index, dtype, width), "part int, data binary")
     found = addressed(results, "found")
-    return scan.mapInArrow(_cut(unit, known, found), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
+    counted = repeated = None
+    if not decided.where("kind = 3").isEmpty():
+        counted = addressed(decided.where("kind = 3"), "counted")
+        rows = scan.select("text").mapInArrow(_windows(unit, counted), "piece long, key long, weight long, part int")
+        times = rows.groupBy("piece", "key").agg(F.sum("weight").alias("times"), F.collect_set("part").alias("parts"))
+        repeated = addressed(times.where("times >= 2").select("piece", "key", F.explode("parts").alias("part")), "repeated", "piece", "key")
+    return scan.mapInArrow(_cut(unit, known, found, counted, repeated), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")

@@ -119,3 +119,25 @@ def test_a_partition_that_misses_what_it_was_sent_fails(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a few words"])], names=["doc_id", "text"])
     with pytest.raises(RuntimeError):
         list(repeats._cut(repeats.Words(35, 12), "known", "found")(iter([batch])))
+
+
+@pytest.mark.parametrize("kind,window,piece", [("words", 12, 4), ("words", 7, 7), ("bytes", 41, 16)])
+def test_large_groups_never_reach_one_index(spark, tmp_path, kind, window, piece):
+    """One passage in many surroundings: no index sees more of its contexts than ``large``."""
+    draw = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(window + 6))
+    texts = [f"a{i % 90} b{draw.integers(9)} {passage} c{draw.integers(4)} d{i % 70} e{draw.integers(999)}" for i in range(160)]
+    texts += ["", passage, texts[0], f"x {passage}", *(" ".join(f"u{draw.integers(50)}" for _ in range(40)) for _ in range(20))]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    unit, inner = (repeats.Words(window, piece), fmindex.statistics(window, piece)) if kind == "words" else (repeats.Bytes(window, piece), suffixes.refine(window))
+    large = 12
+
+    def bounded(group, weight, left, size, content):
+        assert np.bincount(group).max() <= large
+        return inner(group, weight, left, size, content)
+
+    got = repeats.without_repeats(spark.read.parquet(path), unit, repeats.by_groups(bounded, 1 << 20), large=large).collect()
+    units = [t.encode().split() if kind == "words" else t.encode() for t in texts]
+    want = Counter(removed(units, window, b" " if kind == "words" else None))
+    assert Counter((r["n_units"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
