@@ -8,7 +8,7 @@ handed to an index that reports, per context, the stretch covered by repeated wi
 anchor, so that stretch is one interval, and it is carried back to every place.
 
 A piece with more than LARGE distinct contexts is no task's own: the windows of its contexts become rows (piece, hash of
-the window and its place around the anchor), which Spark counts, and the partitions that hold such a context are told
+the window and its place around the anchor), which Spark counts, and the addresses that hold such a context are told
 which of its windows repeat.
 """
 
@@ -19,20 +19,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import zstandard
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skuflow.llm.address import addressed, by_part, read_side, write_side
 from skuflow.llm.textscan import BYTE_VALUE, Rolling, mix, slices, word_hashes, words
-from skuflow.llm.warc import open_folder
-from skuflow.session import fixed_splits, materialize, new_shared_path
+from skuflow.session import materialize
 
 SLICE = 1 << 21
 BLOCK = 1 << 21
 LARGE = 4096
+#: Stored bytes of the table per bucket of pieces: about as many bytes of anchors.
+PER_BUCKET = 24 << 20
 _PLACE = np.uint64((1 << 24) - 1)  # bits of a place in a block; the same for all blocks, so that equal windows agree
 
 
@@ -171,24 +170,24 @@ def _merge(m: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def _pieces(unit: Unit, buckets: int):
-    """First pass: distinct (piece, context) pairs of the task, packed per bucket of pieces; the last bit of a context
+    """First pass: distinct (piece, context) pairs of an address, packed per bucket of pieces; the last bit of a context
     hash says that it was met more than once here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         ms: list[np.ndarray] = []
         cs: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
+        held, at = 0, 0
+        for part, batch in by_part(batches):
+            if ms and (part != at or held > 4_000_000):
+                yield from _dealt(at, *_merge(ms, cs), buckets)
+                ms, cs, held = [], [], 0
+            at = part
             for _, _, raw, bounds in slices(batch.column("text"), SLICE):
                 _, _, m, c = anchors(*unit.load(raw, bounds), unit.window, unit.piece)
                 ms.append(m)
                 cs.append(c & ~np.uint64(1))
                 held += len(m)
-                if held > 4_000_000:
-                    yield from _dealt(part, *_merge(ms, cs), buckets)
-                    ms, cs, held = [], [], 0
-        yield from _dealt(part, *_merge(ms, cs), buckets)
+        yield from _dealt(at, *_merge(ms, cs), buckets)
 
     return run
 
@@ -201,11 +200,11 @@ def _dealt(part: int, m: np.ndarray, c: np.ndarray, twice: np.ndarray, buckets:
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     m, c = m[order], (c | twice.astype(np.uint64))[order]
     rows = [(b, _blob(m[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part", "data"])
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part", "data"])
 
 
 def _decide(table: pa.Table, large: int) -> pa.Table:
-    """Which contexts of a bucket can hold a repeated window, which partition is to send each, and who waits for it.
+    """Which contexts of a bucket can hold a repeated window, which address is to send each, and who waits for it.
 
     Kinds: 0 contexts to send (context, weight), 1 contexts whose result is awaited, 2 contexts that occur as a whole
     more than once and need no index (their result is known: all of it), as no other context has the piece or more than
@@ -223,6 +222,7 @@ def _decide(table: pa.Table, large: int) -> pa.Table:
     group = np.flatnonzero(np.concatenate([[True], m[new][1:] != m[new][:-1]]))
     total, distinct = np.add.reduceat(weight, group), np.diff(np.append(group, len(new)))
     size = np.diff(np.append(new, len(m)))
+    fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (c[1:] != c[:-1]) | (m[1:] != m[:-1])])
     keep = np.repeat(total >= 2, distinct)
     alone = np.repeat(distinct == 1, distinct)
     many = np.repeat(distinct > large, distinct)
@@ -242,30 +242,21 @@ def _decide(table: pa.Table, large: int) -> pa.Table:
     for kind, chosen in ((0, indexed), (3, many)):
         ask = new[chosen]
         send(kind, ask, c[ask], weight[chosen].astype(np.uint64))
-    wait = np.flatnonzero(np.repeat(indexed, size))
+    wait = np.flatnonzero(np.repeat(indexed, size) & fresh)
     send(1, wait, c[wait])
-    known = np.flatnonzero(np.repeat(keep & alone | many & (weight >= 2), size))
+    known = np.flatnonzero(np.repeat(keep & alone | many & (weight >= 2), size) & fresh)
     send(2, known, c[known])
     columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "kind", "data"])
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "kind", "data"])
 
 
-def _side_tables(folder: str, part: int, columns: list[str]) -> Iterator[pa.Table]:
-    """What an earlier step left for this partition of the scan, in the shared folder."""
-    files, root = open_folder(folder)
-    found = files.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
-    for f in sorted(found, key=lambda f: f.path):
-        if f.base_name.startswith("part-"):
-            yield pq.read_table(f.path, filesystem=files, partitioning=None, columns=columns)
+def _side(folder: str, part: int, folders: int) -> list[bytes]:
+    return [x for t in read_side(folder, part, folders, ["data"]) for x in t["data"].to_pylist()]
 
 
-def _side(folder: str, part: int) -> list[bytes]:
-    return [x for t in _side_tables(folder, part, ["data"]) for x in t["data"].to_pylist()]
-
-
-def _asked(folder: str) -> np.ndarray:
-    """Contexts and weights that this partition was asked for, by context."""
-    blobs = _side(folder, TaskContext.get().partitionId())
+def _asked(folder: str, part: int, folders: int) -> np.ndarray:
+    """Contexts and weights that an address was asked for, by context."""
+    blobs = _side(folder, part, folders)
     asked = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs], axis=1) if blobs else np.zeros((2, 0), np.uint64)
     return asked[:, np.argsort(asked[0])]
 
@@ -279,14 +270,16 @@ def _find(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, slot[hit]
 
 
-def _contexts(unit: Unit, buckets: int, folder: str):
-    """Second pass: the contexts this partition was asked for, each once, packed and compressed per bucket."""
+def _contexts(unit: Unit, buckets: int, folder: str, folders: int):
+    """Second pass: the contexts this address was asked for, each once a task, packed and compressed per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = _asked(folder)
-        sent = np.zeros(asked.shape[1], dtype=bool)
+        at_part, asked, sent = None, np.zeros((2, 0), np.uint64), np.zeros(0, dtype=bool)
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for part, batch in by_part(batches):
+            if part != at_part:
+                at_part, asked = part, _asked(folder, part, folders)
+                sent = np.zeros(asked.shape[1], dtype=bool)
             if not len(sent):
                 continue
             for _, _, raw, bounds in slices(batch.column("text"), SLICE):
@@ -314,8 +307,6 @@ def _contexts(unit: Unit, buckets: int, folder: str):
                     head = _blob(m[hit[own]], c[hit[own]] & ~np.uint64(1), asked[1][slot[own]], left[own].astype(np.uint64), (left + right)[own].astype(np.uint64))
                     rows.append((int(bucket[a]), int(b - a), squeeze.compress(head + unit.pack(low[own], high[own]).tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "n", "data"])
-        if not sent.all():
-            raise RuntimeError("the table was split differently on a second reading")
 
     return run
 
@@ -331,17 +322,19 @@ def _window_keys(unit: Unit, values: np.ndarray, cuts: np.ndarray, row: np.ndarr
     return owner, before, mix(Rolling(values).of(start, start + unit.window) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _windows(unit: Unit, folder: str):
-    """Pass for large groups: the windows of the contexts this partition was asked for, each context once.
+def _windows(unit: Unit, folder: str, folders: int):
+    """Pass for large groups: the windows of the contexts this address was asked for. A context that occurs once is met in
+    one task; one that occurs twice may be sent by two, and its windows repeat anyway.
 
     ``weight`` counts places up to two; ``part`` is null unless a context that occurs once here waits for the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        asked = _asked(folder)
-        sent = np.zeros(asked.shape[1], dtype=bool)
-        for batch in batches:
+        at_part, asked, sent = None, np.zeros((2, 0), np.uint64), np.zeros(0, dtype=bool)
+        for part, batch in by_part(batches):
+            if part != at_part:
+                at_part, asked = part, _asked(folder, part, folders)
+                sent = np.zeros(asked.shape[1], dtype=bool)
             if not len(sent):
                 continue
             for _, _, raw, bounds in slices(batch.column("text"), SLICE):
@@ -360,10 +353,8 @@ def _windows(unit: Unit, folder: str):
                 piece, key, weight = piece[order], key[order], weight[order]
                 new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (key[1:] != key[:-1])]))
                 waits = np.minimum.reduceat(weight, new) == 1
-                arrays = [pa.array(piece[new].view(np.int64)), pa.array(key[new].view(np.int64)), pa.array(np.minimum(np.add.reduceat(weight, new), 2)), pa.array(np.full(len(new), part, np.int32), mask=~waits)]
+                arrays = [pa.array(piece[new].view(np.int64)), pa.array(key[new].view(np.int64)), pa.array(np.minimum(np.add.reduceat(weight, new), 2)), pa.array(np.full(len(new), part, np.int64), mask=~waits)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["piece", "key", "weight", "part"])
-        if not sent.all():
-            raise RuntimeError("the table was split differently on a second reading")
 
     return run
 
@@ -377,7 +368,7 @@ def _joined(piece: np.ndarray, key: np.ndarray) -> np.ndarray:
 IndexFunction = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _indexed(index: IndexFunction, dtype: type, width: int):
+def _indexed(index: IndexFunction, dtype: type):
     def run(sent: pa.Table, waiting: pa.Table) -> pa.Table:
         rows: list[tuple[int, bytes]] = []
         if sent.num_rows:
@@ -391,6 +382,7 @@ def _indexed(index: IndexFunction, dtype: type, width: int):
             left, size, weight = left.astype(np.int64), size.astype(np.int64), weight.astype(np.int64)
             begin = np.cumsum(size) - size
             order = np.lexsort((c, m))
+            order = order[np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (m[order][1:] != m[order][:-1])])]
             content = content[_stretches(begin[order], begin[order] + size[order])]
             m, c, weight, left, size = m[order], c[order], weight[order], left[order], size[order]
             before, after = index(m, weight, left, size, content)
@@ -399,11 +391,13 @@ def _indexed(index: IndexFunction, dtype: type, width: int):
             for part, data in zip(waiting["part"].to_pylist(), waiting["data"].to_pylist(), strict=True):
                 own = np.frombuffer(data, np.uint64)
                 hit, slot = _find(keys, own)
+                if len(hit) < len(own):
+                    raise RuntimeError("the table changed between two readings")
                 good = by[slot]
                 found = (before[good] + after[good]) > 0
                 if found.any():
                     rows.append((part, _blob(own[hit[found]], before[good][found].astype(np.uint64), after[good][found].astype(np.uint64))))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
 
     return run
 
@@ -432,30 +426,28 @@ def by_groups(index: IndexFunction, limit: int) -> IndexFunction:
     return run
 
 
-def _cut(unit: Unit, known: str, found: str, counted: str | None = None, repeated: str | None = None):
+def _cut(unit: Unit, folders: int, known: str, found: str, counted: str | None = None, repeated: str | None = None):
     """Third pass: what is left of every text. The last two are the contexts of large groups and their repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        whole = _side(known, part)
-        part_results = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in _side(found, part)]
-        sure = np.concatenate([np.frombuffer(b, np.uint64) for b in whole]) if whole else np.zeros(0, np.uint64)
-        results = np.concatenate([np.stack([sure, np.full(len(sure), unit.window, np.uint64), np.full(len(sure), unit.window, np.uint64)]), *part_results], axis=1)
-        results = results[:, np.argsort(results[0])]
-        met = np.zeros(results.shape[1], dtype=bool)
+        at_part, results = None, np.zeros((3, 0), np.uint64)
         single, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        if counted and repeated:
-            asked = _asked(counted)
-            single = asked[0][asked[1] == 1]
-            tables = [[t[x].to_numpy().view(np.uint64) for x in ("piece", "key")] for t in _side_tables(repeated, part, ["piece", "key"])]
-            twice = np.sort(np.concatenate([twice, *(_joined(*t) for t in tables)]))
-        met_single = np.zeros(len(single), dtype=bool)
-        for batch in batches:
+        for part, batch in by_part(batches):
+            if part != at_part:
+                at_part = part
+                sure = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in _side(known, part, folders))])
+                reach = np.full(len(sure), unit.window, np.uint64)
+                results = np.concatenate([np.stack([sure, reach, reach]), *(np.frombuffer(b, np.uint64).reshape(3, -1) for b in _side(found, part, folders))], axis=1)
+                results = results[:, np.argsort(results[0])]
+                if counted and repeated:
+                    asked = _asked(counted, part, folders)
+                    single = asked[0][asked[1] == 1]
+                    tables = [[t[x].to_numpy().view(np.uint64) for x in ("piece", "key")] for t in read_side(repeated, part, folders, ["piece", "key"])]
+                    twice = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_joined(*t) for t in tables)]))
             for first, end, raw, bounds in slices(batch.column("text"), SLICE):
                 values, cuts = unit.load(raw, bounds)
                 row, place, m, c = anchors(values, cuts, unit.window, unit.piece)
                 hit, slot = _find(results[0], c & ~np.uint64(1))
-                met[slot] = True
                 at = cuts[row[hit]] + place[hit]
                 # a context known as a whole is cut at the ends of its text
                 low = np.maximum(at - np.minimum(results[1][slot].astype(np.int64), unit.window - unit.piece), cuts[row[hit]])
@@ -464,7 +456,6 @@ def _cut(unit: Unit, known: str, found: str, counted: str | None = None, repeate
                 np.add.at(change, low, 1)
                 np.add.at(change, high, -1)
                 hit, slot = _find(single, c & ~np.uint64(1))
-                met_single[slot] = True
                 if len(hit) and len(twice):
                     owner, before, key = _window_keys(unit, values, cuts, row[hit], place[hit])
                     again, _ = _find(twice, _joined(m[hit][owner], key))
@@ -481,8 +472,6 @@ def _cut(unit: Unit, known: str, found: str, counted: str | None = None, repeate
                 digests = [hashlib.sha256(unit.kept(i, gone[cuts[i] : cuts[i + 1]])).hexdigest() for i in range(end - first)]
                 columns = [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(cuts)), pa.array(removed), pa.array(spans), pa.array(digests)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"])
-        if not (met.all() and met_single.all()):
-            raise RuntimeError("the table was split differently on the third reading")
 
     return run
 
@@ -490,33 +479,30 @@ def _cut(unit: Unit, known: str, found: str, counted: str | None = None, repeate
 def without_repeats(docs: DataFrame, unit: Unit, index: IndexFunction, key: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans (maximal removed runs), kept_sha256, one row per document.
 
-    ``docs`` is read three times, a fourth time where a group has more than ``large`` contexts, and no text is shuffled: small packed rows go from the scan's partitions to buckets of
-    pieces and back, addressed by partition number. So ``docs`` must be a table on storage (or a plain projection of
-    one); its splits are planned once for all readings, and a partition that misses what it was sent fails.
+    ``docs`` is read three times, a fourth time where a group has more than ``large`` contexts, and no text is shuffled:
+    small packed rows go from addresses of the table to buckets of pieces and back (see ``address``), so the readings
+    may be split differently. An index that misses a context it was promised fails.
     """
     spark = docs.sparkSession
-    scan = fixed_splits(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    parts = scan.rdd.getNumPartitions()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parts)
-    width, dtype = unit.width, (np.uint8 if unit.width == 1 else np.uint64)
-    entries = scan.select("text").mapInArrow(_pieces(unit, buckets), "bucket int, part int, data binary")
-    decided = materialize(entries.groupBy("bucket").applyInArrow(lambda t: _decide(t, large), "bucket int, part int, kind int, data binary"), "decided")
-
-    def addressed(rows: DataFrame, label: str, *columns: str) -> str:
-        path = new_shared_path(spark, label)
-        rows.select("part", *(columns or ["data"])).repartition(max(1, parts), "part").write.partitionBy("part").parquet(path)
-        return path
-
-    asked = addressed(decided.where("kind = 0"), "asked")
-    known = addressed(decided.where("kind = 2"), "known")
-    sent = scan.select("text").mapInArrow(_contexts(unit, buckets, asked), "bucket int, n int, data binary")
+    scan = addressed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    texts = scan.rows.select("text", "part")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), scan.stored_bytes // PER_BUCKET)
+    folders, dtype = scan.folders, (np.uint8 if unit.width == 1 else np.uint64)
+    entries = texts.mapInArrow(_pieces(unit, buckets), "bucket int, part long, data binary")
+    decided = materialize(entries.groupBy("bucket").applyInArrow(lambda t: _decide(t, large), "bucket int, part long, kind int, data binary"), "decided")
+
+    def side(kind: int, label: str) -> str:
+        return write_side(decided.where(F.col("kind") == kind).select("part", "data"), scan, label)
+
+    asked, known = side(0, "asked"), side(2, "known")
+    sent = texts.mapInArrow(_contexts(unit, buckets, asked, folders), "bucket int, n int, data binary")
     waiting = decided.where("kind = 1").select("bucket", "part", "data")
-    results = sent.groupBy("bucket").cogroup(waiting.groupBy("bucket")).applyInArrow(_indexed(index, dtype, width), "part int, data binary")
-    found = addressed(results, "found")
+    results = sent.groupBy("bucket").cogroup(waiting.groupBy("bucket")).applyInArrow(_indexed(index, dtype), "part long, data binary")
+    found = write_side(results, scan, "found")
     counted = repeated = None
     if not decided.where("kind = 3").isEmpty():
-        counted = addressed(decided.where("kind = 3"), "counted")
-        rows = scan.select("text").mapInArrow(_windows(unit, counted), "piece long, key long, weight long, part int")
+        counted = side(3, "counted")
+        rows = texts.mapInArrow(_windows(unit, counted, folders), "piece long, key long, weight long, part long")
         times = rows.groupBy("piece", "key").agg(F.sum("weight").alias("times"), F.collect_set("part").alias("parts"))
-        repeated = addressed(times.where("times >= 2").select("piece", "key", F.explode("parts").alias("part")), "repeated", "piece", "key")
-    return scan.mapInArrow(_cut(unit, known, found, counted, repeated), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
+        repeated = write_side(times.where("times >= 2").select("piece", "key", F.explode("parts").alias("part")), scan, "repeated")
+    return scan.rows.select("doc_id", "text", "part").mapInArrow(_cut(unit, folders, known, found, counted, repeated), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")

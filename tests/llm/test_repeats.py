@@ -110,15 +110,23 @@ def test_splits_that_change_between_readings(spark, tmp_path, messy, other_split
     assert got == Counter(removed(units, 12, b" "))
 
 
-def test_a_partition_that_misses_what_it_was_sent_fails(monkeypatch):
+def test_an_index_that_misses_what_it_was_promised_fails():
     import pyarrow as pa
 
-    sent = {"known": [np.array([2, 4], np.uint64).tobytes()]}
-    monkeypatch.setattr(repeats, "_side", lambda folder, part: sent.get(folder, []))
-    monkeypatch.setattr(repeats, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a few words"])], names=["doc_id", "text"])
+    waiting = pa.table([pa.array([7]), pa.array([np.array([2, 4], np.uint64).tobytes()])], names=["part", "data"])
+    head = np.array([[9], [2], [1], [0], [3]], np.uint64).tobytes() + b"abc"
+    import zstandard
+
+    sent = pa.table([pa.array([1]), pa.array([zstandard.ZstdCompressor().compress(head)])], names=["n", "data"])
     with pytest.raises(RuntimeError):
-        list(repeats._cut(repeats.Words(35, 12), "known", "found")(iter([batch])))
+        repeats._indexed(lambda g, w, left, size, content: (left * 0, left * 0), np.uint8)(sent, waiting)
+
+
+def test_a_table_that_is_no_scan_is_written_first(spark, messy):
+    docs = messy.where("length(text) < 500").unionByName(messy.where("length(text) < 500"))
+    units = [(r["text"] or "").encode().split() for r in docs.select("text").collect()]
+    got = Counter((r["n_units"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in fmindex.remove_repeats(docs, 12, 4).collect())
+    assert got == Counter(removed(units, 12, b" "))
 
 
 @pytest.mark.parametrize("kind,window,piece", [("words", 12, 4), ("words", 7, 7), ("bytes", 41, 16)])
