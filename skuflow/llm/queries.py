@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import decontaminate, fmindex, language, mixing, oracle, sharding, simhash, suffixes, topk, toxicity, warc
+from skuflow.llm import decontaminate, fmindex, language, mixing, oracle, runs, sharding, simhash, suffixes, topk, toxicity, trielm, warc, whitening
 from skuflow.session import new_shared_path
 
 SHARDS = 8
@@ -83,5 +83,43 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_language, op4_simhash, op5_sharding, op6_substrings, op7_topk, op8_toxicity, op9_mixing, op10_suffixes)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector."""
+    rows = whitening.Whitening(table(spark, sf_dir, "embeddings")).rows()
+    return rows.withColumnRenamed("key", "vec_id")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by crc32 of its key, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("_w")
+    chosen = docs.withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    placed = chosen.withColumn("_a", F.when(n > 0, (g % n).cast("int"))).withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int"))
+    stretch = F.slice("_w", F.col("_a") + 1, F.col("_p"))
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    changed = F.slice(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.flatten(F.array_repeat(stretch, times))), F.lit(1), n)
+    return placed.withColumn("text", F.when(n > 0, F.array_join(changed, " ")).otherwise(F.col("text"))).drop("_w", "_a", "_p")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of 12 words and more in every document, and digests of the texts without them."""
+    found = runs.collapse_runs(looped(table(spark, sf_dir, "documents").select("doc_id", "text")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        F.col("key").cast("long").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned from six sevenths of them."""
+    model = trielm.train(table(spark, sf_dir, "documents"), fold(7) != 2)
+    rows = model.scores().withColumnRenamed("key", "doc_id")
+    return rows.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.lexicon.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_language, op4_simhash, op5_sharding, op6_substrings, op7_topk, op8_toxicity, op9_mixing, op10_suffixes, op11_whitening, op12_runs, op13_scores)}
 ORACLE = dict(oracle.SQL)
