@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.llm.address import Scan, addressed, by_part, read_side, write_side
+from skuflow.llm.address import GROUP, Scan, addressed, by_part, read_side, write_side
 from skuflow.llm.eliasfano import EliasFano
 from skuflow.llm.textscan import LOWER, mix, slices, word_hashes, words
 from skuflow.session import materialize
@@ -44,12 +44,13 @@ from skuflow.session import materialize
 STRENGTH = 500.0
 STEPS = 512
 #: Occurrences of a context per shard it is spread over, and tokens per shard.
-HOT, PER_SHARD = 1 << 20, 1 << 22
+HOT, PER_SHARD = 1 << 19, 1 << 21
 FREQUENT = 1 << 14
 #: Stored bytes of the table per bucket of words.
 PER_BUCKET = 16 << 20
 SLICE = 1 << 21
-_HELD = 2_000_000
+#: Tokens after which a task merges what it holds, and distinct entries after which it sends them on.
+_HELD, _MOST = 1_000_000, 2_000_000
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFEBB9087)
 
 
@@ -89,6 +90,27 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts[by], first)
 
 
+class _Held:
+    """Counts by key, merged now and then so that memory follows the distinct keys."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.new = self.merged = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.new += len(keys)
+        if self.new > _HELD:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = _counted(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts, self.new, self.merged = [keys], [counts], 0, len(keys)
+        return keys, counts
+
+
 def _tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each row with an end after each, and the row of each token."""
     raw = LOWER[raw]
@@ -104,10 +126,10 @@ def _tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _words(buckets: int):
     """Distinct words of an address with their number of occurrences in teaching rows, per bucket of words."""
 
-    def dealt(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not held:
+    def dealt(part: int, held: _Held) -> Iterator[pa.RecordBatch]:
+        if not held.keys:
             return
-        h, c = _counted(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        h, c = held.merge()
         bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         h, c = h[by], c[by]
@@ -117,19 +139,19 @@ def _words(buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part] * len(some), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at, n = 0, 0
+        held, at = _Held(), 0
         for part, batch in by_part(batches):
-            if held and (part != at or n > _HELD):
+            if part != at:
                 yield from dealt(at, held)
-                held, n = [], 0
+                held = _Held()
             at = part
             teaches = batch.column("teaches").to_numpy(zero_copy_only=False).astype(np.int64)
             for first, end, raw, bounds in slices(batch.column("text"), SLICE):
                 h, row = _tokens(raw, bounds)
-                h, c = _counted(np.append(h, np.full(end - first, _BEGIN)), np.append(teaches[first:end][row], teaches[first:end]))
-                held.append((h, c))
-                n += len(h)
+                held.add(*_counted(np.append(h, np.full(end - first, _BEGIN)), np.append(teaches[first:end][row], teaches[first:end])))
+                if held.merged > _MOST:
+                    yield from dealt(at, held)
+                    held = _Held()
         yield from dealt(at, held)
 
     return run
@@ -175,12 +197,12 @@ class _Local:
 
     def __init__(self, lexicon: Lexicon, part: int):
         answers = [unpack(x) for t in read_side(lexicon.folder, part, lexicon.scan.folders, ["data"]) for x in t["data"].to_pylist()]
-        h, number, count = (np.concatenate([a[k] for a in answers]) for k in range(3))
-        by = np.argsort(h.view(np.uint64))
-        self.hashes, number, count = h.view(np.uint64)[by], number[by], count[by]
+        self.hashes, first = np.unique(np.concatenate([a[0] for a in answers]).view(np.uint64), return_index=True)
+        number, count = (np.concatenate([a[k] for a in answers])[first] for k in (1, 2))
+        del answers
         self.names, first, inverse = np.unique(np.append(0, number), return_index=True, return_inverse=True)
         self.counts = np.append(0, count)[first]
-        self.index = inverse[1:]
+        self.index = inverse[1:].astype(np.int32)
         self.begin = int(self.find(np.array([_BEGIN]))[0])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -188,7 +210,7 @@ class _Local:
         slot = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
         if (self.hashes[slot] != distinct).any():
             raise RuntimeError("the table changed between two readings")
-        return self.index[slot][inverse]
+        return self.index[slot][inverse].astype(np.int64)
 
     def pairs(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context, word, row) of all tokens, as indices of ``names``."""
@@ -219,8 +241,8 @@ def _dictionary(local: _Local, context: np.ndarray, word: np.ndarray) -> tuple[l
 def _pairs(lexicon: Lexicon, shards: int):
     """Distinct pairs of the teaching rows of an address with their counts, per shard."""
 
-    def dealt(local: _Local, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, count = _counted(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+    def dealt(local: _Local, held: _Held) -> Iterator[pa.RecordBatch]:
+        key, count = held.merge()
         context, word = np.divmod(key, len(local.names))
         shard = local.shard(context, word, shards)
         by = np.argsort(shard, kind="stable")
@@ -234,20 +256,21 @@ def _pairs(lexicon: Lexicon, shards: int):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at, n, local = None, 0, None
+        held, at, local = _Held(), None, None
         for part, batch in by_part(batches):
-            if held and (part != at or n > _HELD):
+            if held.keys and part != at:
                 yield from dealt(local, held)
-                held, n = [], 0
+                held = _Held()
             if part != at:
                 at, local = part, _Local(lexicon, part)
             taught = batch.filter(batch.column("teaches"))
             for _, _, raw, bounds in slices(taught.column("text"), SLICE):
                 context, word, _ = local.pairs(raw, bounds)
-                held.append(_counted(context * len(local.names) + word, np.ones(len(word), np.int64)))
-                n += len(held[-1][0])
-        if held:
+                held.add(*_counted(context * len(local.names) + word, np.ones(len(word), np.int64)))
+                if held.merged > _MOST:
+                    yield from dealt(local, held)
+                    held = _Held()
+        if held.keys:
             yield from dealt(local, held)
 
     return run
@@ -303,8 +326,9 @@ def _build(lexicon: Lexicon, strength: float, frequent: int):
             pairs.append((own[np.cumsum(c)], own[w], n))
         names, first = np.unique(np.concatenate(names), return_index=True)
         total = np.concatenate(total)[first]
-        context, word = (np.searchsorted(names, np.concatenate([p[k] for p in pairs])) for k in (0, 1))
-        key, n = _counted(context * len(names) + word, np.concatenate([p[2] for p in pairs]))
+        keys = [np.searchsorted(names, c) * len(names) + np.searchsorted(names, w) for c, w, _ in pairs]
+        key, n = _counted(np.concatenate(keys), np.concatenate([p[2] for p in pairs]))
+        del pairs, keys
         context, word = np.divmod(key, len(names))
         p = (n + strength * lexicon.unigram(total[word])) / (total[context] + strength)
         steps = _steps(p)
@@ -346,11 +370,16 @@ def _queries(lexicon: Lexicon, shards: int, strength: float, often: tuple[np.nda
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         at, n, local = None, 0, None
-        for part, batch in by_part(batches):
-            if held and (part != at or n > _HELD):
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            if held:
                 yield sent(list(asked(local, at, *(np.concatenate([h[k] for h in held]) for k in (0, 1)))))
-                held, n = [], 0
+            held, n = [], 0
+
+        for part, batch in by_part(batches):
             if part != at:
+                yield from flushed()
                 at, local = part, _Local(lexicon, part)
                 unigram = _steps(lexicon.unigram(local.counts))
                 backoff = _steps(strength / (local.counts + strength))
@@ -380,40 +409,50 @@ def _queries(lexicon: Lexicon, shards: int, strength: float, often: tuple[np.nda
                 if open_.any():
                     held.append((pair[open_], numbers[first:end].astype(np.int64)[row[open_]]))
                     n += len(held[-1][0])
-        if held:
-            yield sent(list(asked(local, at, *(np.concatenate([h[k] for h in held]) for k in (0, 1)))))
+                if n > _HELD:
+                    yield from flushed()
+        yield from flushed()
 
     return run
 
 
-_SCORED = "part long, row int, steps long, key long, n_tokens long, n_known long, base_score double"
-
-
 def _answer(lexicon: Lexicon, strength: float):
+    """Sums of steps per row of each blob of queries; what was settled at the text passes through (kind 0)."""
+
     def run(queries: pa.Table, model: pa.Table) -> pa.Table:
         trie = Trie(model["trie"][0].as_buffer()) if model.num_rows else None
-        out: list[pa.Table] = []
-        names = [c.split(" ")[0] for c in _SCORED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        out: list[tuple[int, int, bytes]] = []
         for shard, part, data in zip(*(queries[c].to_pylist() for c in ("shard", "part", "data")), strict=True):
             if shard < 0:
-                row, sums, tokens, taught, base, ids, valid = unpack(data)
-                columns = [np.full(len(row), part), row, sums, pa.array(ids, mask=valid == 0), tokens, taught, base.view(np.float64)]
-            else:
-                gap, count, c, w, size, rows, times = unpack(data)
-                own, c = np.cumsum(gap), np.cumsum(c)
-                found, steps = trie.find(own[c], own[w]) if trie else (np.zeros(len(c), bool), np.zeros(len(c), np.int64))
-                apart = _steps(strength / (count[c] + strength)) + _steps(lexicon.unigram(count[w]))
-                steps = np.where(found, steps, apart)
-                sums = np.bincount(rows, weights=np.repeat(steps, size) * times)
-                row = np.unique(rows)
-                columns = [np.full(len(row), part), row, sums[row].astype(np.int64), *(pa.nulls(len(row), k) for k in kinds[3:])]
-            out.append(pa.table([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names=names)
+                out.append((part, 0, data))
+                continue
+            gap, count, c, w, size, rows, times = unpack(data)
+            own, c = np.cumsum(gap), np.cumsum(c)
+            found, steps = trie.find(own[c], own[w]) if trie else (np.zeros(len(c), bool), np.zeros(len(c), np.int64))
+            apart = _steps(strength / (count[c] + strength)) + _steps(lexicon.unigram(count[w]))
+            sums = np.bincount(rows, weights=np.repeat(np.where(found, steps, apart), size) * times).astype(np.int64)
+            row = np.flatnonzero(sums)
+            out.append((part, 1, pack(np.diff(row, prepend=0), sums[row])))
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["part", "kind", "data"])
 
     return run
 
 
+def _merge(table: pa.Table) -> pa.Table:
+    """Rows of one address from all that was found out about them."""
+    total = np.zeros(GROUP, dtype=np.int64)
+    settled = []
+    for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
+        arrays = unpack(data)
+        row, sums = (np.cumsum(arrays[0]), arrays[1]) if kind else (arrays[0], arrays[1])
+        total[row] += sums
+        if not kind:
+            settled.append(arrays)
+    row, _, tokens, taught, base, ids, valid = (np.concatenate([x[k] for x in settled]) for k in range(7))
+    columns = [pa.array(ids, mask=valid == 0), pa.array(tokens), pa.array(taught), pa.array(base.view(np.float64)), pa.array(total[row] / -float(STEPS))]
+    return pa.table(columns, names=["key", "n_tokens", "n_known", "base_score", "score"])
+
+
 @dataclass(frozen=True)
 class Model:
     """A trained model with the table it was trained on: ``tries`` has one row (shard, trie, often) per shard."""
@@ -429,9 +468,8 @@ class Model:
         often = tuple(np.concatenate([np.zeros(0, np.int64), *(b[k] for b in blobs)]) for k in range(3))
         rows = self.lexicon.scan.rows.select("key", "text", "part", "row")
         sent = rows.mapInArrow(_queries(self.lexicon_for_tasks, self.shards, self.strength, often), "shard int, part long, data binary")
-        answers = sent.groupBy("shard").cogroup(self.tries.select("shard", "trie").groupBy("shard")).applyInArrow(_answer(self.lexicon_for_tasks, self.strength), _SCORED)
-        per_row = answers.groupBy("part", "row").agg(F.sum("steps").alias("steps"), *(F.max(c).alias(c) for c in ("key", "n_tokens", "n_known", "base_score")))
-        return per_row.select("key", "n_tokens", "n_known", "base_score", (F.col("steps") / F.lit(-float(STEPS))).alias("score"))
+        answers = sent.groupBy("shard").cogroup(self.tries.select("shard", "trie").groupBy("shard")).applyInArrow(_answer(self.lexicon_for_tasks, self.strength), "part long, kind int, data binary")
+        return answers.groupBy("part").applyInArrow(_merge, "key long, n_tokens long, n_known long, base_score double, score double")
 
     @property
     def lexicon_for_tasks(self) -> Lexicon:
