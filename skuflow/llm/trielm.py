@@ -48,9 +48,9 @@ HOT, PER_SHARD = 1 << 19, 1 << 21
 FREQUENT = 1 << 14
 #: Stored bytes of the table per bucket of words.
 PER_BUCKET = 16 << 20
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Tokens after which a task merges what it holds, and distinct entries after which it sends them on.
-_HELD, _MOST = 1_000_000, 2_000_000
+_HELD, _MOST = 500_000, 800_000
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFEBB9087)
 
 
