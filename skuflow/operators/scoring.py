@@ -55,7 +55,7 @@ def approximate_features(rows: DataFrame, names: list[str]) -> DataFrame:
     level, average = F.coalesce("mean_yhat", F.lit(0.0)), F.coalesce("avg_demand", F.lit(0.0))
     freq = F.coalesce("demand_freq", F.lit(0.0))
     known: dict[str, Column] = dict(calendar_columns("day"))
-    known |= {h: F.col(h) for h in HOLIDAY_FEATURES if h in rows.columns}
+    known |= {h: F.coalesce(F.col(h), F.lit(0.0)) for h in HOLIDAY_FEATURES if h in rows.columns}  # null outside the known years
     known |= {
         "day_idx": F.lit(APPROX_DAY_IDX),
         "day_idx_sq": F.lit(APPROX_DAY_IDX**2 / 1e6),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skuflow.functions import labels as L
 from skuflow.functions.clean import rounded, whole_number_or
+from skuflow.operators import auction as A
 from skuflow.operators import demand as D
 from skuflow.operators import ledger as K
 from skuflow.operators import outcomes as O
@@ -130,6 +131,13 @@ def slot_assignment(spark, sf):
     return plan.select("event_id", "day", "site", "target_type", "slot_id", F.when(F.col("slot_id").isNotNull(), F.col("slot_type")).alias("slot_type"))
 
 
+def slot_auction(spark, sf):
+    """Arrivals of a day against the free slots of their site: type, segment and weight decide together."""
+    events = O.with_product_class(_events(spark, sf).where("direction = 'in'"), _product_class(spark, sf))
+    plan = A.assign_by_auction(W.target_type(events), S.slots(spark, sf))
+    return plan.select("event_id", "day", "site", "target_type", "segment", "heavy", "slot_id", "slot_type", "score")
+
+
 def _booked(spark, sf) -> DataFrame:
     events = O.with_product_class(S.flow_events(spark, sf), _product_class(spark, sf))
     return O.slot_events(events, S.slots(spark, sf))
@@ -246,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flow_canonical, flow_counts, coerced_events, slot_counts, stock_ledger, fifo_match, current_stock, site_load,
-        occupancy, free_slots, slot_scores_topk, slot_labels, slot_assignment, event_outcomes, instructions,
+        occupancy, free_slots, slot_scores_topk, slot_labels, slot_assignment, slot_auction, event_outcomes, instructions,
         instruction_summary, congestion_log, daily_congestion, daily_occupancy, carried_outcomes, location_fallback, chariot_split,
         pick_tours, chariot_totals, tour_totals, zone_congestion, nested_tours, chariot_trips,
     )
