@@ -20,8 +20,9 @@ from skuflow.operators import outcomes as O
 from skuflow.operators import picking as P
 from skuflow.operators import slots as W
 from skuflow.plans.demand_queries import by_part
-from skuflow.session import materialize
+from skuflow.session import materialize, new_shared_path
 from skuflow.sources import tables as S
+from skuflow.streaming import warehouse as live_warehouse
 
 
 def _events(spark, sf) -> DataFrame:
@@ -177,10 +178,17 @@ def daily_occupancy(spark, sf):
 
 
 def carried_outcomes(spark, sf):
-    """Every event of the history when each day starts from the slots the day before left."""
-    events = O.with_product_class(S.flow_events(spark, sf), _product_class(spark, sf))
-    booked, _ = O.carried_events(materialize(events, "events"), S.slots(spark, sf))
-    return booked.select("event_id", "day", "sku", "site", "direction", "slot_id", F.col("slot_id").isNotNull().alias("success"))
+    """Every event of the history when each day starts from the slots the day before left, by a keyed state per site."""
+    folder = new_shared_path(spark, "flow")
+    events = S.flow_events(spark, sf)
+    events.write.parquet(folder)
+    last = events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        live_warehouse.closing_rows(events, last, folder)
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    typed = W.target_type(O.with_product_class(stream, _product_class(spark, sf)))
+    rows, _ = live_warehouse.run_to_table(live_warehouse.carried(typed, S.slots(spark, sf)))
+    return rows.select("event_id", "day", "sku", "site", "direction", "slot_id", "success")
 
 
 # ------------------------------------------------------------------- picking
