@@ -226,3 +226,4 @@ SELECT o.event_id, o.site, o.sku, o.direction, o.ok, i.event_id AS in_event
 FROM led o LEFT JOIN led i ON o.direction = 'out' AND o.ok AND i.direction = 'in' AND i.site = o.site AND i.sku = o.sku
                               AND i.fifo_no = o.fifo_no
 WHERE o.direction <> 'unknown'"""
+SQL["stream_ledger_keyed"] = SQL["stream_ledger"]

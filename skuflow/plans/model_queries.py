@@ -24,6 +24,7 @@ from skuflow.plans.warehouse_queries import _stock_plan
 from skuflow.session import materialize, new_shared_path
 from skuflow.sources import files
 from skuflow.sources import tables as S
+from skuflow.streaming import keyed_ledger
 from skuflow.streaming import ledger as live_ledger
 from skuflow.streaming import movements
 
@@ -211,10 +212,13 @@ def _line_deliveries(spark, sf) -> DataFrame:
     return D.deliveries(headers, S.line_transaction_lines(spark, sf))
 
 
+#: Fewer and smaller trees than the defaults, and a bound on the labelled rows each model learns from.
+MODEL = {"rounds": 20, "classifier_depth": 5, "regressor_depth": 5, "max_rows": 12_000}
+
+
 def _trained(spark, sf) -> training.Trained:
     deliveries = _line_deliveries(spark, sf)
-    # fewer and smaller trees than the defaults: this query shows the pipeline, not the best model
-    return training.train(S.line_history(spark, sf), deliveries, rounds=3, classifier_depth=3, regressor_depth=3, products=S.line_products(spark, sf))
+    return training.train(S.line_history(spark, sf), deliveries, products=S.line_products(spark, sf), **MODEL)
 
 
 def product_features(spark, sf):
@@ -236,9 +240,7 @@ def model_forecast(spark, sf):
     Each model learns from at most 12,000 rows, with up to 20 trees of depth 5 and early stop.
     """
     deliveries, products = _line_deliveries(spark, sf), S.line_products(spark, sf)
-    trained = training.train(
-        S.line_history(spark, sf), deliveries, rounds=20, classifier_depth=5, regressor_depth=5, products=products, max_rows=12_000
-    )
+    trained = training.train(S.line_history(spark, sf), deliveries, products=products, **MODEL)
     d = by_line(spark, sf).shared()
     static = training.sku_dimension(d.daily, deliveries, d.days(), d.start, products)
     profile = _profile(d).drop("segment", "cal_factor", "trend_slope")
@@ -249,10 +251,11 @@ def model_forecast(spark, sf):
 
 
 def feature_importance(spark, sf):
-    """Top features of a quantity model learnt from all demand rows before the hold-out."""
+    """Top features of a quantity model learnt from at most 12,000 demand rows."""
     grid, features = training.feature_grid(S.line_history(spark, sf), _line_deliveries(spark, sf), products=S.line_products(spark, sf))
     rows = materialize(G.trim_warm_up(grid).where("has_demand = 1"), "demand-rows")
-    model = M.fit_regressor(rows, features, rounds=3, depth=4)
+    learned = training.sample_rows(rows, 2 * MODEL["max_rows"])  # half of it are demand rows, and there are no others
+    model = M.fit_regressor(learned, features, rounds=MODEL["rounds"], depth=MODEL["regressor_depth"])
     return M.importance(model, features, spark)
 
 
@@ -284,11 +287,19 @@ def stream_ledger(spark, sf):
     return live_ledger.run_to_table(live_ledger.ledger(live_ledger.with_sites(movements.event_stream(spark, sf))))
 
 
+def stream_ledger_keyed(spark, sf):
+    """The same outcomes from a keyed state per site and product, whose timers put late events in their place."""
+    events, end = keyed_ledger.with_end(live_ledger.ledger(live_ledger.with_sites(movements.event_stream(spark, sf))))
+    last = S.flow_events(spark, sf).agg(F.max("ts")).first()[0]
+    rows, _ = keyed_ledger.run_to_table(keyed_ledger.ledger(events), (lambda: end(last)) if last else None)
+    return rows
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tune_threshold, tune_expected_value, tune_daily, tuned_mode, batch_forecast, forecast_summary, forecast_sample,
         forecast_file, forecast_explained, approximate_features, preparation_order, preparation_tour, product_features, train_and_score, model_forecast,
-        feature_importance, event_file, stream_congestion, stream_ledger,
+        feature_importance, event_file, stream_congestion, stream_ledger, stream_ledger_keyed,
     )
 }

@@ -177,7 +177,7 @@ def train(
     known, test = G.train_test(grid, last, test_days)
     fit_part, valid = G.train_test(known, F.date_sub(last, test_days), valid_days)
 
-    learn_from, stop_by = (fit_part, valid) if max_rows is None else (_sample(fit_part, max_rows), _sample(valid, max_rows))
+    learn_from, stop_by = (fit_part, valid) if max_rows is None else (sample_rows(fit_part, max_rows), sample_rows(valid, max_rows))
     weighted = M.class_weight(learn_from.withColumn("is_valid", F.lit(False))).unionByName(
         stop_by.withColumns({"is_valid": F.lit(True), "weight": F.lit(1.0)})
     )
@@ -198,7 +198,7 @@ def train(
     return Trained(classifier, regressor, features, params, scored)
 
 
-def _sample(rows: DataFrame, n: int) -> DataFrame:
+def sample_rows(rows: DataFrame, n: int) -> DataFrame:
     """About ``n`` rows, half of them with demand where there are so many; chosen by a hash of the keys."""
     place = F.pmod(F.xxhash64("sku", "day"), F.lit(1 << 30)) / float(1 << 30)
     counts = {r["has_demand"]: r["count"] for r in rows.groupBy("has_demand").count().collect()}

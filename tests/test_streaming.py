@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from skuflow.functions import labels as L
 from skuflow.operators import ledger as K
 from skuflow.sources import tables as S
+from skuflow.streaming import keyed_ledger, movements
 from skuflow.streaming import ledger as live
-from skuflow.streaming import movements
 
 
 def test_live_ledger_equals_batch(spark, sf):
@@ -61,3 +61,43 @@ def test_ledger_serves_a_late_arrival_after_what_was_stored(spark, tmp_path):
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(folder)
     got = {r.event_id: (r.ok, r.in_event) for r in live.run_to_table(live.ledger(live.with_sites(raw))).collect()}
     assert got == {1: (True, None), 2: (True, None), 3: (False, None), 4: (True, 1), 5: (True, 2), 6: (False, None)}
+
+
+def test_keyed_ledger_equals_batch_with_late_events(spark, tmp_path):
+    """Events come in files of a day each, some of them a day late; the outcome is that of the events in order."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, datetime(2024, 1, 1 + i // 60, (i % 60) // 3, i % 60), rng.randrange(5) if i % 50 else None, rng.choice(["click", "click", "view", "view", "error"]), 1.0, "") for i in range(480)]
+    folder = str(tmp_path / "in")
+    file_of = lambda r: r[0] // 60 + (1 if r[0] % 17 == 4 and r[0] < 420 else 0)
+    for k in range(8):
+        feed(spark, folder, k, rng.sample(own := [r for r in rows if file_of(r) == k], len(own)))
+    schema = spark.read.parquet(folder).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    events, end = keyed_ledger.with_end(live.ledger(live.with_sites(raw)))
+    got, changed = keyed_ledger.run_to_table(keyed_ledger.ledger(events, lateness="2 days"), lambda: end(datetime(2024, 1, 9)))
+    queues, want = {}, {}
+    for i, _, user, kind, *_ in rows:
+        if kind == "error":
+            continue
+        queue = queues.setdefault(user, [])
+        if kind == "click":
+            queue.append(i)
+        want[i] = (kind == "click" or bool(queue), queue.pop(0) if kind == "view" and queue else None)
+    assert {r.event_id: (r.ok, r.in_event) for r in got.collect()} == want
+    assert max(changed) < 480  # no batch writes the whole history
+
+
+def test_keyed_ledger_drops_what_comes_behind_the_watermark(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    day = lambda d: datetime(2024, 1, d)
+    feed(spark, folder, 0, [(1, day(10), 5, "click", 1.0, "")])
+    feed(spark, folder, 1, [(2, day(11), 5, "click", 1.0, "")])
+    feed(spark, folder, 2, [(3, day(1), 5, "click", 1.0, ""), (4, day(12), 5, "view", 1.0, "")])
+    schema = spark.read.parquet(folder).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    events, end = keyed_ledger.with_end(live.ledger(live.with_sites(raw)))
+    booked, _ = keyed_ledger.run_to_table(keyed_ledger.ledger(events), lambda: end(day(12)))
+    got = {r.event_id: (r.ok, r.in_event) for r in booked.collect()}
+    assert got == {1: (True, None), 2: (True, None), 4: (True, 1)}

@@ -122,6 +122,6 @@ def test_unknown_features_are_an_error(spark):
 
 def test_bounded_sample_keeps_demand_rows(spark):
     rows = spark.range(40_000).selectExpr("cast(id % 100 as string) AS sku", "date_add(date'2024-01-01', cast(id / 100 as int)) AS day", "cast(id % 50 = 0 as int) AS has_demand")
-    counts = {r["has_demand"]: r["count"] for r in training._sample(rows, 1000).groupBy("has_demand").count().collect()}
+    counts = {r["has_demand"]: r["count"] for r in training.sample_rows(rows, 1000).groupBy("has_demand").count().collect()}
     assert 350 < counts[1] < 650 and 350 < counts[0] < 650
-    assert training._sample(rows, 1_000_000).count() == 40_000
+    assert training.sample_rows(rows, 1_000_000).count() == 40_000
