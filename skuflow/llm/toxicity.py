@@ -6,12 +6,13 @@ that a label has no cause in the text, which is one number for all documents. Tr
 document labels through the noisy-or, so weight gathers on the sentences that explain a label. Afterwards the same
 model points at offending sentences.
 
-Training sees at most ``rows`` labelled rows, those with the smallest hash of their key, and keeps at most ``words``
-features, those whose presence in a document goes most with its label (chi-square). These bounds are parameters; all
-else covers every document. Counts are taken by Spark; the sample's few remaining features then fit in the driver.
+Training sees at most ``rows`` labelled rows, those with the smallest hash of their key, and keeps the features whose
+presence in a document goes with its label more than chance allows (likelihood ratio). The bound is a parameter; all else
+covers every document. Counts are taken by Spark; the sample's few remaining features then fit in the driver.
 
 Defined cases: null and empty texts are one empty sentence, whose score is the leak; a label or key that is null
-teaches nothing; with labels of one kind only, or none, the score is that kind's share (0.0 without labels); of
+teaches nothing; with labels of one kind only, or none, the score is that kind's share (0.0 without labels), and where no
+word goes with the labels it is the share of toxic ones; of
 several labels for a key the largest holds; repeated rows are scored alike; an empty table gives an empty result.
 """
 
@@ -29,10 +30,9 @@ from skuflow.llm.textscan import LOWER, mix, slices, word_hashes, words
 from skuflow.session import materialize
 
 ROWS = 20_000
-WORDS = 5_000
 STEPS = 300
-LEAST_CHI = 40.0
-LEAST_DOCS = 5
+#: Words that are kept although chance could explain them, if they are the best there are.
+BEST = 16
 #: Lengths, in bytes, of the beginnings of longer words that are features beside the words themselves.
 STEMS = (4, 5, 6)
 
@@ -153,8 +153,12 @@ def _bags(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, most_words: int = WORDS, steps: int = STEPS) -> Model:
-    """Fit on labelled rows for which ``learn`` (an expression over the label table) holds, at most ``rows`` of them."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, steps: int = STEPS) -> Model:
+    """Fit on labelled rows for which ``learn`` (an expression over the label table) holds, at most ``rows`` of them.
+
+    Features are all words whose log-likelihood ratio against the labels exceeds twice the logarithm of the number of
+    words: about what the best of so many words reaches by chance, at any number of labels. The BEST words need half.
+    """
     known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(rows)
     body = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
@@ -167,12 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     yes, no = float(found[1]), float(found[0])
     seen = sample.mapInArrow(_word_sets, "word long, label int").groupBy("word").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
-    chi = (yes + no) * F.pow(a * no - b * yes, 2) / ((a + b) * (yes + no - a - b + 0.5) * yes * no)
-    best = seen.where(a + b >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "word").limit(most_words)
+    cell = lambda seen_, of, m: F.when(seen_ > 0, 2 * seen_ * F.log(seen_ * (yes + no) / (of * m))).otherwise(0.0)
+    ratio = cell(a, yes, a + b) + cell(b, no, a + b) + cell(yes - a, yes, yes + no - a - b) + cell(no - b, no, yes + no - a - b)
+    tried = materialize(seen.select("word", ratio.alias("ratio")), "words")
+    chance = float(np.log(max(2, tried.count())))
+    sure = tried.where(F.col("ratio") > 2 * chance)
+    best = sure.union(tried.where(F.col("ratio") > chance).orderBy(F.desc("ratio"), "word").limit(BEST)).select("word").distinct()
     model.keys = np.sort(best.select("word").toArrow()["word"].to_numpy().view(np.uint64))
     model.weights = np.zeros(len(model.keys))
     if not len(model.keys):
-        model.fixed = float(yes > no)
+        model.fixed = yes / (yes + no)  # nothing tells them apart
         return model
     bags = sample.mapInArrow(_bags(model), "label int, n int, sentence array<int>, word array<int>").toArrow().combine_chunks()
     return _climb(model, bags, steps)
