@@ -7,7 +7,7 @@ returned for the demand rows, the rows the quantity model learns from.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from skuflow.operators import demand as D
 from skuflow.operators import evaluate as E
 from skuflow.operators import features as X
 from skuflow.operators import grid as G
+from skuflow.operators import regression as R
 from skuflow.session import materialize
 from skuflow.sources import tables as S
 
@@ -238,6 +239,20 @@ def baseline_components(spark, sf):
     return out.select("sku", "day", *[rounded(c, 3).alias(c) for c in B.COMPONENTS])
 
 
+def baseline_regression(spark, sf):
+    """Coefficients of every part's regression baseline, and its mean prediction and error on demand days."""
+    d = by_part(spark, sf).shared()
+    days = d.days()
+    fitted = R.fit(d.daily, days, d.start)
+    fitted = replace(fitted, coefficients=materialize(fitted.coefficients, "regression"))
+    calendar, _ = R.calendar_design(days, d.start, days.count())
+    error = R.predict(fitted, d.daily, calendar).groupBy("sku").agg(
+        rounded(F.avg("yhat"), 4).alias("mean_yhat"), rounded(F.sum(F.abs(F.col("demand") - F.col("yhat"))) / F.sum("demand") * 100, 2).alias("wape")
+    )
+    named = [rounded(F.col("beta")[i], 6).alias(n) for i, n in enumerate(fitted.design.names)]
+    return fitted.coefficients.select("sku", *named).join(error, "sku")
+
+
 def baseline_calibrated(spark, sf):
     """Per product line: segment, mean prediction, slope, calibration factor, frequency."""
     d = by_line(spark, sf).shared()
@@ -341,7 +356,7 @@ QUERIES = {
         daily_demand_capped, delivery_stats, demand_grid, demand_frequency, sparsity_profile, sku_stats,
         sku_totals_topk, baseline_candidates, demand_summary, segment_counts, sku_segments, ratio_features,
         delivery_rolling, calendar_features, holiday_features, holiday_events, category_codes, hf_interactions,
-        baseline_parameters, baseline_components, baseline_calibrated, baseline_features, wape_models, wape_10d,
+        baseline_parameters, baseline_components, baseline_regression, baseline_calibrated, baseline_features, wape_models, wape_10d,
         wape_segment, lag1_accuracy, auc_exact, confusion,
     )
 } | {
