@@ -12,6 +12,7 @@ from skuflow.functions.calendar import calendar_columns
 from skuflow.functions.clean import finite_or_zero, flag, number_or
 from skuflow.functions.holidays import with_holidays
 from skuflow.operators import baseline as B
+from skuflow.operators import boosting as H
 from skuflow.operators import demand as D
 from skuflow.operators import evaluate as E
 from skuflow.operators import features as X
@@ -198,6 +199,47 @@ def train(
     return Trained(classifier, regressor, features, params, scored)
 
 
+@dataclass
+class Boosted:
+    classifier: H.Model
+    regressor: H.Model
+    params: DataFrame
+    scored_test: DataFrame
+
+
+def train_boosted(
+    history: DataFrame,
+    daily_deliveries: DataFrame,
+    classifier: H.Settings = H.CLASSIFIER,
+    regressor: H.Settings = H.REGRESSOR,
+    valid_days: int = 30,
+    test_days: int = 30,
+    products: DataFrame | None = None,
+) -> Boosted:
+    """Second-order boosting on all rows before the validation days, which stop it; tuned there, scored on the test days."""
+    grid, features = feature_grid(history, daily_deliveries, holdout_days=valid_days + test_days, products=products)
+    grid = materialize(G.trim_warm_up(grid), "features")
+    last = grid.agg(F.max("day").alias("d")).scalar()
+    known, test = G.train_test(grid, last, test_days)
+    fit_part, valid = G.train_test(known, F.date_sub(last, test_days), valid_days)
+    # what stops the training weighs as it is
+    learn = M.class_weight(fit_part).withColumn("is_valid", F.lit(False)).unionByName(valid.withColumns({"is_valid": F.lit(True), "weight": F.lit(1.0)}))
+    quantity = learn.where("demand > 0").withColumn("log_demand", M.log_target("demand"))
+    occurs = H.fit(learn, features, "has_demand", classifier, weight="weight", valid="is_valid")
+    amount = H.fit(quantity, features, "log_demand", regressor, valid="is_valid")
+
+    keys = ["sku", "day", "demand", "segment", "base_yhat", "ewm_7", "lag_1"]
+
+    def score(part: DataFrame) -> DataFrame:
+        both = amount.predict(occurs.predict(part, "probability"), "_log")
+        return both.withColumn("reg_qty", M.unlog_target("_log")).select(*keys, "probability", "reg_qty")
+
+    tuned_on = materialize(as_eval(score(valid), valid_days), "valid")
+    params = T.choose_mode(T.tune_threshold(tuned_on), T.tune_expected_value(tuned_on))
+    scored = score(test).withColumn("pred", M.final_prediction(params.first()))
+    return Boosted(occurs, amount, params, scored)
+
+
 def sample_rows(rows: DataFrame, n: int) -> DataFrame:
     """About ``n`` rows, half of them with demand where there are so many; chosen by a hash of the keys."""
     place = F.pmod(F.xxhash64("sku", "day"), F.lit(1 << 30)) / float(1 << 30)
