@@ -4,9 +4,13 @@ A source whose target is r times its size gives each document floor(r) times for
 fractional probability that is left. The flight phase moves those probabilities along directions in the null space of
 the two constraints (sum of copies, sum of words) until they are 0 or 1; totals do not change on the way. Blocks of
 documents fly side by side, each leaves at most two fractional documents, and these are gathered and fly again, until
-one block per source is left. Its last flight keeps a dozen documents back; they and the last two are the landing
+one block of their source is left. Its last flight keeps a dozen documents back; they and the last two are the landing
 problem, solved by trying all outcomes.
 
+A document far longer than the others of its block would stay open to the end, and no landing could make up for it.
+Such documents are decided before the flight, by their probability, and the others' probabilities take up the words;
+an outcome they cannot take up is not drawn, unless neither can be: then the nearer one is. This holds the words, while the number of copies moves.
+
 Defined cases: a null text has no words and size 0; a null source is a source of its own, last in order; repeated rows
 are counted and decided one by one; with no words at all every target is 0; an empty table gives an empty result.
 Directions are drawn from hashes of the rows, so reruns agree whatever the partitioning.
@@ -30,6 +34,8 @@ MOST = 3
 
 BLOCK = 4000
 LANDING = 12
+#: A document is decided before the flight if it has more than this many times the mean words of the shorter ones.
+LONG = 8
 _EDGE = 1e-9
 
 
@@ -47,6 +53,30 @@ def share(sizes: Sequence[float], weights: Sequence[float], most: float) -> list
         held |= over
 
 
+def settle_long(chances: Sequence[float], sizes: Sequence[float], seed: int) -> list[float]:
+    """Decide the documents far longer than the rest, longest first; the open rest makes up for their words."""
+    draw = random.Random(seed)
+    p, size = np.array(chances, dtype=float), np.array(sizes, dtype=float)
+    order = np.flatnonzero((p > _EDGE) & (p < 1 - _EDGE))
+    order = order[np.argsort(-size[order], kind="stable")]
+    for k, i in enumerate(order):
+        rest = order[k + 1 :]
+        room = size[rest].sum()
+        if len(rest) <= LANDING or size[i] * len(rest) <= LONG * room:
+            break
+        words, coin = p[rest] @ size[rest], draw.random()
+        wanted = {x: words + (p[i] - x) * size[i] for x in (0.0, 1.0)}
+        missed = {x: max(0.0, -w, w - room) for x, w in wanted.items()}
+        x = 1.0 if (missed[1.0], coin) < (missed[0.0], p[i]) else 0.0  # what can be made up for, or comes nearer; else the coin
+        held = min(max(wanted[x], 0.0), room)
+        if held < words:
+            p[rest] *= held / words
+        elif words < room:
+            p[rest] = 1.0 - (1.0 - p[rest]) * (room - held) / (room - words)
+        p[i] = x
+    return p.tolist()
+
+
 def fly(chances: list[float], sizes: Sequence[float], seed: int, keep: int = 0) -> list[float]:
     """Flight phase over one block: at most two chances stay strictly between 0 and 1, and both sums are kept.
 
@@ -91,17 +121,15 @@ def land(chances: list[float], sizes: Sequence[float]) -> list[float]:
     return out
 
 
-def _flight(last: bool):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("copy", "ascending"), ("size", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
-        sizes, chances = table["size"].to_pylist(), table["chance"].to_pylist()
-        seed = hash((table["h"][0].as_py(), table["copy"][0].as_py(), len(sizes)))
-        chances = fly(chances, [float(s) for s in sizes], seed, LANDING if last else 0)
-        if last:
-            chances = land(chances, [float(s) for s in sizes])
-        return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(chances, pa.float64()))
-
-    return run
+def _flight(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("h", "ascending"), ("copy", "ascending"), ("size", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
+    sizes, chances = [float(s) for s in table["size"].to_pylist()], table["chance"].to_pylist()
+    last = table["blocks"][0].as_py() == 1
+    seed = hash((table["h"][0].as_py(), table["copy"][0].as_py(), len(sizes)))
+    chances = fly(settle_long(chances, sizes, seed), sizes, seed, LANDING if last else 0)
+    if last:
+        chances = land(chances, sizes)
+    return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(chances, pa.float64()))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
@@ -132,19 +160,21 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
         .withColumns({"sure": F.floor(ratio).cast("long"), "chance": ratio - F.floor(ratio)})
         .withColumn("block", F.pmod(F.xxhash64("h", "copy"), F.col("blocks")))
-        .drop("p_source", "n", "blocks")
+        .drop("p_source", "n")
     )
     most_blocks = max([1, *(p[3] for p in plan)])
     settled: list[DataFrame] = []
     while True:
-        flown = materialize(units.groupBy("source", "block").applyInArrow(_flight(most_blocks == 1), units.schema), "mix-flight")
+        flown = materialize(units.groupBy("source", "block").applyInArrow(_flight, units.schema), "mix-flight")
         fractional = (F.col("chance") > 0) & (F.col("chance") < 1)
         if most_blocks == 1:
             settled.append(flown)
             break
         settled.append(flown.where(~fractional))
         most_blocks = -(-2 * most_blocks // BLOCK)
-        units = flown.where(fractional).withColumn("block", F.pmod(F.col("block"), F.lit(most_blocks)))
+        # a source whose last block has landed has no open document left
+        units = flown.where(fractional).withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK).cast("long"))
+        units = units.withColumn("block", F.pmod("block", "blocks"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)

@@ -88,3 +88,50 @@ def test_shares_follow_weights_and_new_shards_only_take(spark):
         assert r["grown_shard"] in (r["shard"], 3)
     assert all(abs(share[s] / 40_000 - w / 8) < 0.015 for s, w in weights.items())
     assert abs(sum(r["count"] for r in got if r["grown_shard"] == 3) / 40_000 - 0.2) < 0.015
+
+
+def _by_source(got):
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    return taken, target
+
+
+def test_one_long_text_in_a_small_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 500)
+    small = spark.range(201).select("id", F.lit("b").alias("source"), F.when(F.col("id") == 7, 20_000).otherwise(60 + F.col("id") * 37 % 80).alias("n"))
+    for neighbours in (300, 6000):  # the second flies in several blocks
+        for seed in range(4):
+            other = spark.range(neighbours).select((F.col("id") + 1000).alias("id"), F.lit("a").alias("source"), (50 + F.col("id") * 31 % 100).alias("n"))
+            docs = small.unionByName(other).select((F.col("id") + 10_000 * seed).alias("doc_id"), "source", F.expr("repeat('w ', cast(n as int))").alias("text"))
+            taken, target = _by_source(mixing.mix_sources(docs).collect())
+            assert all(abs(taken[s] - target[s]) <= 0.005 * target[s] for s in target), (taken, target)
+
+
+def test_long_documents_keep_the_words_and_their_chance():
+    sizes, chances = [9000.0, 4000.0] + [100.0 + i % 7 for i in range(400)], [0.4, 0.3] + [0.5] * 400
+    hits = [0, 0]
+    for seed in range(600):
+        out = mixing.settle_long(chances, sizes, seed)
+        assert all(0 <= p <= 1 for p in out) and out[0] in (0, 1) and out[1] in (0, 1)
+        assert abs(sum(p * s for p, s in zip(out, sizes, strict=True)) - sum(p * s for p, s in zip(chances, sizes, strict=True))) < 1e-6
+        hits = [h + x for h, x in zip(hits, out, strict=False)]
+    assert abs(hits[0] / 600 - 0.4) < 0.07 and abs(hits[1] / 600 - 0.3) < 0.07
+    # what the others cannot make up for is not drawn: taking the long text here would need 300 words more than they hold
+    assert all(mixing.settle_long([0.4] + [0.5] * 20, [2000.0] + [85.0] * 20, seed)[0] == 0 for seed in range(40))
+    assert mixing.settle_long([0.5] * 30, [10.0] * 30, 1) == [0.5] * 30
+
+
+def test_landing_is_the_best_of_all_outcomes():
+    import itertools
+    import random
+
+    draw = random.Random(3)
+    for _ in range(20):
+        n = draw.randrange(1, 9)
+        sizes, chances = [float(draw.randrange(0, 60)) for _ in range(n)], [draw.choice([0.0, 1.0, draw.random()]) for _ in range(n)]
+        words, copies = sum(p * s for p, s in zip(chances, sizes, strict=True)), sum(chances)
+        fits = [x for x in itertools.product((0.0, 1.0), repeat=n) if all(p == q for p, q in zip(chances, x, strict=True) if p in (0.0, 1.0))]
+        cost = lambda x, sizes=sizes, words=words, copies=copies: (round(abs(sum(p * s for p, s in zip(x, sizes, strict=True)) - words), 6), round(abs(sum(x) - copies), 9))
+        assert cost(mixing.land(chances, sizes)) == min(map(cost, fits))
