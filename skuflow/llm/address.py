@@ -60,6 +60,15 @@ def addressed(docs: DataFrame) -> Scan:
     return Scan(rows, int(parts or 0), int(size or 0))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name``, unique per row and the same on every reading: file (hashed) and row number, 16 bytes."""
+    if not _stored(docs):
+        docs = materialize(docs, "numbered")
+    meta = docs.metadataColumn("_metadata")
+    eight = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
+    return docs.withColumn(name, F.concat(eight(F.xxhash64(meta["file_path"])), eight(meta["row_index"])))
+
+
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Runs of rows of one address. A task meets all its rows of an address one after the other."""
     for batch in batches:

@@ -135,7 +135,7 @@ def _flight(table: pa.Table) -> pa.Table:
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and copies taken, one row per document.
 
-    ``row`` names a unique row number that is carried along as ``row``. Only the totals per source come to the driver: sources are a list to which people assign weights.
+    ``row`` names a unique, sortable row key that is carried along as ``row``. Only the totals per source come to the driver: sources are a list to which people assign weights.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -143,7 +143,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(key), F.col(text)).alias("h"),
-        (F.col(row) if row else F.lit(0)).cast("long").alias("row"),
+        (F.col(row) if row else F.lit(0).cast("long")).alias("row"),
     )
     counted = materialize(rows.groupBy("doc_id", "source", "size", "h", "row").agg(F.count("*").alias("n")), "mix-sizes")
     totals = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")).collect()

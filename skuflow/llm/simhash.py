@@ -63,9 +63,9 @@ def _fingerprints(width: int):
 
 
 def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
-    """(doc_id, row, print): the fingerprint of every document as a signed long."""
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (F.lit(0) if row is None else row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints(width), "doc_id long, row long, print long")
+    """(doc_id, row, print): the fingerprint of every document as a signed long; ``row`` keeps its type."""
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (F.lit(0).cast("long") if row is None else row).alias("row"), F.col(text).cast("string").alias("text"))
+    return narrow.mapInArrow(_fingerprints(width), f"doc_id long, row {narrow.schema['row'].dataType.simpleString()}, print long")
 
 
 def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, spent: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

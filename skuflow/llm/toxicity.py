@@ -250,6 +250,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     With ``spans`` also the first bytes of all sentences that score 0.5 or more alone. Only the text enters a score.
     """
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (F.lit(0) if row is None else row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, row long, score double, worst_start long, worst_end long, worst_score double" + (", offending array<long>" if spans else "")
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (F.lit(0).cast("long") if row is None else row).alias("row"), F.col(text).cast("string").alias("text"))
+    schema = f"doc_id long, row {narrow.schema['row'].dataType.simpleString()}, score double, worst_start long, worst_end long, worst_score double" + (", offending array<long>" if spans else "")
     return narrow.mapInArrow(_scored(model, spans), schema)
