@@ -1,9 +1,9 @@
 """Documents to training shards: toxicity, near duplicates, benchmark leaks, source mix, shards.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Stages but the last return the
-columns of ``documents``; each result is written as Parquet and read again as the next one's ``docs``. Row numbers used
-inside a stage come from that written table over splits planned once a stage, so every reading and every repeated task
-sees the same ones.
+columns of ``documents``; each result is written as Parquet and read again as the next one's ``docs``. Row keys used
+inside a stage are the file and row number in that written table, so every reading and every repeated task sees the same
+ones however Spark splits the files.
 
 Defined cases: null keys and texts pass like any other row (a null text scores as an empty one, groups with other empty
 texts, contains no benchmark item and has no words to mix); repeated rows are rows of their own; empty tables pass as
@@ -15,17 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm import decontaminate, mixing, sharding, simhash, toxicity
+from skuflow.llm import address, decontaminate, mixing, sharding, simhash, toxicity
 from skuflow.llm.queries import SHARDS, fold, table
-from skuflow.session import fixed_splits, new_shared_path
+from skuflow.session import new_shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 _ROW = "_stage_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number that is the same on each reading, as the splits are planned here once."""
-    return fixed_splits(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(_ROW)))
+    return address.numbered(docs.select(*COLUMNS), _ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
