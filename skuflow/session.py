@@ -61,15 +61,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fixed_splits(df: DataFrame) -> DataFrame:
-    """``df`` over file splits that are planned once, here, and hold for every later reading.
-
-    Spark plans the splits of each query anew from the cores registered at that moment. Where rows are addressed by
-    partition or by a number that depends on it, all readings must go through one frame made by this function. ``df``
-    must be a table on storage or a plain projection of one; nothing is copied.
-    """
-    spark = df.sparkSession
-    rows = df._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
