@@ -145,7 +145,7 @@ def _booked(spark, sf) -> DataFrame:
 
 
 def event_outcomes(spark, sf):
-    booked = _booked(spark, sf)
+    booked = materialize(_booked(spark, sf), "booked")  # read for its days and for its rows
     average = by_part(spark, sf).daily.groupBy("sku").agg(F.avg("demand").alias("a"))
     days = booked.select("sku", "day").distinct()
     forecast = days.join(average, "sku").select("sku", "day", rounded("a", 2).alias("forecast_demand"))

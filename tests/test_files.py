@@ -22,6 +22,24 @@ def test_event_file(spark, tmp_path):
         (date(2026, 2, 16), 0, "out", 7), (None, 3, "in", 0), (date(2026, 2, 15), 31554, "Ingoing", 150)]
 
 
+def test_each_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("Date,Product,Flow Type,Quantity\n15-02-2026,1,in,5\n")
+    (tmp_path / "b[1].csv").write_text('\n\ufeffnote,"Qty",TYPE,produit,date,Product again\nx,7,"a,b",2,2026-02-16,9\ny,8,out\n')
+    (tmp_path / "c.csv").write_text("date,product_id,flow,quantity\n2026-02-17,3,out,1\n")  # the layout of the first
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.csv").write_text("quantity,date,flow,product_id\n")
+    got = files.read_events(spark, str(tmp_path))
+    assert sorted((str(r.day), r.sku, r.flow_word, r.qty) for r in got.collect()) == [
+        ("2026-02-15", 1, "in", 5), ("2026-02-16", 2, "a,b", 7), ("2026-02-17", 3, "out", 1), ("None", 0, "out", 8)]
+    (tmp_path / "f.csv").write_text("date,product,flow\n")
+    with pytest.raises(ValueError, match="quantity"):
+        files.read_events(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "g.csv").write_text("\n\n")
+    with pytest.raises(ValueError, match="header"):
+        files.read_events(spark, str(tmp_path / "none"))
+
+
 def test_dirty_products(spark):
     raw = spark.createDataFrame(
         [(1, "A", "12", "x", None, "2.5", "True"), (2, "B", None, "4", "bad", "", "False"), (3, "C", "1", "1", "1", "1", None)],
@@ -53,9 +71,10 @@ def test_forecast_sinks(spark, tmp_path):
 
 
 def test_instruction_sink(spark, tmp_path):
-    df = spark.createDataFrame([(1, 5, "Storage", "S1", "Reception -> S1", "why")], "event_id int, Product int, Action string, Location string, Route string, Reason string")
+    df = spark.createDataFrame([(1, 5, "Storage", "S1", "Reception -> S1", " why: ")], "event_id int, Product int, Action string, Location string, Route string, Reason string")
     files.write_instructions(df, str(tmp_path / "i"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "i")).columns == ["Product", "Action", "Location", "Route", "Reason"]
+    back = spark.read.option("header", True).csv(str(tmp_path / "i"))
+    assert back.columns == ["Product", "Action", "Location", "Route", "Reason"] and back.first()["Reason"] == " why: "
 
 
 def test_log_target_inverse(spark):
