@@ -92,7 +92,7 @@ def carried_events(events: DataFrame, slots: DataFrame, batch: str = "day") -> t
 
 
 def outcomes(booked: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
-    """Texts, trips and flags of the service answer. ``forecast``: (sku, day, forecast_demand)."""
+    """Texts, trips and flags of the service answer. ``forecast``: (sku, day, forecast_demand), or without day."""
     way, ok = F.col("direction"), F.col("ok")
 
     def pick(in_ok, in_failed, out_ok, out_failed, unknown):
@@ -107,7 +107,7 @@ def outcomes(booked: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     # an unplaced ingoing event has no slot and is not ok
     rows = booked.withColumn("ok", F.coalesce(F.col("slot_id").isNotNull(), F.lit(False)))
     if forecast is not None:
-        rows = rows.join(forecast, ["sku", "day"], "left")
+        rows = rows.join(forecast, [c for c in ("sku", "day") if c in forecast.columns], "left")
     else:
         rows = rows.withColumn("forecast_demand", F.lit(None).cast("double"))
     null = F.lit(None).cast("string")

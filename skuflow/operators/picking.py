@@ -76,17 +76,19 @@ def split_chariots(
     )
     run = materialize(run.withColumn("_block", F.floor(F.col("item_no") / BLOCK_ITEMS)), "weights")
     limit = round(capacity_kg * 1000)
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    last = F.max("_block").alias("_last")
-    starts = run.groupBy("order_id").agg(last).select("order_id", one.alias("_first"), zero.alias("_base"), "_last")
+    one = F.lit(1).cast("bigint")
+    passing = F.struct("item_no", (F.col("_cum") - F.col("grams")).alias("base"))
     found: list[DataFrame] = []
-    for _ in range(1, max_chariots):
-        met = join_on(run.select("order_id", "item_no", "grams", "_cum", "_block"), _per_block(starts, "_first"), ["order_id"], exact=["_block"])
-        over = met.where((F.col("item_no") > F.col("_first")) & (F.col("_cum") - F.col("_base") > limit))
-        end = F.min(F.struct("item_no", (F.col("_cum") - F.col("grams")).alias("base"), "_last")).alias("e")
-        ends = over.groupBy("order_id").agg(end)
+    for n in range(1, max_chariots):
+        if n == 1:  # every order's first chariot starts at its first item, so nothing has to be met
+            over = (F.col("item_no") > 1) & (F.col("_cum") > limit)
+            ends = run.groupBy("order_id").agg(F.min(F.when(over, passing)).alias("e"), F.max("_block").alias("_last")).where("e IS NOT NULL")
+        else:
+            met = join_on(run.select("order_id", "item_no", "grams", "_cum", "_block"), _per_block(starts, "_first"), ["order_id"], exact=["_block"])
+            over = met.where((F.col("item_no") > F.col("_first")) & (F.col("_cum") - F.col("_base") > limit))
+            ends = over.groupBy("order_id").agg(F.min(passing).alias("e"), F.max("_last").alias("_last"))
         starts = materialize(
-            ends.select("order_id", F.col("e.item_no").alias("_first"), F.col("e.base").alias("_base"), F.col("e._last").alias("_last")), "ends"
+            ends.select("order_id", F.col("e.item_no").alias("_first"), F.col("e.base").alias("_base"), "_last"), "ends"
         )
         found.append(starts)
     if not found:
@@ -198,6 +200,22 @@ def tour_totals(steps: DataFrame) -> DataFrame:
     )
 
 
+def order_totals(located: DataFrame) -> DataFrame:
+    """What ``tour_totals`` gives for the tours over ``located``, without numbering their steps.
+
+    The distance is that between the positions, and the way home.
+    """
+    home = tuple(F.lit(v) for v in EXPEDITION)
+    tours = tour_stops(located).groupBy("order_id", "chariot").agg(F.sum("dist").alias("out"), F.max_by(F.struct("x", "y", "z"), "seq").alias("last"))
+    back = manhattan((F.col("last.x"), F.col("last.y"), F.col("last.z")), home)
+    ways = tours.groupBy("order_id").agg(F.max("chariot").alias("chariots"), F.sum((F.col("out") + back).cast("double")).alias("distance"))
+    items = located.groupBy("order_id").agg(F.count("sku").alias("items"))
+    naive = F.col("items") * NAIVE_STEP
+    return join_on(ways, items, ["order_id"]).select(
+        "order_id", "chariots", "items", "distance", ((naive - F.col("distance")) / naive * 100).alias("efficiency_pct")
+    )
+
+
 def zone_congestion(steps: DataFrame) -> DataFrame:
     """Zones and levels an order visits more than three times."""
     return (

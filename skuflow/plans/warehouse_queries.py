@@ -145,11 +145,8 @@ def _booked(spark, sf) -> DataFrame:
 
 
 def event_outcomes(spark, sf):
-    booked = materialize(_booked(spark, sf), "booked")  # read for its days and for its rows
     average = by_part(spark, sf).daily.groupBy("sku").agg(F.avg("demand").alias("a"))
-    days = booked.select("sku", "day").distinct()
-    forecast = days.join(average, "sku").select("sku", "day", rounded("a", 2).alias("forecast_demand"))
-    return O.outcomes(booked, forecast)
+    return O.outcomes(_booked(spark, sf), average.select("sku", rounded("a", 2).alias("forecast_demand")))
 
 
 def instructions(spark, sf):
@@ -239,7 +236,7 @@ def chariot_totals(spark, sf):
 
 
 def tour_totals(spark, sf):
-    return P.tour_totals(_steps(spark, sf)).withColumn("efficiency_pct", rounded("efficiency_pct"))
+    return P.order_totals(_located(spark, sf)).withColumn("efficiency_pct", rounded("efficiency_pct"))
 
 
 def zone_congestion(spark, sf):

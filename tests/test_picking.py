@@ -74,6 +74,7 @@ def test_tours_equal_loop(spark, orders):
         assert [s.sku for s in mine[:-1]] == [line_of[(key[0], n)][2] for n in order]
         assert [s.distance for s in mine] == dist + [back]
     totals = {r.order_id: r for r in P.tour_totals(P.pick_tours(located)).collect()}
+    assert {r.order_id: r for r in P.order_totals(located).collect()} == totals
     assert sum(t["items"] for t in totals.values()) == len(rows)
 
 
@@ -85,6 +86,7 @@ def test_five_items(spark):
     steps = P.pick_tours(located).orderBy("step").collect()
     assert [s.code for s in steps] == ["S398", "S404", "S406", "S407", "S1331", "EXPEDITION"]
     total = P.tour_totals(P.pick_tours(located)).first()
+    assert P.order_totals(located).first() == total
     assert (total["items"], total.chariots, total.distance) == (5, 1, 1 + 3 + 3 + 1 + 8 + 2)
 
 
