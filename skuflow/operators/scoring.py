@@ -124,12 +124,15 @@ def preparation_order(forecast: DataFrame, overrides: DataFrame, stock: DataFram
     """Lines to prepare: forecast or override, source slot, status.
 
     ``forecast``: sku, pred; ``overrides``: sku, override_qty; ``stock``: sku,
-    slot_id, code (the slot the next outgoing event takes).
+    slot_id, code (the slot the next outgoing event takes). Where forecast and
+    overrides have a day, the order is one per day.
     """
-    rows = forecast.join(overrides, "sku", "left").join(stock, "sku", "left")
+    dated = ["day"] if "day" in forecast.columns else []
+    rows = forecast.join(overrides, ["sku", *dated], "left").join(stock, "sku", "left")
     qty = F.coalesce("override_qty", "pred")
     return rows.where(qty > 0).select(
         "sku",
+        *dated,
         even_rounded("pred").alias("predicted_demand"),
         F.col("override_qty").isNotNull().alias("override_applied"),
         F.coalesce("code", F.lit("Non stocke")).alias("source_location"),

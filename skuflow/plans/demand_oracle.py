@@ -330,6 +330,7 @@ base AS (
          CASE WHEN f.sku IS NULL THEN 0 ELSE m - 1 END AS base_yearly
   FROM raw JOIN cal_factor USING (sku) JOIN average USING (sku) LEFT JOIN fitted f ON f.sku = raw.sku)"""
 LINE_FIT = (*LINE_GRID, HOLIDAYS, EVENTS, FIT)
+PART_FIT = (*PART_GRID, HOLIDAYS, EVENTS, FIT)
 SQL["baseline_parameters"] = f"""{with_(*LINE_FIT)},
 classes AS (
   SELECT sku, 'dow' AS level, dow AS class, w AS idx FROM weekly UNION ALL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skuflow.operators import scoring as C
 from skuflow.operators import tuning as T
-from skuflow.plans.demand_oracle import EWM, EWM_7, LINE_FIT, LINE_GRID, PART_GRID, SEGMENTS, STATS, frame, r, with_
+from skuflow.plans.demand_oracle import EWM, EWM_7, LINE_FIT, LINE_GRID, PART_FIT, PART_GRID, SEGMENTS, STATS, frame, r, with_
 from skuflow.plans.warehouse_oracle import CUSTOMER_SLOTS, EVENTS, PLAN, WHOLE
 
 SQL: dict[str, str] = {}
@@ -199,6 +199,30 @@ SELECT sku, round_even(pred, 2) + 0.0 AS predicted_demand, override_qty IS NOT N
        CASE WHEN slot_id IS NOT NULL THEN greatest(1, CAST(round_even(q, 0) AS BIGINT)) END AS pick_quantity
 FROM l WHERE q > 0"""
 
+SQL["dated_preparation_order"] = f"""
+WITH ahead AS ({with_(*PART_FIT, future(7))} SELECT sku, day, base_yhat, simple_avg, demand_freq FROM future),
+tuned AS (SELECT CAST(thr AS DOUBLE) / 1000 AS thr, CAST(alpha AS DOUBLE) / 1000 AS alpha, CAST(mult AS DOUBLE) / 100 AS mult
+          FROM ({SQL['tune_threshold']})),
+forecast AS (
+  SELECT sku, day, CASE WHEN demand_freq >= thr THEN greatest((alpha * base_yhat + (1 - alpha) * simple_avg) * mult, 0) ELSE 0 END AS pred
+  FROM ahead CROSS JOIN tuned),
+first_slot AS (
+  {with_(*PLAN)}
+  SELECT a.sku, arg_min(s.slot_id, (ts, event_id)) AS slot_id, arg_min(s.code, (ts, event_id)) AS code
+  FROM assigned a JOIN slots s ON s.slot_id = a.slot_id GROUP BY a.sku),
+asked AS (
+  {with_(EVENTS)}
+  SELECT sku, CAST((SELECT min(day) FROM ahead) + CAST(6 - datediff('day', ev.day, last) AS INTEGER) AS DATE) AS day, {r('sum(qty)', 'override_qty', 2)}
+  FROM ev CROSS JOIN (SELECT max(day) AS last FROM ev) WHERE direction = 'out' AND datediff('day', ev.day, last) < 7 GROUP BY ALL),
+l AS (
+  SELECT *, coalesce(override_qty, pred) AS q FROM forecast LEFT JOIN asked USING (sku, day) LEFT JOIN first_slot USING (sku))
+SELECT sku, day, round_even(pred, 2) + 0.0 AS predicted_demand, override_qty IS NOT NULL AS override_applied,
+       coalesce(code, 'Non stocke') AS source_location, coalesce(slot_id, 0) AS source_location_id,
+       round_even(q, 2) + 0.0 AS quantity_to_prepare,
+       CASE WHEN slot_id IS NULL THEN 'missing_stock' ELSE 'ready' END AS status,
+       CASE WHEN slot_id IS NOT NULL THEN greatest(1, CAST(round_even(q, 0) AS BIGINT)) END AS pick_quantity
+FROM l WHERE q > 0"""
+
 SQL["product_features"] = f"""{with_(*LINE_GRID)},
 p AS (
   SELECT sku, sum(demand) AS p_total, CAST(sum(has_demand) AS DOUBLE) AS p_days, coalesce(avg(demand) FILTER (demand > 0), 0) AS p_avg,

@@ -29,6 +29,7 @@ from skuflow.streaming import ledger as live_ledger
 from skuflow.streaming import movements
 
 HORIZON_DAYS = 31
+ORDER_DAYS = 7
 
 # ---------------------------------------------------------------------- tuning
 
@@ -182,15 +183,36 @@ def _preparation(spark, sf) -> DataFrame:
     events = S.flow_events(spark, sf)
     asked = events.where(L.direction("flow_word") == "out")
     overrides = asked.groupBy("sku").agg(rounded(F.sum("qty"), 2).alias("override_qty"))
+    return C.preparation_order(_part_forecast(d), overrides, _first_slots(spark, sf))
+
+
+def _first_slots(spark, sf) -> DataFrame:
+    """(sku, slot_id, code): where the oldest unit on hand lies."""
     plan = materialize(_stock_plan(spark, sf).where("slot_id IS NOT NULL"), "plan")
     first = plan.groupBy("sku").agg(F.min_by(F.struct("slot_id", "code"), F.struct("ts", "event_id")).alias("s"))
-    return C.preparation_order(_part_forecast(d), overrides, first.select("sku", "s.slot_id", "s.code"))
+    return first.select("sku", "s.slot_id", "s.code")
 
 
 def preparation_order(spark, sf):
     return _preparation(spark, sf)
 
 
+def dated_preparation_order(spark, sf):
+    """The order of every day of the week after the history, by that day's baseline and the tuned threshold mode.
+
+    What went out on the last seven days of the event log replaces the forecast on the seven days of the order.
+    """
+    d = by_part(spark, sf).shared()
+    best = T.tune_threshold(_tuning_rows(spark, sf)).first()
+    rows, _ = _future(d, ORDER_DAYS)
+    pred = M.gated(best["thr"] / 1000.0, best["alpha"] / 1000.0, best["mult"] / 100.0, p="demand_freq")
+    asked = S.flow_events(spark, sf).where(L.direction("flow_word") == "out")
+    back = F.datediff(S.flow_events(spark, sf).agg(F.max("day")).scalar(), "day")
+    ahead = asked.where(back < ORDER_DAYS).withColumn("day", F.date_add(d.end, F.lit(ORDER_DAYS) - back))
+    overrides = ahead.groupBy("sku", "day").agg(rounded(F.sum("qty"), 2).alias("override_qty"))
+    return C.preparation_order(rows.select("sku", "day", pred.alias("pred")), overrides, _first_slots(spark, sf))
+
+
 def preparation_tour(spark, sf):
     """Pick tour of the preparation order's ready lines."""
     ready = _preparation(spark, sf).where("status = 'ready'")
@@ -299,7 +321,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tune_threshold, tune_expected_value, tune_daily, tuned_mode, batch_forecast, forecast_summary, forecast_sample,
-        forecast_file, forecast_explained, approximate_features, preparation_order, preparation_tour, product_features, train_and_score, model_forecast,
+        forecast_file, forecast_explained, approximate_features, preparation_order, dated_preparation_order, preparation_tour, product_features, train_and_score, model_forecast,
         feature_importance, event_file, stream_congestion, stream_ledger, stream_ledger_keyed,
     )
 }
