@@ -9,6 +9,7 @@ QUICK = [
     "stock_ledger", "site_load", "slot_assignment", "event_outcomes", "pick_tours", "tune_threshold", "batch_forecast",
     "preparation_order", "event_file", "rolling_extremes", "freq_features", "ratio_features", "chariot_split", "wape_models", "tune_daily",
     "lag1_accuracy", "product_features", "stream_ledger",
+    "keyed_parameters", "mixed_event_files", "instruction_file", "published_totals", "tour_totals", "dated_preparation_order",
 ]
 
 
