@@ -58,14 +58,38 @@ def densify(
     )
 
 
+def fact_cells(
+    sparse: DataFrame,
+    start: Column,
+    end: Column,
+    measures: Sequence[str] = ("demand",),
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """The cells of ``densify`` that hold a row of ``sparse``, with the same columns."""
+    placed = sparse.withColumn("_start", start).where(F.col("day").between(F.col("_start"), end))
+    idx = F.datediff("day", "_start")
+    return placed.select(
+        "sku",
+        "day",
+        idx.alias("day_no"),
+        F.floor(idx / EPOCH_DAYS).cast("int").alias("epoch"),
+        *[F.coalesce(m, F.lit(0.0)).alias(m) for m in measures],
+        *carry,
+    )
+
+
 def demand_grid(
     sparse: DataFrame,
     start: Column,
     end: Column,
     measures: Sequence[str] = ("demand",),
     carry: Sequence[str] = (),
+    empty_days: bool = True,
 ) -> DataFrame:
-    return densify(sparse, start, end, measures, carry).withColumn("has_demand", (F.col("demand") > 0).cast("int"))
+    """The grid with every day of a SKU; without ``empty_days`` only the cells that hold facts, for the groups of
+    ``sparse_features``, which count the others."""
+    cells = densify if empty_days else fact_cells
+    return cells(sparse, start, end, measures, carry).withColumn("has_demand", (F.col("demand") > 0).cast("int"))
 
 
 def recent_grid(daily: DataFrame, start: Column, end: Column, n_days: int, decay: dict[str, float], carry: Sequence[str] = ()) -> DataFrame:

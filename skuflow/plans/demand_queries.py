@@ -1,7 +1,8 @@
 """Registered queries on demand: statistics, grid, features, calendar, baseline, evaluation.
 
-Dense features are computed on every cell of the grid (all SKUs, all days) and
-returned for the demand rows, the rows the quantity model learns from.
+Dense features are those of the grid with all days of all SKUs. They are
+returned for the demand rows, the rows the quantity model learns from, so they
+are computed there, by frames of days (``operators/sparse_features.py``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from skuflow.operators import evaluate as E
 from skuflow.operators import features as X
 from skuflow.operators import grid as G
 from skuflow.operators import regression as R
+from skuflow.operators import sparse_features as Y
 from skuflow.session import materialize
 from skuflow.sources import tables as S
 
@@ -34,10 +36,19 @@ class Demand:
 
     def grid(self, carry: DataFrame | None = None) -> DataFrame:
         """Dense grid; ``carry`` is a per-SKU dimension repeated on every row."""
-        sparse = self.daily if carry is None else self.daily.join(carry, "sku", "left")
-        names = [] if carry is None else [c for c in carry.columns if c != "sku"]
+        sparse, names = self._carrying(carry)
         return G.demand_grid(D.spread_by_sku(sparse), self.start, self.end, carry=names)
 
+    def facts(self, carry: DataFrame | None = None) -> DataFrame:
+        """The cells of the grid that hold facts, for ``sparse_features``."""
+        sparse, names = self._carrying(carry)
+        return G.demand_grid(sparse, self.start, self.end, carry=names, empty_days=False)
+
+    def _carrying(self, carry: DataFrame | None) -> tuple[DataFrame, list[str]]:
+        if carry is None:
+            return self.daily, []
+        return self.daily.join(carry, "sku", "left"), [c for c in carry.columns if c != "sku"]
+
     def shared(self) -> Demand:
         """Write the daily totals once for plans that read them in several branches; the bounds come from them too."""
         daily = materialize(self.daily, "daily")
@@ -157,9 +168,9 @@ def ratio_features(spark, sf):
 def delivery_rolling(spark, sf):
     d = by_part(spark, sf)
     facts = G.merge_facts(d.daily, _shifted_deliveries(spark, sf), d.start, d.end)
-    grid = G.demand_grid(D.spread_by_sku(facts), d.start, d.end, ("demand", "n_deliveries", "qty_delivered"))
+    grid = G.demand_grid(facts, d.start, d.end, ("demand", "n_deliveries", "qty_delivered"), empty_days=False)
     cols = ["n_deliveries", "qty_delivered"] + [f"del_rolling_{w}" for w in (7, 14, 28)]
-    return demand_rows(X.add(grid, X.DELIVERY_ROLLING), cols + [f"del_qty_rolling_{w}" for w in (7, 28)])
+    return demand_rows(X.add(grid, Y.DELIVERY_ROLLING), cols + [f"del_qty_rolling_{w}" for w in (7, 28)])
 
 
 def _shifted_deliveries(spark, sf):
