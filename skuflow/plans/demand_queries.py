@@ -160,7 +160,7 @@ ewm_features = _features(["ewm_7", "ewm_28"], X.EWM)
 
 def ratio_features(spark, sf):
     d = by_part(spark, sf).shared()
-    grid = X.add(d.grid(carry=D.sku_stats(d.daily)), X.LAG, X.SAME_WEEKDAY, X.MOMENTS, X.EWM, X.RATIOS)
+    grid = X.add(d.facts(carry=D.sku_stats(d.daily)), Y.LAG, Y.SAME_WEEKDAY, Y.MOMENTS, Y.EWM, Y.RATIOS)
     cols = ["cv_28", "lag1_norm", "rmean7_norm", "rmean28_norm", "ewm7_norm", "ewm28_norm", "rmean_wday4_norm"]
     return demand_rows(grid, cols)
 
