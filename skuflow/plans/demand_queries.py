@@ -214,7 +214,7 @@ def category_codes(spark, sf):
 def hf_interactions(spark, sf):
     d = by_part(spark, sf).shared()
     seg = D.segments(d.daily).select("sku", (F.col("segment") == "HF").cast("double").alias("is_hf"))
-    grid = X.add(d.grid(carry=seg), X.LAG, X.MOMENTS, X.FREQUENCY, X.DAYS_SINCE)
+    grid = X.add(d.facts(carry=seg), Y.LAG, Y.MOMENTS, Y.FREQUENCY, Y.DAYS_SINCE)
     grid = H.with_holidays(grid, d.days()).withColumns(
         {k: v for k, v in calendar_columns("day").items() if k in ("dow", "month", "is_wknd")}
     )

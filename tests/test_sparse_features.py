@@ -41,7 +41,7 @@ def test_equal_to_the_dense_grid_on_the_days_with_facts(spark, n_days, density):
 
 
 @pytest.mark.parametrize(
-    "query", ["delivery_rolling", "ratio_features", ]
+    "query", ["delivery_rolling", "ratio_features", "hf_interactions", ]
 )
 def test_demand_row_queries_make_no_empty_days(spark, sf, query):
     from skuflow.plans.registry import QUERIES
