@@ -140,22 +140,22 @@ def sku_segments(spark, sf):
 
 def _features(cols: list[str], *groups):
     def query(spark, sf):
-        return demand_rows(X.add(by_part(spark, sf).grid(), *groups), cols)
+        return demand_rows(X.add(by_part(spark, sf).facts(), *groups), cols)
 
     return query
 
 
 lag_features = _features(
-    [f"lag_{n}" for n in X.LAGS] + ["lag_w1", "lag_w2", "lag_w4", "rmean_wday4"], X.LAG, X.SAME_WEEKDAY
+    [f"lag_{n}" for n in X.LAGS] + ["lag_w1", "lag_w2", "lag_w4", "rmean_wday4"], Y.LAG, Y.SAME_WEEKDAY
 )
-rolling_features = _features([f"{p}_{w}" for w in X.MEAN_WINDOWS for p in ("rmean", "rstd")], X.MOMENTS)
+rolling_features = _features([f"{p}_{w}" for w in X.MEAN_WINDOWS for p in ("rmean", "rstd")], Y.MOMENTS)
 rolling_extremes = _features(
-    [f"{p}_{w}" for w in X.EXTREME_WINDOWS for p in ("rmax", "rmin", "rsum")], X.EXTREMES, X.SUMS
+    [f"{p}_{w}" for w in X.EXTREME_WINDOWS for p in ("rmax", "rmin", "rsum")], Y.EXTREMES, Y.SUMS
 )
-rolling_median = _features([f"rmed_{w}" for w in X.EXTREME_WINDOWS], X.MEDIANS)
-freq_features = _features([f"dfreq_{w}" for w in X.FREQ_WINDOWS], X.FREQUENCY)
-days_since = _features(["days_since", "days_since_last"], X.DAYS_SINCE)
-ewm_features = _features(["ewm_7", "ewm_28"], X.EWM)
+rolling_median = _features([f"rmed_{w}" for w in X.EXTREME_WINDOWS], Y.MEDIANS)
+freq_features = _features([f"dfreq_{w}" for w in X.FREQ_WINDOWS], Y.FREQUENCY)
+days_since = _features(["days_since", "days_since_last"], Y.DAYS_SINCE)
+ewm_features = _features(["ewm_7", "ewm_28"], Y.EWM)
 
 
 def ratio_features(spark, sf):

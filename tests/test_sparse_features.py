@@ -41,7 +41,8 @@ def test_equal_to_the_dense_grid_on_the_days_with_facts(spark, n_days, density):
 
 
 @pytest.mark.parametrize(
-    "query", ["delivery_rolling", "ratio_features", "hf_interactions", ]
+    "query", ["delivery_rolling", "ratio_features", "rolling_features", "rolling_median", "hf_interactions", "freq_features",
+              "ewm_features", "rolling_extremes", "days_since", "lag_features"]
 )
 def test_demand_row_queries_make_no_empty_days(spark, sf, query):
     from skuflow.plans.registry import QUERIES
