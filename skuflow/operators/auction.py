@@ -26,6 +26,30 @@ CLASS = ["target_type", "segment", "heavy"]
 #: A slot of the wanted type is worth more than any difference of scores, in thousandths of a score.
 WANTED_TYPE = 10_000_000
 _GRAIN = 1000
+#: Marks a class's own slots among its values, and up to how many places are found one by one.
+_OWN, _FEW = np.iinfo(np.int64).min, 16
+
+
+def _largest(net: np.ndarray, k: int, n: int) -> tuple[np.ndarray, int]:
+    """Places of the ``k`` largest of ``n`` values, the earliest on a tie, and the value that follows them (the least,
+    if none does). Places that do not count hold ``_OWN``. Found by selection, without sorting."""
+    few = min(k, n)
+    if few <= _FEW:
+        places, worth = [], []
+        for _ in range(few):
+            places.append(int(net.argmax()))
+            worth.append(net[places[-1]])
+            net[places[-1]] = _OWN
+        following = int(net.max()) if k < n else int(worth[-1])
+        net[places] = worth
+        return np.array(places), following
+    if k >= n:
+        places = np.flatnonzero(net != _OWN)
+        return places, int(net[places].min())
+    parted = np.partition(net, [len(net) - k - 1, len(net) - k])
+    last, following = parted[len(net) - k], parted[len(net) - k - 1]
+    sure = np.flatnonzero(net > last)
+    return np.concatenate([sure, np.flatnonzero(net == last)[: k - len(sure)]]), int(following)
 
 
 def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -33,7 +57,8 @@ def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
     ``values`` are whole numbers per class and slot; ``counts``, in all no more than the slots, say how many slots each
     class needs. Slots that stay free are held by one more class, to which all are worth the same. Increments shrink
-    from a fraction of the largest difference to one; prices carry over, owners start anew.
+    from a fraction of the largest difference to one; prices carry over, owners start anew. What the slots are worth at
+    their prices is kept per class and changed only where one was sold, so a round costs no pass over prices and owners.
     """
     need, n_slots = int(counts.sum()), values.shape[1]
     if need > n_slots:
@@ -43,24 +68,27 @@ def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     scaled = np.vstack([values - values.min(), np.zeros((1, n_slots), dtype=np.int64)]) * (n_slots + 1)
     counts = np.append(counts, n_slots - need)
     price = np.zeros(n_slots, dtype=np.int64)
+    bids, bidder = np.full(n_slots, -1, dtype=np.int64), np.full(n_slots, -1)
     step = max(1, int(scaled.max()) // 4)
     while True:
         owner = np.full(n_slots, -1)
         held = np.zeros(len(counts), dtype=np.int64)
+        net = scaled - price
         while (held < counts).any():
-            bids, bidder = np.full(n_slots, -1, dtype=np.int64), np.full(n_slots, -1)
+            asked = []
             for c in np.flatnonzero(held < counts).tolist():
-                other = np.flatnonzero(owner != c)
-                net = scaled[c, other] - price[other]
-                k = int(counts[c] - held[c])
-                order = np.argsort(-net, kind="stable")
-                wanted, worth = other[order[:k]], net[order[:k]]
-                offer = price[wanted] + worth - net[order[min(k, len(order) - 1)]] + step
+                wanted, following = _largest(net[c], int(counts[c] - held[c]), n_slots - int(held[c]))
+                offer = price[wanted] + net[c, wanted] - following + step
                 better = offer > bids[wanted]
                 bids[wanted[better]], bidder[wanted[better]] = offer[better], c
-            sold = np.flatnonzero(bidder >= 0)
-            price[sold], owner[sold] = bids[sold], bidder[sold]
-            held = np.bincount(owner[owner >= 0], minlength=len(counts))
+                asked.append(wanted)
+            sold = np.unique(np.concatenate(asked))
+            winner, loser = bidder[sold], owner[sold]
+            held += np.bincount(winner, minlength=len(counts)) - np.bincount(loser[loser >= 0], minlength=len(counts))
+            price[sold], owner[sold] = bids[sold], winner
+            net[:, sold] = scaled[:, sold] - price[sold]
+            net[winner, sold] = _OWN
+            bids[sold], bidder[sold] = -1, -1
         if step == 1:
             return np.where(owner == len(counts) - 1, -1, owner)
         step = max(1, step // 5)
@@ -79,11 +107,11 @@ def _values(classes: list[dict], kinds: np.ndarray, dist: np.ndarray, z: np.ndar
 def _auctions(keys: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lots, stocks = batch.column("classes").to_pylist(), batch.column("slots").to_pylist()
+            lots, stocks = batch.column("classes"), batch.column("slots")
             source, out = [], {c: [] for c in (*CLASS, "_rank", "slot_id")}
-            for i, (classes, slots) in enumerate(zip(lots, stocks, strict=True)):
-                slots = sorted(slots, key=lambda s: s["slot_id"])
-                classes = sorted(classes, key=lambda c: tuple(c[x] for x in CLASS))
+            for i in range(batch.num_rows):  # a site's slots are unpacked one lot at a time
+                slots = sorted(stocks[i].as_py(), key=lambda s: s["slot_id"])
+                classes = sorted(lots[i].as_py(), key=lambda c: tuple(c[x] for x in CLASS))
                 values = _values(classes, *(np.array([s[k] for s in slots]) for k in ("slot_type", "dist", "z")))
                 owner = auction(values, np.array([c["n"] for c in classes]))
                 for k, c in enumerate(classes):
@@ -125,7 +153,9 @@ def assign_by_auction(
     counts = queue.where("_served").groupBy(*keys, *CLASS).agg(F.count(F.lit(1)).alias("n"))
     lots = counts.groupBy(*keys).agg(F.collect_list(F.struct(*CLASS, "n")).alias("classes"))
     types = ", ".join(f"`{k}` {queue.schema[k].dataType.simpleString()}" for k in keys)
-    won = join_on(lots, stock, ["site"]).select(*keys, "classes", "slots").mapInArrow(
+    # few small rows that each take long: left alone, adaptive execution would merge them into one task
+    spread = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    won = join_on(lots, stock, ["site"]).select(*keys, "classes", "slots").repartition(spread, *keys).mapInArrow(
         _auctions(keys), f"{types}, target_type string, segment string, heavy boolean, _rank bigint, slot_id bigint"
     )
     placed = join_on(queue, won.withColumn("_served", F.lit(True)), keys, "left", exact=[*CLASS, "_served", "_rank"]).drop("_served", "_rank")

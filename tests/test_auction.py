@@ -79,3 +79,50 @@ def test_unknown_sites_null_keys_and_no_arrivals(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: None}
     assert A.assign_by_auction(arrivals.limit(0), slots).count() == 0
     assert {r.slot_id for r in A.assign_by_auction(arrivals, slots.limit(0)).collect()} == {None}
+
+
+def _one_by_one(values, counts):
+    """The auction by full sorts of all slots in every round; also the rounds it took."""
+    n, scaled = values.shape[1], np.vstack([values - values.min(), np.zeros((1, values.shape[1]), dtype=np.int64)]) * (values.shape[1] + 1)
+    counts, price, step = np.append(counts, n - counts.sum()), np.zeros(n, dtype=np.int64), max(1, int(scaled.max()) // 4)
+    while True:
+        owner, held = np.full(n, -1), np.zeros(len(counts), dtype=np.int64)
+        while (held < counts).any():
+            bids, bidder = np.full(n, -1), np.full(n, -1)
+            for c in np.flatnonzero(held < counts):
+                other, k = np.flatnonzero(owner != c), int(counts[c] - held[c])
+                net = scaled[c, other] - price[other]
+                order = np.argsort(-net, kind="stable")
+                for s, worth in zip(other[order[:k]], net[order[:k]], strict=True):
+                    offer = price[s] + worth - net[order[min(k, len(order) - 1)]] + step
+                    if offer > bids[s]:
+                        bids[s], bidder[s] = offer, c
+            sold = np.flatnonzero(bidder >= 0)
+            price[sold], owner[sold] = bids[sold], bidder[sold]
+            held = np.bincount(owner[owner >= 0], minlength=len(counts))
+        if step == 1:
+            return np.where(owner == len(counts) - 1, -1, owner)
+        step = max(1, step // 5)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_auction_gives_the_same_slots_as_full_sorts(seed):
+    draw = np.random.default_rng(seed)
+    values = draw.integers(0, 6 if seed % 2 else 5000, (4, 90)) * 1000
+    counts = draw.multinomial(90 if seed % 4 < 2 else 61, [0.1, 0.2, 0.3, 0.4])
+    assert A.auction(values, counts).tolist() == _one_by_one(values, counts).tolist()
+
+
+def test_a_round_sorts_no_slots(monkeypatch):
+    calls = []
+    monkeypatch.setattr(A.np, "argsort", lambda *a, **k: calls.append(1))
+    A.auction(np.arange(400, dtype=np.int64).reshape(2, 200), np.array([90, 100]))
+    assert not calls
+
+
+def test_auctions_are_spread_over_tasks(spark):
+    slots = slot_table(spark, ["PICKING", "RESERVE"] * 4)
+    events = make_events(spark, [(day, 1, "in", 1.0) for day in range(40)])
+    arrivals = W.target_type(O.with_product_class(events, classes(spark, [(1, "HF", 0.5, 1.0)])))
+    plan = A.assign_by_auction(arrivals, slots)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"RepartitionByExpression [day#" in plan.replace("'", "")
