@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +58,18 @@ def book_day(events: list[tuple], free: dict[str, list[int]], queues: dict[int,
     return out
 
 
+@dataclass
+class Stock:
+    """What a site holds while its due days are booked: slots best first with their type, taken slots, queues, and
+    which of them have changed."""
+
+    ranked: list[tuple[int, str]]
+    taken: dict[int, int | None]
+    queues: dict[int | None, list[int]]
+    touched_slots: set[int] = field(default_factory=set)
+    touched_skus: set[int | None] = field(default_factory=set)
+
+
 class Warehouse(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -84,28 +98,49 @@ class Warehouse(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ended = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS - 1
+        # every day the watermark has passed is booked at its first timer, so the open events are read once, not once a day
+        ended = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // _DAY_MS - 1
         waiting = list(self.open.get()) if self.open.exists() else []
         due = sorted((e for e in waiting if e[2] <= ended), key=lambda e: (e[2], e[1], e[0]))
         if not due:
             return
         rest = [tuple(e) for e in waiting if e[2] > ended]
+        del waiting
         if rest:
             self.open.put(rest)
         else:
             self.open.clear()
-        for day in sorted({e[2] for e in due}):
-            yield self._book(key[0], day, [e for e in due if e[2] == day])
-
-    def _book(self, site: int | None, day: int, due: list) -> pd.DataFrame:
-        taken = {k[0] for k in self.taken.keys()}
-        free: dict[str, list[tuple]] = {k: [] for k in _TYPES}
-        for (slot,), (kind, score) in self.slots.iterator():
-            if slot not in taken:
-                free[kind].append((-score, slot))
-        lists = {k: [s for _, s in sorted(v)] for k, v in free.items()}
+        stock = self._load()
+        for day, events in groupby(due, key=lambda e: e[2]):
+            yield self._book(stock, key[0], day, list(events))
+        self._store(stock)
+
+    def _load(self) -> Stock:
+        """The site's state, at most an entry per slot of each kind: read and written once for all days that are due."""
+        ranked = sorted((-score, slot, kind) for (slot,), (kind, score) in self.slots.iterator())
+        taken = {k[0]: v[0] for k, v in self.taken.iterator()}
+        queues = {k[0]: list(v[0]) for k, v in self.queues.iterator()}
+        return Stock([(slot, kind) for _, slot, kind in ranked], taken, queues)
+
+    def _store(self, stock: Stock) -> None:
+        for slot in stock.touched_slots:
+            if slot in stock.taken:
+                self.taken.updateValue((slot,), (stock.taken[slot],))
+            elif self.taken.containsKey((slot,)):
+                self.taken.removeKey((slot,))
+        for sku in stock.touched_skus:
+            if stock.queues.get(sku):
+                self.queues.updateValue((sku,), (stock.queues[sku],))
+            elif self.queues.containsKey((sku,)):
+                self.queues.removeKey((sku,))
+
+    def _book(self, stock: Stock, site: int | None, day: int, due: list) -> pd.DataFrame:
+        lists: dict[str, list[int]] = {k: [] for k in _TYPES}
+        for slot, kind in stock.ranked:
+            if slot not in stock.taken:
+                lists[kind].append(slot)
         events = [(e[0], e[3], e[4], e[5]) for e in due]
-        before = {sku: list(self.queues.getValue((sku,))[0]) for sku in {e[1] for e in events if e[1] is not None} if self.queues.containsKey((sku,))}
+        before = {sku: stock.queues[sku] for sku in {e[1] for e in events if e[1] is not None} if sku in stock.queues}
         queues = {sku: deque(v) for sku, v in before.items()}
         slots = book_day(events, lists, queues)
         for sku, queue in queues.items():
@@ -113,13 +148,15 @@ class Warehouse(StatefulProcessor):
             if new == old:
                 continue
             for s in set(old) - set(new):
-                self.taken.removeKey((s,))
+                stock.taken.pop(s, None)
             for s in set(new) - set(old):
-                self.taken.updateValue((s,), (sku,))
+                stock.taken[s] = sku
+            stock.touched_slots |= set(old) ^ set(new)
             if new:
-                self.queues.updateValue((sku,), (new,))
+                stock.queues[sku] = new
             elif old:
-                self.queues.removeKey((sku,))
+                stock.queues.pop(sku)
+            stock.touched_skus.add(sku)
         frame = pd.DataFrame(events, columns=["event_id", "sku", "direction", "target_type"]).drop(columns="target_type")
         frame["day_no"], frame["site"], frame["slot_id"] = day, site, pd.array(slots, dtype="Int64")
         frame["success"] = [s is not None for s in slots]
