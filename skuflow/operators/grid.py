@@ -65,8 +65,17 @@ def fact_cells(
     measures: Sequence[str] = ("demand",),
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """The cells of ``densify`` that hold a row of ``sparse``, with the same columns."""
-    placed = sparse.withColumn("_start", start).where(F.col("day").between(F.col("_start"), end))
+    """The cells of ``densify`` that hold a row of ``sparse``, with the same columns and ``_before``.
+
+    A SKU that also has a row without a day has its empty days before the first dated one twice in the dense grid (or
+    two, if there are none): ``_before`` counts these, as rows that frames and lags there can reach.
+    """
+    whole = Window.partitionBy("sku")
+    placed = sparse.withColumn("_start", start).withColumns(
+        {"_undated": F.max(F.col("day").isNull()).over(whole), "_lead": F.datediff(F.min("day").over(whole), "_start")}
+    )
+    placed = placed.where(F.col("day").between(F.col("_start"), end))
+    before = F.when(F.col("_undated"), F.when(F.col("_lead") > 0, F.col("_lead")).otherwise(2)).otherwise(0)
     idx = F.datediff("day", "_start")
     return placed.select(
         "sku",
@@ -74,6 +83,7 @@ def fact_cells(
         idx.alias("day_no"),
         F.floor(idx / EPOCH_DAYS).cast("int").alias("epoch"),
         *[F.coalesce(m, F.lit(0.0)).alias(m) for m in measures],
+        before.alias("_before"),
         *carry,
     )
 

@@ -27,7 +27,7 @@ def _sum(c: str, w: int) -> Column:
 def _lag(c: str, n: int) -> Column:
     """Value ``n`` days ago: 0 on a day without facts, null before the first day."""
     day = Window.partitionBy("sku").orderBy("day_no").rangeBetween(-n, -n)
-    return F.when(F.col("day_no") >= n, F.coalesce(F.max(c).over(day), F.lit(0.0)))
+    return F.when(F.col("day_no") + F.col("_before") >= n, F.coalesce(F.max(c).over(day), F.lit(0.0)))
 
 
 LAG = [lambda: {f"lag_{n}": _lag("demand", n) for n in X.LAGS}]
@@ -71,7 +71,7 @@ def _extremes() -> dict[str, Column]:
     """A window with an empty day also holds a 0."""
     cols: dict[str, Column] = {}
     for w in X.EXTREME_WINDOWS:
-        zero = F.when(F.count("demand").over(past(w)) < X._rows_seen(w), F.lit(0.0))
+        zero = F.when(F.count("demand").over(past(w)) < F.least(F.col("day_no") + F.col("_before"), F.lit(w)), F.lit(0.0))
         cols[f"rmax_{w}"] = F.greatest(F.max("demand").over(past(w)), zero)
         cols[f"rmin_{w}"] = F.least(F.min("demand").over(past(w)), zero)
     return cols

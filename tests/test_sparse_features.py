@@ -49,3 +49,14 @@ def test_demand_row_queries_make_no_empty_days(spark, sf, query):
 
     plan = QUERIES[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(_from" not in plan
+
+
+def test_products_with_a_line_without_a_day_keep_their_zeros(spark):
+    rows = [("a", None, 3.0), ("a", D0, 5.0), ("a", D0 + timedelta(days=3), 6.0), ("b", None, 1.0), ("b", D0 + timedelta(days=10), 2.0), ("c", D0, 1.0)]
+    daily = spark.createDataFrame(rows, "sku string, day date, demand double")
+    start, end = G.day_bounds(daily)
+    names = ["LAG", "EXTREMES", "SUMS", "FREQUENCY", "DAYS_SINCE"]
+    dense = X.add(G.demand_grid(D.spread_by_sku(daily, 2), start, end), *[getattr(X, n) for n in names])
+    facts = X.add(G.demand_grid(daily, start, end, empty_days=False), *[getattr(Y, n) for n in names])
+    want = sorted(map(str, dense.where("has_demand = 1").select(sorted(dense.columns)).collect()))
+    assert sorted(map(str, facts.select(sorted(dense.columns)).collect())) == want
