@@ -125,4 +125,4 @@ def test_auctions_are_spread_over_tasks(spark):
     events = make_events(spark, [(day, 1, "in", 1.0) for day in range(40)])
     arrivals = W.target_type(O.with_product_class(events, classes(spark, [(1, "HF", 0.5, 1.0)])))
     plan = A.assign_by_auction(arrivals, slots)._jdf.queryExecution().optimizedPlan().toString()
-    assert f"RepartitionByExpression [day#" in plan.replace("'", "")
+    assert "RepartitionByExpression [day#" in plan.replace("'", "")

@@ -94,3 +94,49 @@ def test_a_day_books_overflow_behind_the_other_types_own_arrivals():
     queues: dict = {}
     assert LW.book_day(events, {"PICKING": [10], "RESERVE": [20, 21, 22]}, queues) == [10, 22, 20, 21, 10, None, None]
     assert {k: list(v) for k, v in queues.items()} == {7: [22], 8: [20], 9: [21]}
+
+
+def test_all_due_days_are_booked_from_one_reading_of_the_state():
+    from collections import Counter
+    from types import SimpleNamespace
+
+    from skuflow.streaming import warehouse as live
+
+    calls = Counter()
+
+    class Map(dict):
+        def iterator(self):
+            calls["read"] += 1
+            return iter([((k,), v) for k, v in self.items()])
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k[0]] = v
+
+        def removeKey(self, k):  # noqa: N802
+            del self[k[0]]
+
+        def containsKey(self, k):  # noqa: N802
+            return k[0] in self
+
+    class Events(list):
+        def get(self):
+            calls["open"] += 1
+            return iter(list(self))
+
+        def exists(self):
+            return bool(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    site = live.Warehouse()
+    site.slots, site.taken, site.queues = Map({1: ("PICKING", 2.0), 2: ("PICKING", 1.0)}), Map(), Map()
+    ways = [(1, "in"), (1, "in"), (2, "out"), (2, "in"), (3, "out"), (50, "out")]
+    site.open = Events((i, i, day, 7, way, "PICKING") for i, (day, way) in enumerate(ways))
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10 * live._DAY_MS)
+    frames = list(site.handleExpiredTimer((0,), now, SimpleNamespace(getExpiryTimeInMs=lambda: 2 * live._DAY_MS)))
+    assert [f["day_no"].iloc[0] for f in frames] == [1, 2, 3]
+    # slot 1 is let go on day 2, after that day's free slots were counted: the arrival of day 2 finds none
+    assert [None if v is live.pd.NA else v for f in frames for v in f["slot_id"]] == [1, 2, 1, None, 2]
+    assert calls == {"open": 1, "read": 3}
+    assert not site.taken and not site.queues and [e[2] for e in site.open] == [50]
