@@ -1,19 +1,21 @@
 """Pick orders: locations, chariot split, tours, totals, congestion.
 
-An order may be arbitrarily large, so no step gathers an order's items. The
-split works on running weights, and a tour is planned over the distinct
-positions an order visits, which the building bounds, not over its items.
+Orders of usual size are shuffled once by order, and split (up to BLOCK_ITEMS
+items) and toured (up to ROW_ITEMS) within their task. An order may be
+arbitrarily large, though, and no step gathers the items of a larger one: its
+split works on running weights, and its tour is planned over the distinct
+positions it visits, which the building bounds, not over its items.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.labels import EXPEDITION, route_text
-from skuflow.operators.prefix import join_on, numbered, running
+from skuflow.operators.prefix import join_on, numbered, running, spread
 from skuflow.session import materialize
 
 CAPACITY_KG = 300.0
@@ -21,6 +23,8 @@ MAX_CHARIOTS = 3
 DEFAULT_WEIGHT_KG = 0.5
 NAIVE_STEP = 16
 BLOCK_ITEMS = 50_000
+ROW_ITEMS = 200
+CHAINED_CHARIOTS = 8
 CONGESTED_PICKS = 3
 CONGESTED_MOVES = 5
 
@@ -42,12 +46,15 @@ def resolve_slots(items: DataFrame, stored: DataFrame, slots: DataFrame) -> Data
     """
     first_picking = slots.where("slot_type = 'PICKING'").agg(F.min("slot_id").alias("s")).scalar()
     given = F.nullif(F.col("slot_id"), F.lit(0).cast("bigint"))
-    return (
-        items.join(stored.select("sku", "stored_slot"), "sku", "left")
+    named = ["sku", *[c for c in items.columns if c != "sku"]]
+    # only lines without a slot meet the stock
+    missing = (
+        items.where(given.isNull())
+        .join(stored.select("sku", "stored_slot"), "sku", "left")
         .withColumn("_default", first_picking)
-        .withColumn("slot_id", F.coalesce(given, "stored_slot", "_default", F.lit(0).cast("bigint")))
-        .drop("stored_slot", "_default")
+        .withColumn("slot_id", F.coalesce("stored_slot", "_default", F.lit(0).cast("bigint")))
     )
+    return items.where(given.isNotNull()).withColumn("slot_id", given).select(named).unionByName(missing.select(named))
 
 
 def locate(items: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,6 +64,19 @@ def locate(items: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.where("x IS NOT NULL"), joined.where("x IS NULL").select(items.columns)
 
 
+def whole_orders(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of orders with at most ``limit`` rows, partitioned by order; rows of larger orders, or None).
+
+    Reads ``rows`` twice, so they are best a written table. A null order is an order of its own.
+    """
+    sizes = rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (most or 0) <= limit:
+        return spread(rows, ["order_id"], total or 0), None
+    large = materialize(sizes.where(F.col("_n") > limit).select("order_id"), "large")
+    return spread(join_on(rows, large, ["order_id"], "left_anti"), ["order_id"], total), join_on(rows, large, ["order_id"], "left_semi")
+
+
 def split_chariots(
     items: DataFrame, order: tuple[str, ...], capacity_kg: float = CAPACITY_KG, max_chariots: int = MAX_CHARIOTS
 ) -> DataFrame:
@@ -64,16 +84,45 @@ def split_chariots(
 
     A chariot ends before the first item that would overload it, unless it is
     still empty. So each chariot's end is the first item, after its own first
-    item, where the running weight since its start exceeds the capacity. The
-    running weights are written once; every boundary is one small written table,
+    item, where the running weight since its start exceeds the capacity. Weights
+    are whole grams, so running sums are exact. Orders of usual size are split
+    by windows over one sort, one more window per chariot; larger ones, and more
+    than CHAINED_CHARIOTS chariots, by written boundaries.
+    """
+    grams = F.round(F.coalesce("weight_kg", F.lit(DEFAULT_WEIGHT_KG)) * F.col("qty") * 1000).cast("bigint")
+    weighed = items.withColumn("grams", grams)
+    if max_chariots > CHAINED_CHARIOTS:
+        return _split_by_boundaries(weighed, order, capacity_kg, max_chariots)
+    usual, large = whole_orders(materialize(weighed, "items"), BLOCK_ITEMS)
+    split = _split_by_windows(usual, order, capacity_kg, max_chariots)
+    return split if large is None else split.unionByName(_split_by_boundaries(large, order, capacity_kg, max_chariots))
+
+
+def _split_by_windows(items: DataFrame, order: tuple[str, ...], capacity_kg: float, max_chariots: int) -> DataFrame:
+    """Split of ``items`` (with grams) where an order fits into a task."""
+    along = Window.partitionBy("order_id").orderBy(*order)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbers = {"item_no": F.row_number().over(along).cast("bigint"), "_cum": F.sum("grams").over(along.rowsBetween(Window.unboundedPreceding, 0))}
+    run = items.withColumns(numbers)
+    chariot, first, base = F.lit(1).cast("bigint"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    for n in range(1, max_chariots):
+        over = (F.col("item_no") > first) & (F.col("_cum") - base > round(capacity_kg * 1000))
+        passing = F.struct("item_no", (F.col("_cum") - F.col("grams")).alias("base"))
+        run = run.withColumn(f"_end{n}", F.min(F.when(over, passing)).over(whole))
+        first, base = F.col(f"_end{n}.item_no"), F.col(f"_end{n}.base")
+        chariot = chariot + F.coalesce((F.col("item_no") >= first).cast("bigint"), F.lit(0))
+    return run.select(*items.columns, "item_no", chariot.alias("chariot"))
+
+
+def _split_by_boundaries(items: DataFrame, order: tuple[str, ...], capacity_kg: float, max_chariots: int) -> DataFrame:
+    """Split of ``items`` (with grams) without gathering an order.
+
+    The running weights are written once; every boundary is one small written table,
     found from the one before, so the plan does not grow with the chariots.
     Boundaries meet items per block of items, so that a huge order is not one
-    join key. Weights are whole grams, so running sums are exact.
+    join key.
     """
-    grams = F.round(F.coalesce("weight_kg", F.lit(DEFAULT_WEIGHT_KG)) * F.col("qty") * 1000).cast("bigint")
-    run = running(
-        items.withColumn("grams", grams), ["order_id"], order, {"item_no": F.lit(1).cast("bigint"), "_cum": F.col("grams")}
-    )
+    run = running(items, ["order_id"], order, {"item_no": F.lit(1).cast("bigint"), "_cum": F.col("grams")})
     run = materialize(run.withColumn("_block", F.floor(F.col("item_no") / BLOCK_ITEMS)), "weights")
     limit = round(capacity_kg * 1000)
     one = F.lit(1).cast("bigint")
@@ -105,47 +154,114 @@ def _per_block(bounds: DataFrame, first: str) -> DataFrame:
 
 
 _LEG = "abs(p.x - s.x) + abs(p.y - s.y) + abs(p.z - s.z)"
-_STOP = "struct<first_no: bigint, x: bigint, y: bigint, z: bigint, n: bigint>"
-_VISIT = "struct<seq: bigint, x: bigint, y: bigint, z: bigint, dist: bigint, before: bigint, from_level: bigint>"
+_STOP = "first_no: bigint, x: bigint, y: bigint, z: bigint, n: bigint, skus: bigint"
+_VISIT = "seq: bigint, x: bigint, y: bigint, z: bigint, dist: bigint, before: bigint, from_level: bigint"
+_ITEM = "item_no: bigint, x: bigint, y: bigint, z: bigint, sku: bigint, code: string, zone: string, grams: bigint"
+
 
+def _nearest_neighbour(number: str, size: str, carried: dict[str, str]) -> Column:
+    """Fold over the array ``stops`` of one chariot: always the nearest next, the least ``number`` on a tie.
 
-def _nearest_neighbour() -> Column:
-    """Fold over one chariot's positions: always the nearest next, the earliest item on a tie."""
+    ``size`` is how many items a stop takes; ``carried`` names more fields, with their types, that a visit keeps.
+    """
+    kept = "".join(f", p.{c}" for c in carried)
+    types = "".join(f", {c}: {t}" for c, t in carried.items())
     start = (
         f"named_struct('x', {EXPEDITION[0]}L, 'y', {EXPEDITION[1]}L, 'z', {EXPEDITION[2]}L, 'done', 0L, "
-        f"'left', stops, 'tour', cast(array() AS array<{_VISIT}>))"
+        f"'left', stops, 'tour', cast(array() AS array<struct<{_VISIT}{types}>>))"
     )
-    nearest = f"array_min(transform(s.left, p -> struct({_LEG} AS dist, p.first_no, p.x, p.y, p.z, p.n)))"
+    nearest = f"array_min(transform(s.left, p -> struct({_LEG} AS dist, p.{number} AS no, p.x, p.y, p.z, {size} AS n{kept})))"
     visit = (
-        "named_struct('seq', k, 'x', m.x, 'y', m.y, 'z', m.z, 'dist', m.dist, 'before', s.done, 'from_level', s.z)"
+        "named_struct('seq', k, 'x', m.x, 'y', m.y, 'z', m.z, 'dist', m.dist, 'before', s.done, 'from_level', s.z"
+        + "".join(f", '{c}', m.{c}" for c in carried)
+        + ")"
     )
     step = (
         f"transform(array({nearest}), m -> named_struct('x', m.x, 'y', m.y, 'z', m.z, 'done', s.done + m.n, "
-        f"'left', filter(s.left, p -> p.first_no != m.first_no), 'tour', array_append(s.tour, {visit})))[0]"
+        f"'left', filter(s.left, p -> p.{number} != m.no), 'tour', array_append(s.tour, {visit})))[0]"
     )
     return F.expr(f"aggregate(sequence(1L, cast(size(stops) AS bigint)), {start}, (s, k) -> {step}, s -> s.tour)")
 
 
-def tour_stops(located: DataFrame) -> DataFrame:
-    """(order_id, chariot, seq, x, y, z, dist, before): positions in visiting order.
-
-    All items at one position are 0 apart and are taken together, so the greedy
-    tour over items equals the greedy tour over positions.
-    """
+def _tours(located: DataFrame) -> DataFrame:
     positions = located.groupBy("order_id", "chariot", "x", "y", "z").agg(
-        F.min("item_no").alias("first_no"), F.count(F.lit(1)).alias("n")
+        F.min("item_no").alias("first_no"), F.count(F.lit(1)).alias("n"), F.count("sku").alias("skus")
     )
-    stops = F.collect_list(F.struct("first_no", "x", "y", "z", "n")).cast(f"array<{_STOP}>")
+    stops = F.collect_list(F.struct("first_no", "x", "y", "z", "n", "skus")).cast(f"array<struct<{_STOP}>>")
     return (
         positions.groupBy("order_id", "chariot")
         .agg(stops.alias("stops"))
-        .select("order_id", "chariot", F.inline(_nearest_neighbour()))
+        .select("order_id", "chariot", _nearest_neighbour("first_no", "p.n", {"skus": "bigint"}).alias("tour"))
     )
 
 
+def chariot_tours(located: DataFrame) -> DataFrame:
+    """(order_id, chariot, tour): one row per chariot with its positions in visiting order.
+
+    All items at one position are 0 apart and are taken together, so the greedy
+    tour over items equals the greedy tour over positions.
+    """
+    usual, large = whole_orders(located, BLOCK_ITEMS)
+    return _tours(usual) if large is None else _tours(usual).unionByName(_tours(large))
+
+
+def tour_stops(located: DataFrame) -> DataFrame:
+    """(order_id, chariot, seq, x, y, z, dist, before, from_level, skus): positions in visiting order; skus counts the
+    items with a product that are taken there."""
+    return chariot_tours(located).select("order_id", "chariot", F.inline("tour"))
+
+
 def pick_tours(located: DataFrame) -> DataFrame:
     """One row per pick, plus one return row per chariot, with step number and distance."""
-    stops = tour_stops(located)
+    usual, large = whole_orders(located, ROW_ITEMS)
+    steps = _steps_in_rows(usual)
+    return steps if large is None else steps.unionByName(_steps_by_position(large))
+
+
+def _steps_in_rows(located: DataFrame) -> DataFrame:
+    """Steps where a chariot's items fit into a row, which is folded item by item."""
+    items = F.array_sort(F.collect_list(F.struct("item_no", "x", "y", "z", "sku", "code", "zone", "grams"))).cast(f"array<struct<{_ITEM}>>")
+    # items are told apart by their place, as a slot listed twice gives an item number twice
+    placed = F.transform(items, lambda p, i: p.withField("place", i))
+    carried = {"sku": "bigint", "code": "string", "zone": "string", "grams": "bigint"}
+    tours = (
+        located.groupBy("order_id", "chariot")
+        .agg(placed.alias("stops"))
+        .select("order_id", "chariot", _nearest_neighbour("place", "1L", carried).alias("tour"))
+    )
+
+    def pick(v: Column) -> Column:
+        return F.struct(
+            v["seq"].alias("step"),
+            F.lit("pick").alias("action"),
+            v["sku"].alias("sku"),
+            v["code"].alias("code"),
+            v["zone"].alias("zone"),
+            v["z"].alias("level"),
+            v["from_level"].alias("from_level"),
+            v["dist"].cast("double").alias("distance"),
+            (v["grams"] / 1000).alias("kg"),
+        )
+
+    home = tuple(F.lit(v) for v in EXPEDITION)
+    last = F.element_at("tour", -1)
+    back = F.struct(
+        (last["seq"] + 1).alias("step"),
+        F.lit("return").alias("action"),
+        F.lit(None).cast("bigint").alias("sku"),
+        F.lit("EXPEDITION").alias("code"),
+        F.lit("B7-N0").alias("zone"),
+        F.lit(0).cast("bigint").alias("level"),
+        last["z"].alias("from_level"),
+        manhattan((last["x"], last["y"], last["z"]), home).cast("double").alias("distance"),
+        F.lit(None).cast("double").alias("kg"),
+    )
+    return tours.select("order_id", "chariot", F.inline(F.concat(F.transform("tour", pick), F.array(back))))
+
+
+def _steps_by_position(located: DataFrame) -> DataFrame:
+    """Steps where a chariot may be of any size: its items are numbered and meet the stops of its tour."""
+    stops = _tours(located).select("order_id", "chariot", F.inline("tour"))
     at = ["order_id", "chariot", "x", "y", "z"]
     in_place = numbered(located, at, ["item_no"], "_at")
     picks = join_on(in_place, stops, at).select(
@@ -206,12 +322,16 @@ def order_totals(located: DataFrame) -> DataFrame:
     The distance is that between the positions, and the way home.
     """
     home = tuple(F.lit(v) for v in EXPEDITION)
-    tours = tour_stops(located).groupBy("order_id", "chariot").agg(F.sum("dist").alias("out"), F.max_by(F.struct("x", "y", "z"), "seq").alias("last"))
-    back = manhattan((F.col("last.x"), F.col("last.y"), F.col("last.z")), home)
-    ways = tours.groupBy("order_id").agg(F.max("chariot").alias("chariots"), F.sum((F.col("out") + back).cast("double")).alias("distance"))
-    items = located.groupBy("order_id").agg(F.count("sku").alias("items"))
+    last = F.element_at("tour", -1)
+    added = lambda field: F.aggregate("tour", F.lit(0).cast("bigint"), lambda total, v: total + v[field])
+    ways = (
+        chariot_tours(located)
+        .select("order_id", "chariot", added("skus").alias("n"), (added("dist") + manhattan((last["x"], last["y"], last["z"]), home)).alias("way"))
+        .groupBy("order_id")
+        .agg(F.max("chariot").alias("chariots"), F.sum("n").alias("items"), F.sum(F.col("way").cast("double")).alias("distance"))
+    )
     naive = F.col("items") * NAIVE_STEP
-    return join_on(ways, items, ["order_id"]).select(
+    return ways.select(
         "order_id", "chariots", "items", "distance", ((naive - F.col("distance")) / naive * 100).alias("efficiency_pct")
     )
 

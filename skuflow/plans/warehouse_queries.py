@@ -19,6 +19,7 @@ from skuflow.operators import ledger as K
 from skuflow.operators import outcomes as O
 from skuflow.operators import picking as P
 from skuflow.operators import slots as W
+from skuflow.operators.prefix import spread
 from skuflow.plans.demand_queries import by_part
 from skuflow.session import materialize, new_shared_path
 from skuflow.sources import tables as S
@@ -202,11 +203,13 @@ def _items(spark, sf) -> DataFrame:
 
 def location_fallback(spark, sf):
     """Slot per pick line: a given slot, else the product's first stored slot, else the first PICKING slot."""
-    located, unknown = P.locate(_items(spark, sf), S.slots(spark, sf))
+    items = materialize(_items(spark, sf), "items")
+    located, unknown = P.locate(items, S.slots(spark, sf))
     both = located.select("order_id", "line_no", "sku", "slot_id", F.lit(True).alias("known")).unionByName(
         unknown.select("order_id", "line_no", "sku", "slot_id", F.lit(False).alias("known"))
     )
-    return both.groupBy("sku", "slot_id", "known").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["sku", "slot_id", "known"]
+    return spread(both.select(keys), keys, items.count()).groupBy(keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _split(spark, sf) -> DataFrame:

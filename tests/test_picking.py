@@ -109,3 +109,59 @@ def test_zone_congestion(spark):
     steps = spark.createDataFrame(rows, "order_id long, chariot long, step long, action string, zone string, level long")
     assert [(r.order_id, r.picks) for r in P.zone_congestion(steps).collect()] == [(1, 4)]
     assert P.zone_congestion(steps.withColumn("level", F.lit(1))).count() == 1
+
+
+def tours_of(located):
+    return sorted(map(tuple, P.pick_tours(located).drop("code", "zone").collect()), key=str)
+
+
+def test_large_orders_are_planned_like_usual_ones(spark, orders, monkeypatch):
+    rows, places = orders
+    rows = [(None if r[0] == 2 else r[0], *r[1:]) for r in rows if r[0] < 8 and r[1] < 60]
+    twice = slots(spark, places).unionByName(slots(spark, {4: places[4]}))  # a slot listed twice
+    located, _ = P.locate(P.split_chariots(spark.createDataFrame(rows, ITEM), ("line_no",)), twice)
+    located = located.cache()
+    steps, stops, totals = tours_of(located), P.tour_stops(located).collect(), P.order_totals(located).collect()
+    monkeypatch.setattr(P, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(P, "ROW_ITEMS", 4)
+    assert any(s[0] is None for s in steps)
+    kept = lambda some: [s[:3] + s[5:] for s in some]  # noqa: E731  a line met twice stands twice, whichever copy is first
+    assert sorted(kept(tours_of(located)), key=str) == sorted(kept(steps), key=str)
+    assert sorted(P.tour_stops(located).collect(), key=str) == sorted(stops, key=str)
+    assert sorted(P.order_totals(located).collect(), key=str) == sorted(totals, key=str)
+    again, _ = P.locate(P.split_chariots(spark.createDataFrame(rows, ITEM), ("line_no",)), twice)
+    assert sorted(again.select(located.columns).collect(), key=str) == sorted(located.collect(), key=str)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_usual_orders_are_shuffled_once(spark, orders, tmp_path):
+    rows, places = orders
+    located, _ = P.locate(P.split_chariots(spark.createDataFrame(rows, ITEM), ("line_no",)), slots(spark, places))
+    located.write.parquet(str(tmp_path / "located"))
+    located = spark.read.parquet(str(tmp_path / "located"))
+    assert exchanges(P.zone_congestion(P.pick_tours(located))) == 1
+    assert exchanges(P.chariot_totals(P.pick_tours(located))) == 1
+    assert exchanges(P.nested_tours(P.tour_stops(located))) == 1
+    assert exchanges(P.order_totals(located)) == 1
+    split = P.split_chariots(spark.createDataFrame(rows, ITEM), ("line_no",))
+    assert exchanges(split) == 1
+
+
+def test_only_lines_without_a_slot_meet_the_stock(spark):
+    items = spark.createDataFrame([(1, 1, 10, 3, 1.0, 1.0), (1, 2, 10, 0, 1.0, 1.0), (1, 3, None, None, 1.0, 1.0)], ITEM)
+    stored = spark.createDataFrame([(10, 9)], "sku long, stored_slot long")
+    got = P.resolve_slots(items, stored, slots(spark, {5: (1, 1, 0)}))
+    assert got.columns == ["sku", "order_id", "line_no", "slot_id", "qty", "weight_kg"]
+    assert sorted((r.line_no, r.slot_id) for r in got.collect()) == [(1, 3), (2, 9), (3, 5)]
+
+
+def test_a_task_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    from skuflow.operators import prefix
+
+    monkeypatch.setattr(prefix, "ROWS_PER_TASK", 100)
+    df = spark.range(2000).withColumn("k", F.col("id") % 500)
+    counted = prefix.spread(df, ["k"], 2000).groupBy("k").count()
+    assert counted.rdd.getNumPartitions() == 21 and counted.count() == 500
