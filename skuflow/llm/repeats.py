@@ -152,6 +152,20 @@ def _stretches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _in_order(content: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Contents of the contexts that begin there, one after the other. It is copied a block at a time, since the places of
+    all units would take many times the room of the units."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=content.dtype)
+    first, done = 0, 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(ends, done + BLOCK // 4, side="right")))
+        own = slice(first, last)
+        out[done : ends[last - 1]] = content[_stretches(begin[own], begin[own] + size[own])]
+        first, done = last, int(ends[last - 1])
+    return out
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
@@ -379,13 +393,15 @@ def _indexed(index: IndexFunction, dtype: type):
                 contents.append(np.frombuffer(body, dtype, offset=40 * n))
             m, c, weight, left, size = np.concatenate(heads, axis=1)
             content = np.concatenate(contents)
+            del heads, contents
             left, size, weight = left.astype(np.int64), size.astype(np.int64), weight.astype(np.int64)
             begin = np.cumsum(size) - size
             order = np.lexsort((c, m))
             order = order[np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (m[order][1:] != m[order][:-1])])]
-            content = content[_stretches(begin[order], begin[order] + size[order])]
+            content = _in_order(content, begin[order], size[order])
             m, c, weight, left, size = m[order], c[order], weight[order], left[order], size[order]
             before, after = index(m, weight, left, size, content)
+            del content
             by = np.argsort(c)
             keys = c[by]
             for part, data in zip(waiting["part"].to_pylist(), waiting["data"].to_pylist(), strict=True):

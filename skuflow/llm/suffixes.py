@@ -28,7 +28,7 @@ UNITS = 1 << 21
 
 def _buckets(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Identifiers of equal keys, from 0; -1 where the bucket weighs less than two."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # the order of equal keys tells nothing
     new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     heavy = np.add.reduceat(weight[order], np.flatnonzero(new)) >= 2
     name = np.where(heavy, np.cumsum(heavy) - 1, -1)
@@ -42,14 +42,14 @@ def refine(window: int):
 
     def index(group: np.ndarray, weight: np.ndarray, left: np.ndarray, size: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(size)), size)
-        offset = np.arange(len(content)) - (begin + left)[owner]
-        end = (begin + size)[owner]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)  # a run is far shorter than 2^31
+        offset = np.arange(len(content), dtype=np.int32) - (begin + left).astype(np.int32)[owner]
+        end = (begin + size).astype(np.int32)[owner]
         depth = max(1, window // 8)
         before, after = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         at = np.flatnonzero(np.arange(len(content)) + depth <= end)
         grams = Rolling(BYTE_VALUE[content]).fixed(depth)[at]
-        keys = mix(grams + (group[owner[at]] * (1 << 20) + offset[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = mix(grams + (group[owner[at]].astype(np.int64) * (1 << 20) + offset[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         name = np.full(len(content), -1, dtype=np.int64)
         name[at] = _buckets(keys, weight[owner[at]])
         while depth < window:

@@ -149,3 +149,20 @@ def test_large_groups_never_reach_one_index(spark, tmp_path, kind, window, piece
     units = [t.encode().split() if kind == "words" else t.encode() for t in texts]
     want = Counter(removed(units, window, b" " if kind == "words" else None))
     assert Counter((r["n_units"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
+def test_contents_are_put_in_order_without_places_of_all_units(monkeypatch):
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    size = draw.integers(0, 340, 40_000)
+    content = draw.integers(0, 256, int(size.sum())).astype(np.uint8)
+    begin = np.cumsum(size) - size
+    order = draw.permutation(len(size))
+    tracemalloc.start()
+    got = repeats._in_order(content, begin[order], size[order])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tobytes() == b"".join(content[begin[i] : begin[i] + size[i]].tobytes() for i in order)
+    assert peak < 5 * len(content)  # at once it takes 25 times the units
+    assert len(repeats._in_order(content[:0], begin[:0], size[:0])) == 0
