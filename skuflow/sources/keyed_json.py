@@ -31,10 +31,15 @@ from skuflow.sources.paths import data_files, open_uri
 PIECE = 16 << 20
 #: How much is read at a time beyond the end of a piece, and entries per batch.
 MORE, BATCH = 1 << 16, 4096
+#: Bytes of a piece that are looked at together.
+BLOCK = 1 << 18
 
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
 _ENTRY = re.compile(rb'\s*("(?:[^"\\]|\\.)*")\s*:(.*)\Z', re.DOTALL)
 _MARK = b"\xef\xbb\xbf"
+#: Bytes that are looked at, and how they change the depth.
+_SHOWN = np.isin(np.arange(256), list(b'"{}[],'))
+_CHANGE = np.isin(np.arange(256), list(b"{[")).astype(np.int64) - np.isin(np.arange(256), list(b"}]"))
 
 
 # ------------------------------------------------------------------ first pass
@@ -58,17 +63,24 @@ def _escaped(file, at: int) -> bool:
     return run % 2 == 1
 
 
-def _marks(data: bytes, escaped: bool, in_string: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Per byte its value (0 inside strings) and the change of depth; and whether the end lies inside a string."""
-    if escaped:
-        data = b" " + data[1:]
-    if b"\\" in data:
-        data = _ESCAPE.sub(b"  ", data)
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.bitwise_xor.accumulate((raw == ord('"')).astype(np.uint8)) ^ np.uint8(in_string)
-    shown = np.where(inside == 1, np.uint8(0), raw)
-    step = ((shown == ord("{")) | (shown == ord("["))).astype(np.int32) - ((shown == ord("}")) | (shown == ord("]")))
-    return shown, step, bool(inside[-1]) if len(raw) else in_string
+def _marks(data: bytes, escaped: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Brackets and commas of ``data``, a block at a time, so that memory stays small beside the data: their places, the
+    bytes, whether the quotes before them are odd in number, and whether those up to the end of the block are."""
+    odd = False
+    for at in range(0, len(data), BLOCK):
+        block = data[at : at + BLOCK]
+        if escaped:
+            block = b" " + block[1:]
+        if b"\\" in block:
+            block = _ESCAPE.sub(b"  ", block)
+        escaped = block.endswith(b"\\")
+        raw = np.frombuffer(block, np.uint8)
+        place = np.flatnonzero(_SHOWN[raw])
+        mark = raw[place]
+        quote = mark == ord('"')
+        before = np.bitwise_xor.accumulate(quote) ^ odd
+        odd = bool(before[-1]) if len(before) else odd
+        yield at + place[~quote], mark[~quote], before[~quote], odd
 
 
 @dataclass
@@ -97,9 +109,11 @@ class _PieceReader(DataSourceReader):
         begun = data.removeprefix(_MARK).lstrip()[:1]
         if partition.piece == 0 and begun not in (b"", b"{"):
             raise ValueError(f"{partition.file} is no JSON object")
-        _, outside, ends = _marks(data, escaped, False)
-        _, inside, _ = _marks(data, escaped, True)
-        yield partition.file, partition.piece, partition.first, partition.last, int(ends), int(outside.sum()), int(inside.sum())
+        outside, inside, odd = 0, 0, False
+        for _, mark, quoted, odd in _marks(data, escaped):
+            outside += int(_CHANGE[mark[~quoted]].sum())
+            inside += int(_CHANGE[mark[quoted]].sum())
+        yield partition.file, partition.piece, partition.first, partition.last, int(odd), outside, inside
 
 
 class PieceSource(DataSource):
@@ -126,31 +140,40 @@ def _rest(file, at: int, in_string: bool, depth: int) -> bytes:
         data = _read(file, at, at + MORE)
         if not data:
             raise ValueError("a JSON object does not end")
-        shown, step, in_string = _marks(data, _escaped(file, at), in_string)
-        level = depth + np.cumsum(step)
-        ends = np.flatnonzero(((shown == ord(",")) & (level == 1)) | ((step < 0) & (level == 0)))
-        if len(ends):
-            return b"".join([*found, data[: ends[0]]])
+        odd = False
+        for place, mark, quoted, odd in _marks(data, _escaped(file, at)):
+            place, mark = place[quoted == in_string], mark[quoted == in_string]
+            level = depth + np.cumsum(_CHANGE[mark])
+            ends = place[(mark == ord(",")) & (level == 1) | (_CHANGE[mark] < 0) & (level == 0)]
+            if len(ends):
+                return b"".join([*found, data[: ends[0]]])
+            depth = int(level[-1]) if len(level) else depth
         found.append(data)
-        at, depth = at + len(data), int(level[-1])
+        at, in_string = at + len(data), in_string ^ odd
 
 
 def _piece_entries(file, first: int, last: int, in_string: bool, depth: int) -> Iterator[bytes]:
     """Texts of the entries that begin in a piece: behind a comma at depth 1, or behind the brace that opens an object."""
-    data = _read(file, first, last)
-    shown, step, ends_inside = _marks(data, _escaped(file, first), in_string)
-    level = depth + np.cumsum(step)
-    comma, opened, closed = (shown == ord(",")) & (level == 1), (step > 0) & (level == 1), (step < 0) & (level == 0)
-    if (shown[opened] != ord("{")).any():
-        raise ValueError("a JSON array stands where an object should")
-    bounds = np.flatnonzero(comma | opened | closed)
-    starts = bounds[~closed[bounds]].tolist()
-    following = dict(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-    for start in starts:
-        if start in following:
-            yield data[start + 1 : following[start]]
+    data, odd = _read(file, first, last), False
+    found, ending = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for place, mark, quoted, odd in _marks(data, _escaped(file, first)):
+        place, mark = place[quoted == in_string], mark[quoted == in_string]
+        step = _CHANGE[mark]
+        level = depth + np.cumsum(step)
+        comma, opened, closed = (mark == ord(",")) & (level == 1), (step > 0) & (level == 1), (step < 0) & (level == 0)
+        if (mark[opened] != ord("{")).any():
+            raise ValueError("a JSON array stands where an object should")
+        bound = comma | opened | closed
+        found.append(place[bound])
+        ending.append(closed[bound])
+        depth = int(level[-1]) if len(level) else depth
+    bounds, closed = np.concatenate(found), np.concatenate(ending)
+    for n in np.flatnonzero(~closed):
+        start = bounds[n] + 1
+        if n + 1 < len(bounds):
+            yield data[start : bounds[n + 1]]
         else:
-            yield data[start + 1 :] + _rest(file, last, ends_inside, int(level[-1]))
+            yield data[start:] + _rest(file, last, in_string ^ odd, depth)
 
 
 def _entries(path: str):

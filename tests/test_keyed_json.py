@@ -79,3 +79,31 @@ def test_written_files_are_objects(spark, tmp_path):
     for f in (tmp_path / "w").glob("part-*"):
         got |= json.loads(f.read_text())
     assert got == {"null": {"a": 1, "b": None}, "2": {"a": None, "b": "a\nb"}, "3": {"a": 5, "b": '"'}}
+
+
+def test_a_piece_is_looked_at_in_blocks(tmp_path, monkeypatch):
+    import tracemalloc
+
+    from skuflow.sources import keyed_json as K
+
+    text = json.dumps({f"sku-{i}": {"names": {"a": 'x"\\' * (i % 7), "b": [i, "],}"]}} for i in range(60_000)}).encode()
+    (tmp_path / "o.json").write_bytes(text)
+    with open(tmp_path / "o.json", "rb") as file:
+        tracemalloc.start()
+        n = sum(1 for _ in K._piece_entries(file, 0, len(text), False, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert n == 60_000
+    assert peak < 4 * len(text) + 40 * K.BLOCK  # as a whole it took over 25 times the piece
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_blocks_begin_anywhere(spark, tmp_path, monkeypatch, block):
+    from skuflow.sources import keyed_json as K
+
+    monkeypatch.setattr(K, "BLOCK", block)
+    text = json.dumps(TRICKY).encode()
+    (tmp_path / "o.json").write_bytes(text)
+    with open(tmp_path / "o.json", "rb") as file:
+        got = b"{" + b",".join(K._piece_entries(file, 0, len(text), False, 0)) + b"}"
+    assert json.loads(got) == TRICKY
