@@ -107,10 +107,13 @@ def predict(fitted: Fit, rows: DataFrame, calendar: DataFrame) -> DataFrame:
     outside the calendar, get nulls."""
     both = join_on(rows, fitted.coefficients, ["sku"], "left").join(F.broadcast(calendar), "day", "left")
 
-    def part(kinds: tuple[str, ...]) -> Column:
-        mask = F.array(*[F.lit(1.0 if k in kinds else 0.0) for k in fitted.design.kinds])
-        return _dot(mask, F.zip_with("beta", "x", lambda p, q: p * q))
-
-    parted = both.withColumns({name: part(kinds) for name, kinds in PARTS.items()})
+    def part(products: Column, name: str) -> Column:
+        own = [i for i, k in enumerate(fitted.design.kinds) if k in PARTS[name]]  # neighbours in the design
+        return F.aggregate(F.slice(products, own[0] + 1, len(own)), F.lit(0.0), lambda total, v: total + v).alias(name)
+
+    # the products are made once a row, and each is added to the one part it belongs to
+    products = F.array(F.zip_with("beta", "x", lambda p, q: p * q))
+    parts = F.transform(products, lambda p: F.struct(*[part(p, name) for name in PARTS]))[0]
+    parted = both.withColumn("_parts", parts).withColumns({name: F.col(f"_parts.{name}") for name in PARTS}).drop("_parts")
     total = sum((F.col(p) for p in list(PARTS)[1:]), F.col("trend"))
     return parted.withColumn("yhat", F.when(total.isNotNull(), F.greatest(total, F.lit(0.0)))).drop("beta", "x")

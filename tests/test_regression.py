@@ -68,3 +68,10 @@ def test_predictions_are_their_parts_and_not_negative(case):
 def test_no_demand(spark, case):
     daily, _, days, start, *_ = case
     assert R.fit(daily.limit(0), days, start).coefficients.count() == 0
+
+
+def test_products_of_a_prediction_are_made_once(case):
+    daily, _, days, start, calendar, *_ = case
+    fitted = R.fit(daily, days, start)
+    plan = R.predict(fitted, daily.select("sku", "day"), calendar)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(beta") == 1
