@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.holidays import holiday_events
+from skuflow.operators.prefix import spread
 
+FIT_ROWS = 250_000
 
 LEVELS = {"dow": range(7), "month": range(1, 13), "hol": range(2)}
 
@@ -59,11 +61,14 @@ def fitted_dimension(daily: DataFrame, days: DataFrame, start: Column, min_days:
 
     ``daily``: sparse (sku, day, demand) on the fitted days; ``days``: all fitted
     days. Every stage is a window within the SKU, so the whole fit takes one
-    shuffle of the sparse rows and no join but the calendar's.
+    shuffle of the sparse rows and no join but the calendar's. That shuffle gives
+    a task about FIT_ROWS rows at any size, as the windows sort them several times.
+    Counts ``daily``, best a written table.
     """
     sku = Window.partitionBy("sku")
     y, t = F.col("demand"), F.col("t")
-    rows = daily.select("sku", "day", "demand").join(F.broadcast(class_calendar(days, start)), "day")
+    dealt = spread(daily.select("sku", "day", "demand"), ["sku"], daily.count(), FIT_ROWS)
+    rows = dealt.join(F.broadcast(class_calendar(days, start)), "day")
     rows = rows.withColumns({"sy": F.sum(y).over(sku), "sty": F.sum(t * y).over(sku)})
     denominator = F.col("n_all") * F.col("sum_tt") - F.col("sum_t") * F.col("sum_t")
     slope = F.when(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from skuflow.operators.prefix import spread as dealt
+
 # Rows of one SKU are split into epochs of this many days. Sorting by (epoch,
 # day) is the same as sorting by day, and lets the exponentially weighted mean
 # restart its powers per epoch without another sort.
@@ -106,7 +108,7 @@ def recent_grid(daily: DataFrame, start: Column, end: Column, n_days: int, decay
     """Dense grid of the last ``n_days`` days of the history for all SKUs, with exponential means that know the rest.
 
     The days before are folded to one decayed sum per SKU and entry of ``decay`` (output name -> share kept per day);
-    only the asked days become dense. ``day_no`` still counts from ``start``. ``carry`` names columns of ``daily`` that
+    only the asked days become dense, after SKUs were dealt to tasks by the number of dense rows. ``day_no`` still counts from ``start``. ``carry`` names columns of ``daily`` that
     are constant per SKU.
     """
     spread = daily.withColumns({"_end": end, "_start": start})
@@ -121,6 +123,8 @@ def recent_grid(daily: DataFrame, start: Column, end: Column, n_days: int, decay
         F.first("_start").alias("_start"),
         F.collect_list(F.when(recent, F.struct("day", "demand"))).alias("_days"),  # n_days at most
     )
+    skus = daily.agg(F.approx_count_distinct("sku")).first()[0]
+    per_sku = dealt(per_sku, ["sku"], skus * n_days)
     known = F.map_from_entries(F.filter("_days", lambda d: d.isNotNull()))
     days = per_sku.select("*", known.alias("_known")).select("*", F.explode(F.sequence("_from", "_until")).alias("day"))
     dense = days.withColumns(

@@ -36,14 +36,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in both])
 
 
-def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """Partition by ``keys`` into the usual number of tasks, or more where a task would get over ROWS_PER_TASK of ``rows``.
+def spread(df: DataFrame, keys: Sequence[str], rows: int, per_task: int | None = None) -> DataFrame:
+    """Partition by ``keys`` into the usual number of tasks, or more where a task would get over ``per_task`` of ``rows``
+    (ROWS_PER_TASK by default).
 
     Adaptive execution joins small partitions by their compressed size, which says little about how many rows a sort
     or a hash table has to hold. It leaves a given number as it is, so memory of a task stays bounded at any size.
     """
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(usual, rows // ROWS_PER_TASK + 1), *keys)
+    # never just the usual number: rows that already lie so would keep their partitions, which can still be joined
+    return df.repartition(max(usual, rows // (per_task or ROWS_PER_TASK)) + 1, *keys)
 
 
 def running(

@@ -101,3 +101,19 @@ def test_mode_choice(spark):
     assert T.choose_mode(t, e).first().mode == "threshold"
     better = e.withColumn("wape", F.lit(39.0))
     assert T.choose_mode(t, better).first().mode == "expected_value"
+
+
+def test_dense_days_and_fits_are_dealt_by_rows(spark, monkeypatch):
+    from skuflow.operators import baseline as B
+    from skuflow.operators import grid as G
+    from skuflow.operators import prefix
+
+    monkeypatch.setattr(prefix, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(B, "FIT_ROWS", 40)
+    daily = spark.sql("SELECT id % 100 AS sku, date_add(DATE'2024-01-01', cast(id / 100 AS int)) AS day, 1.0D AS demand FROM range(1000)")
+    start, end = F.lit("2024-01-01").cast("date"), F.lit("2024-01-10").cast("date")
+    grid = G.recent_grid(daily, start, end, 10, {"ewm_7": 0.9})
+    parts = grid.groupBy(F.spark_partition_id()).count().collect()
+    assert grid.count() == 1000 and len(parts) == 5
+    assert B.fitted_dimension(daily, G.calendar(start, end, spark), start).rdd.getNumPartitions() >= 1000 // 40
+    assert grid.rdd.getNumPartitions() == 5
