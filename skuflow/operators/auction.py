@@ -13,6 +13,7 @@ arrivals themselves are numbered within their class by running counts and meet t
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ WANTED_TYPE = 10_000_000
 _GRAIN = 1000
 #: Marks a class's own slots among its values, and up to how many places are found one by one.
 _OWN, _FEW = np.iinfo(np.int64).min, 16
+#: Rounds go over all slots while more than this part of the goods is left.
+_MANY = 50
 
 
 def _largest(net: np.ndarray, k: int, n: int) -> tuple[np.ndarray, int]:
@@ -57,8 +60,8 @@ def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
     ``values`` are whole numbers per class and slot; ``counts``, in all no more than the slots, say how many slots each
     class needs. Slots that stay free are held by one more class, to which all are worth the same. Increments shrink
-    from a fraction of the largest difference to one; prices carry over, owners start anew. What the slots are worth at
-    their prices is kept per class and changed only where one was sold, so a round costs no pass over prices and owners.
+    from a fraction of the largest difference to one; prices carry over, owners start anew. Rounds that sell many slots
+    go over all of them; once few goods are left, whose number never grows again, ``_last_rounds`` ends the phase.
     """
     need, n_slots = int(counts.sum()), values.shape[1]
     if need > n_slots:
@@ -67,6 +70,7 @@ def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.full(n_slots, -1)
     scaled = np.vstack([values - values.min(), np.zeros((1, n_slots), dtype=np.int64)]) * (n_slots + 1)
     counts = np.append(counts, n_slots - need)
+    worth = scaled.tolist()
     price = np.zeros(n_slots, dtype=np.int64)
     bids, bidder = np.full(n_slots, -1, dtype=np.int64), np.full(n_slots, -1)
     step = max(1, int(scaled.max()) // 4)
@@ -74,7 +78,7 @@ def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         owner = np.full(n_slots, -1)
         held = np.zeros(len(counts), dtype=np.int64)
         net = scaled - price
-        while (held < counts).any():
+        while (counts - held).sum() > n_slots // _MANY:
             asked = []
             for c in np.flatnonzero(held < counts).tolist():
                 wanted, following = _largest(net[c], int(counts[c] - held[c]), n_slots - int(held[c]))
@@ -89,11 +93,75 @@ def auction(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
             net[:, sold] = scaled[:, sold] - price[sold]
             net[winner, sold] = _OWN
             bids[sold], bidder[sold] = -1, -1
+        price, owner = _last_rounds(worth, counts, held, net, price, owner, step)
         if step == 1:
             return np.where(owner == len(counts) - 1, -1, owner)
         step = max(1, step // 5)
 
 
+def _last_rounds(
+    worth: list[list[int]], counts: np.ndarray, held: np.ndarray, net: np.ndarray, price: np.ndarray, owner: np.ndarray, step: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Prices and owners after the rounds in which few goods are left, at a cost that follows from the bids alone.
+
+    A class keeps the slots it does not own in a heap, best first and the earliest on a tie. Prices only rise, so an
+    entry can say too much but never too little: it is put right when it comes to the top.
+    """
+    n_slots, left = net.shape[1], (counts - held).tolist()
+    if not any(left):
+        return price, owner
+    heaps: list[list[int]] = []
+    for row in net:  # value and place in one whole number, which Python lets grow as it must
+        heap = [-v * n_slots + s for s, v in enumerate(row.tolist()) if v != _OWN]
+        heapify(heap)
+        heaps.append(heap)
+    cost, holder = price.tolist(), owner.tolist()
+    short = [c for c, k in enumerate(left) if k > 0]
+    while short:
+        best: dict[int, tuple[int, int]] = {}
+        asked = []
+        for c in short:
+            heap, mine = heaps[c], worth[c]
+            wanted = []
+            for _ in range(min(left[c], len(heap))):
+                while True:
+                    key = heap[0]
+                    place = key % n_slots
+                    now = (cost[place] - mine[place]) * n_slots + place
+                    if key == now:
+                        break
+                    heapreplace(heap, now)
+                heappop(heap)
+                wanted.append(place)
+            while heap:
+                key = heap[0]
+                place = key % n_slots
+                now = (cost[place] - mine[place]) * n_slots + place
+                if key == now:
+                    break
+                heapreplace(heap, now)
+            if not heap:  # nothing follows: the least of those wanted
+                place = wanted[-1]
+            least = mine[place] - cost[place] - step
+            for s in wanted:
+                offer = mine[s] - least
+                if s not in best or offer > best[s][0]:
+                    best[s] = offer, c
+            asked.append((c, wanted))
+        for s, (offer, c) in best.items():
+            loser, holder[s], cost[s] = holder[s], c, offer
+            left[c] -= 1
+            if loser >= 0:
+                left[loser] += 1
+                heappush(heaps[loser], (offer - worth[loser][s]) * n_slots + s)
+        for c, wanted in asked:
+            for s in wanted:
+                if holder[s] != c:
+                    heappush(heaps[c], (cost[s] - worth[c][s]) * n_slots + s)
+        short = [c for c, k in enumerate(left) if k > 0]
+    return np.array(cost), np.array(holder)
+
+
 def _values(classes: list[dict], kinds: np.ndarray, dist: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Score of every slot for every class in thousandths, and what the wanted type adds."""
     rows = []
@@ -105,11 +173,13 @@ def _values(classes: list[dict], kinds: np.ndarray, dist: np.ndarray, z: np.ndar
 
 
 def _auctions(keys: Sequence[str]):
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lots, stocks = batch.column("classes"), batch.column("slots")
-            source, out = [], {c: [] for c in (*CLASS, "_rank", "slot_id")}
-            for i in range(batch.num_rows):  # a site's slots are unpacked one lot at a time
+            for i in range(batch.num_rows):  # a site's slots are unpacked, and those won given out, one lot at a time
+                out = {c: [] for c in (*CLASS, "_rank", "slot_id")}
                 slots = sorted(stocks[i].as_py(), key=lambda s: s["slot_id"])
                 classes = sorted(lots[i].as_py(), key=lambda c: tuple(c[x] for x in CLASS))
                 values = _values(classes, *(np.array([s[k] for s in slots]) for k in ("slot_type", "dist", "z")))
@@ -117,14 +187,13 @@ def _auctions(keys: Sequence[str]):
                 for k, c in enumerate(classes):
                     won = np.flatnonzero(owner == k)
                     for rank, s in enumerate(won[np.argsort(-values[k, won], kind="stable")].tolist()):
-                        source.append(i)
                         for x in CLASS:
                             out[x].append(c[x])
                         out["_rank"].append(rank + 1)
                         out["slot_id"].append(slots[s]["slot_id"])
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-            columns = [batch.column(k).take(pa.array(source, pa.int64())) for k in keys]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=[*keys, *out])
+                source = pa.array(np.full(len(out["slot_id"]), i))
+                columns = [batch.column(k).take(source) for k in keys]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=[*keys, *out])
 
     return run
 
@@ -153,9 +222,10 @@ def assign_by_auction(
     counts = queue.where("_served").groupBy(*keys, *CLASS).agg(F.count(F.lit(1)).alias("n"))
     lots = counts.groupBy(*keys).agg(F.collect_list(F.struct(*CLASS, "n")).alias("classes"))
     types = ", ".join(f"`{k}` {queue.schema[k].dataType.simpleString()}" for k in keys)
-    # few small rows that each take long: left alone, adaptive execution would merge them into one task
-    spread = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    won = join_on(lots, stock, ["site"]).select(*keys, "classes", "slots").repartition(spread, *keys).mapInArrow(
+    # few small rows that each take long: adaptive execution would merge them into one task, also where they are already
+    # partitioned so into the usual number; several tasks a core even out how many lots each gets
+    tasks = 4 * int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    won = join_on(lots, stock, ["site"]).select(*keys, "classes", "slots").repartition(tasks, *keys).mapInArrow(
         _auctions(keys), f"{types}, target_type string, segment string, heavy boolean, _rank bigint, slot_id bigint"
     )
     placed = join_on(queue, won.withColumn("_served", F.lit(True)), keys, "left", exact=[*CLASS, "_served", "_rank"]).drop("_served", "_rank")

@@ -126,3 +126,41 @@ def test_auctions_are_spread_over_tasks(spark):
     arrivals = W.target_type(O.with_product_class(events, classes(spark, [(1, "HF", 0.5, 1.0)])))
     plan = A.assign_by_auction(arrivals, slots)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [day#" in plan.replace("'", "")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_for_the_last_goods_give_the_same_slots(seed):
+    draw = np.random.default_rng(seed)
+    values = draw.integers(0, 9 if seed % 2 else 5000, (4, 400)) * 1000
+    counts = draw.multinomial(400 if seed < 2 else 300, [0.05, 0.15, 0.3, 0.5])
+    assert A.auction(values, counts).tolist() == _one_by_one(values, counts).tolist()
+
+
+def test_few_goods_do_not_search_all_slots(monkeypatch):
+    calls, search = [], A._largest
+    monkeypatch.setattr(A, "_largest", lambda *a: calls.append(1) or search(*a))
+    s = np.arange(1000)
+    values = 1000 * np.array([-3 * (s % 17) - 5 * (s % 5), -(s % 17) - 2 * (s % 5), -(s % 17) - 12 * (s % 5)])
+    values += A.WANTED_TYPE * np.array([s % 5 == 0, s % 5 > 0, s % 5 > 0])
+    assert np.bincount(A.auction(values, np.array([180, 500, 320]))).tolist() == [180, 500, 320]
+    assert len(calls) < 600  # 1,598 when every round went over all slots, 304 now
+
+
+def test_lots_meet_in_more_than_one_task(spark, monkeypatch):
+    def tasks(keys):
+        def run(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            for batch in batches:
+                told = [("target_type", "PICKING"), ("segment", "HF"), ("heavy", False), ("_rank", 1), ("slot_id", TaskContext.get().partitionId())]
+                columns = [batch.column(k) for k in keys] + [pa.array([v] * batch.num_rows) for _, v in told]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *[n for n, _ in told]])
+
+        return run
+
+    monkeypatch.setattr(A, "_auctions", tasks)
+    events = make_events(spark, [(day, 1, "in", 1.0) for day in range(40)])
+    arrivals = W.target_type(O.with_product_class(events, classes(spark, [(1, "HF", 0.5, 1.0)])))
+    got = [r.slot_id for r in A.assign_by_auction(arrivals, slot_table(spark, ["PICKING"] * 8)).collect()]
+    assert len(got) == 40 and len(set(got)) >= 4
