@@ -140,3 +140,61 @@ def test_all_due_days_are_booked_from_one_reading_of_the_state():
     assert [None if v is live.pd.NA else v for f in frames for v in f["slot_id"]] == [1, 2, 1, None, 2]
     assert calls == {"open": 1, "read": 3}
     assert not site.taken and not site.queues and [e[2] for e in site.open] == [50]
+
+
+def test_events_wait_in_blocks_and_split_by_day():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class Map(dict):
+        def iterator(self):
+            return iter([((k,), v) for k, v in self.items()])
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k[0]] = v
+
+        def removeKey(self, k):  # noqa: N802
+            del self[k[0]]
+
+    class Events(list):
+        def get(self):
+            return iter(list(self))
+
+        def exists(self):
+            return bool(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+        def clear(self):
+            self[:] = []
+
+    rng = random.Random(11)
+    rows = [(i, 1000 - i % 7, i // 250, rng.choice([None, 1, 2, 3, 2**60]), rng.choice(["in", "out", "unknown"]), rng.choice(["PICKING", "RESERVE"])) for i in range(1000)]
+
+    def site(events):
+        made = LW.Warehouse()
+        made.slots = Map({s: (("PICKING", "RESERVE")[s % 2], float(s)) for s in range(300)})
+        made.taken, made.queues, made.open, made.fresh = Map(), Map(), Events(events), Map()
+        return made
+
+    def book(made, day):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: (day + 1) * LW._DAY_MS)
+        frames = list(made.handleExpiredTimer((4,), now, SimpleNamespace(getExpiryTimeInMs=lambda: LW._DAY_MS)))
+        return [r for f in frames for r in f.astype(object).where(f.notna(), None).itertuples(index=False, name=None)]
+
+    days, packed = set(), site([])
+    packed.handle = SimpleNamespace(registerTimer=days.add)
+    names = ["event_id", "at", "day_no", "sku", "direction", "target_type"]
+    told = pd.DataFrame(rows, columns=names).astype({"sku": "Int64"})
+    close = pd.DataFrame([(None, 0, 9, None, "close", "RESERVE")], columns=names)
+    assert not list(packed.handleInputRows((4,), iter([told[:600], told[600:], close]), None))
+    assert len(packed.fresh) == 2 and not packed.open and days == {(d + 1) * LW._DAY_MS for d in range(4)}
+    alone = site(rows)  # every event a state row of its own
+    first = book(packed, 2)
+    assert len(first) == 750 and first == book(alone, 2) and len(packed.open) == 1 and not packed.fresh
+    last = book(packed, 3)
+    assert len(last) == 250 and last == book(alone, 3) and not packed.open
+    assert {r[0] for r in first + last} == set(range(1000)) and {r[2] for r in first} == {None, 1, 2, 3, 2**60}
+    assert packed.taken == alone.taken and packed.queues == alone.queues and packed.taken
